@@ -74,13 +74,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from prefix sums of a polynomial."""
-    powers = np.full(len(data) + 1, _ODD)
-    powers[0] = 1
+    """A 64-bit hash of each word's bytes."""
+    return range_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of 64-bit values, from prefix sums of a polynomial."""
+    n = len(values)
+    powers, inverse = np.full(n + 1, _ODD), np.full(n + 1, _ODD_INVERSE)
+    powers[0] = inverse[0] = 1
     np.multiply.accumulate(powers, out=powers)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-    inverse = np.full(len(data) + 1, _ODD_INVERSE)
-    inverse[0] = 1
     np.multiply.accumulate(inverse, out=inverse)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * powers[:-1], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
