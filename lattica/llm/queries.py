@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, mixing, secrets, simhash, substring, toxicity
+from . import bpe, chat, fingerprint, media, mixing, secrets, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_toxicity, op4_substring, op5_simhash, op6_mixing, op7_secrets, op9_chat, op10_bpe)}
+    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_fingerprint, op4_substring, op5_simhash, op6_mixing, op7_secrets, op9_chat, op10_bpe)}
 
 
 _SIZES = r"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents"
