@@ -65,8 +65,9 @@ class AssetHistory(StatefulProcessor):
 
 
 def cross_sections(stream: DataFrame, column: str) -> DataFrame:
-    """Rows of complete cross sections with dev = column - mean of the time. An asset twice at one time is an error."""
-    timed = stream.withColumn("ts", F.timestamp_seconds("time_id")).withWatermark("ts", "0 seconds")
+    """Rows of complete cross sections with dev = column - mean of the time. An asset twice at one time is an error. Times are 0 or more."""
+    # the watermark begins at 0 and passes a time once a later one is seen
+    timed = stream.withColumn("ts", F.timestamp_seconds(F.col("time_id") + 1)).withWatermark("ts", "1 second")
     whole = timed.groupBy("ts", "time_id").agg(F.collect_list(F.struct(F.col("asset_id"), F.col(column).alias("v"))).alias("rows"))
     once = F.size(F.array_distinct(F.transform("rows", lambda r: r["asset_id"]))) == F.size("rows")
     checked = whole.withColumn("rows", F.when(once, F.col("rows")).otherwise(F.raise_error(F.lit("an asset occurs twice at one time")).cast(whole.schema["rows"].dataType)))
