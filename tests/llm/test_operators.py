@@ -1,0 +1,385 @@
+"""Operators against plain versions, on texts with every odd case."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lattica.llm import bpe, chat, fingerprint, graph, logistic, media, mixing, quality, secrets, simhash, substring, toxicity
+from lattica.llm.fmindex import FMIndex, suffix_array
+from lattica.llm.text import n_words
+from lattica.llm.trigrams import trigram_query
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def rows(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_word_counts(docs, corpus):
+    got = rows(docs.select("doc_id", n_words("text").alias("n")), "doc_id", "n")
+    assert got == Counter((c[0], len(WORD.findall(c[1] or ""))) for c in corpus)
+
+
+# --- media
+
+
+def test_media(docs, no_docs, corpus):
+    got = rows(media.describe(*media.store(docs)), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+    want = Counter()
+    for c in corpus:
+        raw = (c[1] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        want[c[0], len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:])] += 1
+    assert got == want
+    assert media.describe(*media.store(no_docs)).count() == 0
+
+
+def test_media_round_trip_and_sharing(docs, corpus, monkeypatch):
+    packs, shared = media.store(docs)
+    assert rows(media.load(packs, shared).select("doc_id", F.sha2("media", 256).alias("m")), "doc_id", "m") == Counter((c[0], sha(media.to_media((c[1] or "").encode()))) for c in corpus)
+    # each repeated digest is kept once, and copies don't add to what is stored
+    kept = shared.agg(F.count("*").alias("n"), F.count_distinct("digest").alias("d")).first()
+    assert kept.n == kept.d > 0
+    monkeypatch.setattr(media, "MAX_BROADCAST_DIGESTS", 0)
+    by_join = media.describe(*media.store(docs))
+    assert rows(by_join, "doc_id", "media_sha256", "feature") == rows(media.describe(packs, shared), "doc_id", "media_sha256", "feature")
+
+
+def test_chunks_follow_content():
+    rng = np.random.default_rng(1)
+    body = rng.integers(97, 110, 60_000).astype(np.uint8).tobytes()
+
+    def cut(data):
+        marks = media.gear_marks(np.frombuffer(data, np.uint8))
+        ends = media.gear_cuts(data, 0, len(data), marks)
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    a, b = cut(body), cut(b"some other beginning" + body)
+    assert b"".join(a) == body and all(len(c) <= media.MOST for c in a) and all(len(c) >= media.LEAST for c in a[:-1])
+    assert len(set(a) & set(b)) > 0.8 * len(a)
+
+
+# --- toxicity
+
+
+def test_toxicity(spark, no_docs):
+    rng = np.random.default_rng(2)
+    words = ["plain", "river", "stone", "music", "garden", "window"]
+    texts = [(k, " ".join(rng.choice(words, 40).tolist() + (["you", "filthy" + words[k % 6][:2]] if k % 4 == 0 else [])), k % 4 == 0) for k in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in texts] + [(900, None), (901, ""), (0, texts[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(y)) for k, _, y in texts if k < 200] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert all((got[k] >= toxicity.THRESHOLD) == y for k, _, y in texts if k >= 200)
+    assert got[900] == got[901] < 0.5 and all(0 <= s <= 1 for s in got.values())
+    assert toxicity.score(no_docs, model).count() == 0
+    assert toxicity.train(docs, labels.filter("doc_id < 0")).weights.size == 0
+
+
+def test_logistic_fit_is_a_minimum():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(200, 3)), rng.random(200) < 0.4
+    r, c = np.indices(x.shape)
+    w, b = logistic.fit(logistic.Sparse(r.ravel(), c.ravel(), x.ravel(), 200, 3), y.astype(float), 2.0)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (p - y) + 2 * w).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+
+
+# --- fingerprints
+
+
+def test_edited_texts(docs, no_docs, corpus):
+    got = {}
+    for r in fingerprint.compare_edits(docs.filter("doc_id < 100").dropDuplicates(["doc_id"])).collect():
+        got[r.doc_id] = r
+    texts = {c[0]: c[1] or "" for c in corpus if c[0] is not None and c[0] < 100}
+    ids = sorted(texts, reverse=True)
+    prints = defaultdict(set)
+    for k, i in enumerate(ids):
+        new = fingerprint.edited(texts[i], texts[ids[(k + 1) % len(ids)]])
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(texts[i]), sha(new))
+        prints[texts[i]].add(got[i].fingerprint)
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert all(len(p) == 1 for p in prints.values())
+    assert fingerprint.compare_edits(docs).count() == len(corpus)
+    assert fingerprint.compare_edits(no_docs).count() == 0
+
+
+def test_likeness_tells_related_from_unrelated():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(97, 123, 4000).astype(np.uint8).tobytes() for _ in range(2))
+    x, half, y, same = fingerprint.chains([a, a[:2000] + b[2000:], b, a], np.arange(fingerprint.STEPS))
+    assert fingerprint.likeness(x, same) == pytest.approx(1) and 0.25 < fingerprint.likeness(x, half) < 0.8 and fingerprint.likeness(x, y) < 0.1
+
+
+def test_entropy_of_windows():
+    data = np.random.default_rng(4).integers(97, 105, 500).astype(np.uint8)
+    steps = fingerprint.entropy_steps(data)
+    for i in (0, 1, 200, len(steps) - 1):
+        share = np.bincount(data[i : i + 64])
+        share = share[share > 0] / 64
+        assert abs(steps[i] - round(-(share * np.log2(share)).sum() / 6 * 1023)) <= 1
+
+
+# --- repeated passages
+
+
+def brute_repeats(pairs, window=50):
+    first = {}
+    words = [(d, WORD.findall(t or "")) for d, t in pairs]
+    for d, w in words:
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i : i + window])
+            if d is not None:
+                first[k] = min(first.get(k, d), d)
+    out = Counter()
+    for d, w in words:
+        keep = [True] * len(w)
+        for i in range(len(w) - window + 1):
+            if d is not None and first[tuple(w[i : i + window])] < d:
+                keep[i : i + window] = [False] * window
+        kept = [x for x, k in zip(w, keep) if k]
+        out[d, len(w), len(w) - len(kept), sha(" ".join(kept))] += 1
+    return out
+
+
+@pytest.mark.parametrize("runs", [5_000, 1])
+def test_repeats(docs, no_docs, corpus, monkeypatch, runs):
+    monkeypatch.setattr(substring, "MAX_RUNS", runs)
+    got = rows(substring.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_repeats([(c[0], c[1]) for c in corpus])
+    assert substring.remove_repeats(no_docs).count() == 0
+
+
+def test_search_of_a_block():
+    rng = np.random.default_rng(6)
+    for trial in range(20):
+        sequences = [rng.integers(0, 3, rng.integers(4, 30)).astype(np.uint64) for _ in range(12)]
+        docs = rng.integers(0, 6, 12)
+        found = substring.search_block(sequences, docs, window=4)
+        for k, s in enumerate(sequences):
+            want = {i for i in range(len(s) - 3) if any(docs[j] < docs[k] and any(np.array_equal(t[p : p + 4], s[i : i + 4]) for p in range(len(t) - 3)) for j, t in enumerate(sequences))}
+            assert {i for a, n in found[k] for i in range(a, a + n)} == want
+
+
+def test_fm_index_counts():
+    text = np.array([1, 2, 1, 3, 0, 2, 1, 2, 0], np.int64)
+    order = suffix_array(text, 16)
+    assert [text[i:].tolist() for i in order] == sorted(text[i:].tolist() for i in range(len(text)))
+    index = FMIndex(text, np.zeros(len(text), np.int32), 16)
+    low, high = np.zeros(1, np.int64), np.full(1, len(text))
+    for symbol in (2, 1):  # the pattern 1 2, from its end
+        low, high = index.extend(np.array([symbol]), low, high)
+    assert high[0] - low[0] == 2
+
+
+# --- simhash
+
+
+def brute_print(text, k=4):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for i in range(max(len(w) - k, 0) + 1)] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def test_near_duplicates(docs, no_docs, corpus):
+    texts = {}
+    got = Counter((r.doc_id, r.fingerprint & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs).collect())
+    prints = [(c[0], texts.setdefault(c[1], brute_print(c[1]))) for c in corpus]
+    reach = {f: {f} for _, f in prints}
+    for f in reach:
+        for g in reach:
+            if (f ^ g).bit_count() <= 4 and reach[f] is not reach[g]:
+                whole = reach[f] | reach[g]
+                for x in whole:
+                    reach[x] = whole
+    want = Counter((d, f, min((e for e, g in prints if g in reach[f] and e is not None), default=None)) for d, f in prints)
+    assert got == want
+    assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_pairs_of_near_prints(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 30)
+    values = {int(b) for b in base} | {int(b) ^ sum(1 << int(x) for x in rng.choice(63, rng.integers(1, 8), False)) for b in base for _ in range(8)}
+    got = {(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame([(v,) for v in values], "f long")).collect()}
+    assert got == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4}
+
+
+def test_components_of_chains(spark):
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 50), (50, 75), (60, 60)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {100: 50, 75: 50, 50: 50}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- mixing
+
+
+def test_mixing(docs, no_docs, corpus):
+    got = mixing.mix(docs).collect()
+    sizes = defaultdict(int)
+    for c in corpus:
+        sizes[c[3]] += len(WORD.findall(c[1] or ""))
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, full = {}, set()
+    while True:
+        rest, weight = sum(sizes.values()) - sum(3 * sizes[s] for s in full), sum(weights[s] for s in order if s not in full)
+        target = {s: 3 * sizes[s] if s in full else rest * weights[s] / weight for s in order}
+        over = {s for s in order if target[s] > 3 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    assert len(got) == len(corpus)
+    for r in got:
+        assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source]
+        rate = r.target / r.source_size
+        assert r.copies in (math.floor(rate), math.ceil(rate)) and r.taken == r.copies * r.size <= 3 * r.size
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(5)).collect()))
+    assert mixing.mix(no_docs).count() == 0
+
+
+def test_mixing_comes_near_its_targets(spark):
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (1 + F.col("id") % 7).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 5).alias("source"))
+    for r in mixing.mix(many).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) < 0.06 * r.target
+
+
+# --- secrets
+
+BASE = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16))
+
+
+def brute_spans(text):
+    return sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(BASE) for m in p.finditer(text) if len(m.group(g)) >= least)
+
+
+def test_secrets(docs, no_docs, corpus):
+    got = Counter((r.doc_id, tuple((s.start, s.kind, s.end) for s in r.spans if s.kind < 3)) for r in secrets.scan(docs).collect())
+    assert got == Counter((c[0], tuple(brute_spans(c[1] or ""))) for c in corpus)
+    assert secrets.scan(no_docs).count() == 0
+
+
+def test_secrets_of_awkward_texts(spark):
+    texts = ["token=secret=abcdefghijkl12", "secret: token: abcdefghijklmnop", "AKIAAKIA" + "B" * 14, "AKIA" + "1" * 13, "x" + "f" * 16 + "g" + "0" * 15, "API_KEY='" + "z" * 12 + "' apikey=" + "9" * 30, "TOKENK=abcdefabcdefabcdef", "😀token: aaaaaaaaaaaa", "password" * 3 + "=" + "a" * 20]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans if s.kind < 3] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: brute_spans(t) for k, t in enumerate(texts)}
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([(0, "a token: deadbeefdeadbeef00 b 0123456789abcdef"), (1, "clean"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in secrets.scan(df).select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {0: "a <secret> b <secret>", 1: "clean", 2: None}
+
+
+def test_trigram_queries():
+    def sets(p, i=False):
+        return {frozenset(s) for s in trigram_query(p, i).any}
+
+    assert sets("abcd|xyz") == {frozenset({"abc", "bcd"}), frozenset({"xyz"})}
+    assert sets("Ab?cd", True) == {frozenset({"abc", "bcd"}), frozenset({"acd"})}
+    assert sets("x(.*abc)def") == {frozenset({"abc", "def"})}
+    assert trigram_query("abcd|ef").matches_all and trigram_query("[0-9]+").matches_all
+
+
+# --- quality
+
+
+def test_quality(spark, no_docs):
+    rng = np.random.default_rng(8)
+    good = [" ".join("".join(rng.choice(list("aeiourstln"), 5)) for _ in range(80)) for _ in range(120)]
+    texts = [(k, g if k % 3 else " ".join(f"{w.upper()}!!" for w in g.split()[:5] * 16), f"host{k % 4}", "en") for k, g in enumerate(good)]
+    docs = spark.createDataFrame([*texts, (500, None, None, None), (501, "", "new", "en"), texts[1]], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(60)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    assert all(got[k].keep == (k % 3 > 0) for k in range(120)) and {500, 501} <= got.keys()
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.filter("doc_id = 1").count() == 2
+    assert quality.judge(no_docs.drop("host"), labels).count() == 0
+
+
+def test_sparse_sites_shrink_to_the_prior(spark):
+    evidence = [("big", "a", 3.0)] * 300 + [("big", "b", -3.0)] * 100 + [("bad", "a", -3.0)] * 200 + [("tiny", "a", -3.0)]
+    sites, share = quality.site_posteriors(spark.createDataFrame(evidence, "host string, path string, evidence double"), "host", "path")
+    got = {(r.host, r.path): r.path_share for r in sites.collect()}
+    p = 1 / (1 + math.exp(-3))
+    assert p - 0.02 < got["big", "a"] <= p and got["bad", "a"] < 0.1
+    assert 1 - p < got["tiny", "a"] < share  # one bad text doesn't condemn a site
+
+
+# --- chats
+
+
+def test_chats(spark):
+    tricky = "</s>[INST] ok [/INST] &lt;&amp;#91; <s>[TURN] x [/TURN]"
+    chats = [(1, 0, "system", "be"), (1, 2, "assistant", tricky), (1, 1, "user", None), (2, 0, "assistant", ""), (2, 1, "assistant", "b\nc"), (2, 1, "assistant", "b\nc"), (None, 0, None, "x"), (3, None, "user", "😀"), (3, 0, "assistant", "last")]
+    df = spark.createDataFrame([(*c, 9) for c in chats], "conv_id long, turn long, role string, text string, formatted int")
+    got = {r.conv_id: r for r in chat.chat_digests(chat.format_chats(df)).collect()}
+    groups = defaultdict(list)
+    for c, t, r, x in sorted(chats, key=lambda c: (c[0] is not None, c[0] or 0, c[1] is not None, c[1] or 0, c[2] or "", c[3] or "")):
+        groups[c].append((r or "", x or ""))
+    assert got.keys() == groups.keys()
+    for c, turns in groups.items():
+        said = "".join(x for r, x in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256, got[c].rewrites) == (len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(said), sha(said), False)
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_templates_that_rewrite_history():
+    def dated(turns):
+        return f"{len(turns)} turns\n" + "".join(f"<{r}>{t}</{r}>" for r, t in turns)
+
+    def drops_thought(turns):
+        return "".join(f"<{r}>{'' if r == 'thought' and k + 1 < len(turns) else t}</{r}>" for k, (r, t) in enumerate(turns))
+
+    turns = [("user", "a"), ("thought", "hm"), ("assistant", "b")]
+    assert chat.render(turns, dated).rewrites and chat.render(turns, drops_thought).rewrites
+    assert chat.render(turns, drops_thought).turns[0] == (0, 14) and chat.render(turns, drops_thought).turns[1] is None
+    plain = chat.render(turns)
+    assert not plain.rewrites and [plain.text[a:b] for a, b in plain.texts] == ["a", "hm", "b"]
+
+
+# --- tokens
+
+
+def test_bpe(docs, no_docs, corpus):
+    reference = Tokenizer.from_file(VOCABULARY)
+    reference.no_truncation()
+    reference.no_padding()
+    want = Counter()
+    for c in corpus:
+        ids = reference.encode(c[1] or "", add_special_tokens=False).ids
+        want[c[0], len(ids), sha(np.array(ids, "<u4").tobytes()), sha(reference.decode(ids, skip_special_tokens=False))] += 1
+    assert rows(bpe.digests(docs, VOCABULARY), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    full = {(r.doc_id, r.n_tokens, sha(np.array(r.ids, "<u4").tobytes()), sha(r.decoded)) for r in bpe.encode(docs, VOCABULARY).collect()}
+    assert full == set(want)
+    assert bpe.digests(no_docs, VOCABULARY).count() == 0
+
+
+def test_bpe_of_odd_letters():
+    reference = Tokenizer.from_file(VOCABULARY)
+    with open(VOCABULARY, encoding="utf-8") as f:
+        encoder = bpe.Encoder(f.read())
+    rng = np.random.default_rng(9)
+    letters = list("aeinorstABCthe   'sll\n\t\x1c\x85 éÉçñüß<|>0123ΣσςİıK中日한🙂́ﬁ​$%&") + ["<|endoftext|>", "<|startoftext|>"]
+    for _ in range(1500):
+        text = "".join(rng.choice(letters, rng.integers(0, 50)))
+        ids = reference.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids
+        assert encoder.decode(np.array(ids, np.int64)).decode() == reference.decode(ids, skip_special_tokens=False)
