@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,13 +189,27 @@ def fingerprints(docs: DataFrame, rarity: np.ndarray | None = None) -> DataFrame
     return own.mapInArrow(rows, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, for the exchange; null stays null."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = batch.column("text")
+        packed = pa.array((None if not t.is_valid else squeeze(t.as_buffer()) for t in texts), pa.binary())
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", packed)
+
+
+def unpack(packed: bytes | None) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode() if packed is not None else ""
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Each row with the text of the next one in descending doc_id, after the last the first: doc_id, text, next_text.
+    """Each row with the text of the next one in descending doc_id, after the last the first: doc_id, text, next_text, both packed (see unpack).
 
     Equal ids follow by text, null ids come last. Ranges of ids, cut at quantiles, are windows of their own, so no task
     sees all rows; each also gets the first row of the range after it, found by a minimum per range.
     """
-    own = docs.select(F.col("doc_id"), "text")
+    own = docs.select(F.col("doc_id"), "text", F.xxhash64("text").alias("sum"))
+    ids = own.schema["doc_id"].dataType.simpleString()
     n = buckets or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = own.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts), reverse=True)
@@ -202,16 +217,17 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     larger = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("doc_id") <= c)) if cuts else F.lit(0)
     number = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(larger)
     ranged = own.withColumn("range", number.cast("int"))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id")).alias("order"), F.col("text").isNotNull().alias("has_text"), F.xxhash64("text").alias("sum"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id")).alias("order"), F.col("text").isNotNull().alias("has_text"), F.col("sum"))
     heads = ranged.groupBy("range").agg(F.min(first).alias("head")).orderBy("range").collect()
-    if not heads:
-        return own.withColumn("next_text", F.lit(None).cast("string"))
     before = {h["range"]: heads[k - 1]["range"] for k, h in enumerate(heads)}
-    guests = docs.sparkSession.createDataFrame([(h["range"], before[h["range"]], h["head"]) for h in heads], f"range int, host int, head {ranged.select(first.alias('h')).schema['h'].dataType.simpleString()}")
-    copies = ranged.withColumn("head", first).join(F.broadcast(guests), ["range", "head"]).dropDuplicates(["range"]).select("doc_id", "text", F.col("host").alias("range"), F.lit(1).alias("guest"))
-    order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.col("text").isNotNull(), F.xxhash64("text"))
+    kind = ranged.select(first.alias("h")).schema["h"].dataType.simpleString()
+    guests = docs.sparkSession.createDataFrame([(h["range"], before[h["range"]], h["head"]) for h in heads], f"range int, host int, head {kind}")
+    # as many guests as ranges
+    copies = ranged.withColumn("head", first).join(F.broadcast(guests), ["range", "head"]).dropDuplicates(["range"]).select("doc_id", "text", "sum", F.col("host").alias("range"), F.lit(1).alias("guest"))
     both = ranged.withColumn("guest", F.lit(0)).unionByName(copies)
-    return both.withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(order)).filter("guest = 0").select("doc_id", "text", "next_text")
+    packed = both.mapInArrow(_pack, f"doc_id {ids}, text binary, sum long, range int, guest int")
+    order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.col("text").isNotNull(), F.col("sum"))
+    return packed.withColumn("next_text", F.lead("text").over(order)).filter("guest = 0").select("doc_id", "text", "next_text")
 
 
 def edited(text: str, following: str) -> str:
@@ -232,9 +248,11 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for whole in batches:
-            for batch, _, _ in text_blocks([whole]):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                after = [t or "" for t in batch.column("next_text").to_pylist()]
+            sizes = np.cumsum([len(t or b"") for t in whole.column("text").to_pylist()])
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(sizes >> 19)) + 1, [whole.num_rows]])).tolist()
+            for batch in (whole.slice(a, b - a) for a, b in zip(cuts, cuts[1:])):
+                texts = [unpack(t) for t in batch.column("text").to_pylist()]
+                after = [unpack(t) for t in batch.column("next_text").to_pylist()]
                 new = [edited(t, f).encode() for t, f in zip(texts, after)]
                 own, other = chains([t.encode() for t in texts], rarity), chains(new, rarity)
                 # the next row's text is mostly this row's next text
