@@ -29,6 +29,8 @@ BLOCK_WORDS = 300_000
 #: A minimizer with more distinct runs than this would be a group without bound in one task. Its windows are compared one by
 #: one instead: each goes by its own hash, with a minimum per hash as a partial aggregation. Results are the same.
 MAX_RUNS = 5_000
+#: A run that makes up more than this share of all goes to its verdict by a broadcast join, as one task would get them all otherwise; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-3
 
 
 def _runs(words: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -180,7 +182,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sum"), "text")
     runs = materialize(own.mapInArrow(_find_runs, "key long, digest long, doc_id long, sum long, start int, windows int"), "substring-runs")
     # equal runs are one; the smallest document that has it stands for it
-    distinct = materialize(runs.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "sum", "start", "windows")).alias("at"), F.max("doc_id").alias("last")), "substring-distinct")
+    distinct = materialize(runs.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "sum", "start", "windows")).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("copies")), "substring-distinct")
     by_key = distinct.groupBy("key").agg(F.count("*").alias("n"), F.min("at.doc_id").alias("low"), F.max("last").alias("high")).filter("low < high")
     shared = materialize(distinct.join(by_key.select("key", "n"), "key"), "substring-shared")
     wanted = shared.filter("n > 1").select(F.col("at.doc_id").alias("doc_id"), F.col("at.sum").alias("sum"), F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "key", "digest", (F.col("n") > MAX_RUNS).alias("hot")).alias("run")).groupBy("doc_id", "sum").agg(F.collect_list("run").alias("wanted"))
@@ -192,11 +194,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     least = single.groupBy("key", "window").agg(F.min("doc_id").alias("least"))
     slow = single.join(least, ["key", "window"]).filter("doc_id > least").groupBy("key", "digest").agg(F.collect_list(F.struct("first", F.lit(1).alias("count"))).alias("intervals"))
     found = materialize(searched.unionByName(slow).groupBy("key", "digest").agg(F.flatten(F.collect_list("intervals")).alias("intervals")), "substring-found")
-    verdicts = shared.select("key", "digest", F.col("at.doc_id").alias("first_doc"), "last").join(found, ["key", "digest"], "left").filter("first_doc < last or intervals is not null").drop("last")
-    covered = runs.join(verdicts, ["key", "digest"]).select("doc_id", "sum", "start", F.when(F.col("doc_id") > F.col("first_doc"), F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("count")))).otherwise(F.col("intervals")).alias("in")).filter("in is not null")
+    verdicts = materialize(shared.select("key", "digest", F.col("at.doc_id").alias("first_doc"), "last", "copies").join(found, ["key", "digest"], "left").filter("first_doc < last or intervals is not null").drop("last"), "substring-verdicts")
+    often = max(1_000, int(runs.count() * HOT_SHARE))
+    hot = F.broadcast(verdicts.filter(F.col("copies") > often))
+    rest = verdicts.filter(F.col("copies") <= often)
+    judged = runs.join(hot, ["key", "digest"]).unionByName(runs.join(hot.select("key", "digest"), ["key", "digest"], "left_anti").join(rest, ["key", "digest"]))
+    covered = judged.select("doc_id", "sum", "start", F.when(F.col("doc_id") > F.col("first_doc"), F.array(F.struct(F.lit(0).alias("first"), F.col("windows").alias("count")))).otherwise(F.col("intervals")).alias("in")).filter("in is not null")
     ranges = covered.select("doc_id", "sum", F.explode("in").alias("x"), "start").select("doc_id", "sum", F.struct((F.col("start") + F.col("x.first")).alias("from"), (F.col("start") + F.col("x.first") + F.col("x.count") + WINDOW - 1).alias("to")).alias("range"))
     out = materialize(ranges.groupBy("doc_id", "sum").agg(F.collect_list("range").alias("ranges")), "substring-ranges")
-    for table in (runs, distinct, shared, fetched, found):
+    for table in (runs, distinct, shared, fetched, found, verdicts):
         discard(table)
     return out
 
