@@ -107,5 +107,50 @@ FROM rated
 """
 
 
+OP4_SQL = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, row_number() OVER () AS k FROM documents),
+windows AS (SELECT k, doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS held FROM (SELECT k, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts)),
+repeated AS (SELECT k, i FROM (SELECT k, doc_id, i, min(doc_id) OVER (PARTITION BY held) AS first FROM windows) WHERE first < doc_id),
+covered AS (SELECT DISTINCT k, unnest(range(i, i + 50)) AS place FROM repeated),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n
+  FROM (SELECT k, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM texts) ANTI JOIN covered USING (k, place) GROUP BY k)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (k)
+"""
+
+_ESCAPED = "length(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))"
+OP9_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len('<s>[TURN]  [/TURN] </s>') + 1} + {_ESCAPED.format('role')} + {_ESCAPED.format('text')})::BIGINT AS formatted_chars, false AS rewrites
+FROM turns GROUP BY conv_id
+"""
+
+
+def _op7_sql() -> str:
+    parts = []
+    for k, rule in enumerate(secrets.RULES):
+        pattern = "'" + rule.java.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT k, {k} AS kind, '{rule.kind}' AS name, regexp_split_to_array(text, {pattern}) AS gaps, regexp_extract_all(text, {pattern}) AS found, regexp_extract_all(text, {pattern}, {rule.group}) AS value, {rule.least} AS least FROM texts WHERE regexp_matches(text, {pattern})"
+        )
+    base = len(secrets.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = {k}) AS n_{r.kind}" for k, r in enumerate(secrets.BASE_RULES))
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+matches AS ({' UNION ALL '.join(parts)}),
+placed AS (SELECT k, kind, name, found, value, least, i, list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM matches)),
+spans AS (SELECT k, kind, start, name || ':' || start::BIGINT || ':' || (start + length(found[i]))::BIGINT AS span FROM placed WHERE length(value[i]) >= least),
+per_text AS (SELECT k, {counts}, string_agg(span, ',' ORDER BY start, kind) FILTER (kind < {base}) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM spans GROUP BY k)
+SELECT doc_id, {', '.join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secrets.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN per_text USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op4_substring": OP4_SQL, "op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op9_chat": OP9_SQL}

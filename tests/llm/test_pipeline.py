@@ -5,7 +5,6 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -53,12 +52,16 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, path).count() == 0
 
 
-def test_mix_oracle(spark):
+@pytest.mark.parametrize("name", ["op4_substring", "op6_mixing", "op7_secrets", "op9_chat"])
+def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     from lattica.llm import queries
 
-    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = sorted(duckdb.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({queries.OP6_SQL})").fetchall())
-    got = sorted(tuple(r) for r in queries.op6_mixing(spark, SF).select("doc_id", "size", "source_size", F.col("target"), "taken").collect())
-    assert got == [pytest.approx(w) for w in want]
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    got = sorted(tuple(r) for r in queries.queries()[name](spark, SF).select(*names).collect())
+    assert got == [pytest.approx(w) if name == "op6_mixing" else w for w in sorted(found.fetchall())]
