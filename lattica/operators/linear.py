@@ -49,8 +49,7 @@ def _block(pdf, x: Sequence[str], y: Sequence[str], weight: str | None) -> np.nd
 def grams(df: DataFrame, x: Sequence[str], y: Sequence[str], weight: str | None = None, by: str | None = None) -> dict:
     """Gram matrices of all rows (key None) or per value of `by`, which must have few values. Missing values count as 0.
 
-    Each task adds up its own blocks and sends one matrix per key, so what reaches the driver is bounded by tasks x keys x columns^2;
-    the matrices meet cell by cell in a grouped sum first.
+    Each task adds up its own blocks to one matrix per key; these meet cell by cell in a grouped sum, so the driver gets keys x columns^2 numbers.
     """
     if len(x) + len(y) > MAX_COLUMNS:
         raise ValueError("too many columns for one Gram matrix")
@@ -68,10 +67,8 @@ def grams(df: DataFrame, x: Sequence[str], y: Sequence[str], weight: str | None
     own = df.select(*x, *y, *([weight] if weight else []), *([by] if by else []))
     cells = own.mapInArrow(partial, "key string, row long, values array<double>").select("key", "row", F.posexplode("values").alias("col", "v"))
     out: dict = {}
-    for r in cells.groupBy("key", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "v"))), lambda c: c).alias("cells")).collect():
-        m = out.setdefault(r["key"], np.zeros((size, size)))
-        for c in r["cells"]:
-            m[r["row"], c["col"]] += c["v"]
+    for r in cells.groupBy("key", "row", "col").agg(F.sum("v").alias("v")).collect():
+        out.setdefault(r["key"], np.zeros((size, size)))[r["row"], r["col"]] = r["v"]
     return {k: Gram(m, list(x), list(y)) for k, m in out.items()}
 
 
