@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -45,6 +46,16 @@ def test_what_each_stage_does(spark, stages):
     assert sorted(zip(coded.doc_id, coded.ids_sha256)) == want
 
 
+def test_odd_documents_pass_all_stages(spark, docs, tmp_path):
+    path = str(tmp_path / "sf")
+    docs.select(*corpus_pipeline.COLUMNS).write.parquet(f"{path}/documents.parquet")
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{path}/labels.parquet")
+    distinct = corpus_pipeline.distinct_documents(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    ids = [r.doc_id for r in distinct.collect()]
+    assert ids.count(None) == 1 and len(ids) == len(set(ids)) and 2 in ids and not {3, 6, 7} & set(ids) and 5 in ids
+    assert corpus_pipeline.run(spark, path).count() > 0
+
+
 def test_empty_documents(spark, tmp_path):
     path = str(tmp_path / "sf")
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{path}/documents.parquet")
