@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, mixing, quality, secrets, simhash
+from lattica.llm import bpe, mixing, quality, secrets, similar
 from lattica.llm.storage import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,13 +21,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id. Five-word shingles, fingerprints at 4 bits or fewer.
+    """One document of each group of near-duplicates: that with the smallest id. Sets of five-word shingles that agree by 0.8 or more.
 
     Of rows that share an id, the one whose text has the least hash stays. Documents without an id can't stand for a
     group by it: of these, one of each text stays.
     """
-    groups = simhash.near_duplicates(docs, words=5, most=4)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    groups = similar.near_duplicates(docs, words=5)
+    first = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source", "n_chars")
     named = docs.join(first, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1")
     unnamed = docs.filter("doc_id is null").dropDuplicates(["text"])

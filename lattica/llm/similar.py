@@ -1,0 +1,157 @@
+"""Near-duplicates by the similarity of whole shingle sets: every pair with a Jaccard similarity of 0.8 or more is linked.
+
+Two sets that agree by 0.8 share one of the first n - ceil(0.8 n) + 1 elements of each, in any order common to all sets
+(prefix filtering), so no such pair is missed. The order puts shingles that many texts hold last; it is taken from a
+sample of the sets, on which only the cost depends. Candidates are verified by their whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .graph import components
+from .simhash import shingle_hashes
+from .storage import discard, materialize
+from .text import text_blocks, word_spans
+
+#: One of so many sets shows which shingles are common; those with at least COMMON sets in the sample go last, MAX_COMMON at most.
+SAMPLED, COMMON, MAX_COMMON = 16, 4, 100_000
+#: Rounds that compare each set with one other of its buckets before all candidates that are still apart are compared.
+ROUNDS = 3
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A 64-bit hash of a row's id and text; rows without an id have keys too."""
+    return F.xxhash64(F.col(doc_id).isNull(), doc_id, text)
+
+
+def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The set of shingle hashes of every whole text: doc_id, row_key, node (a hash of the set), shingles. Texts without words have the empty set."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch, data, offsets in text_blocks(batches):
+            starts, ends, first = word_spans(data, offsets)
+            sets, nodes = [], np.zeros(batch.num_rows, np.int64)
+            for k in range(batch.num_rows):
+                a, b = first[k], first[k + 1]
+                own = offsets[k]
+                found = np.unique(shingle_hashes(data[own : offsets[k + 1]], starts[a:b] - own, ends[a:b] - own, words).view(np.int64)) if b > a else np.zeros(0, np.int64)
+                sets.append(found)
+                nodes[k] = np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64)
+            ends_of = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends_of), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(nodes), lists], ["doc_id", "row_key", "node", "shingles"])
+
+    own = docs.select("doc_id", row_key().alias("row_key"), "text")
+    return own.mapInArrow(rows, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, row_key long, node long, shingles array<long>")
+
+
+def buckets(sets: DataFrame) -> DataFrame:
+    """(shingle, node, n): the prefixes of all sets under each of their shingles that another set's prefix holds too."""
+    sampled = sets.filter(F.pmod("node", F.lit(SAMPLED)) == 0)
+    common = sampled.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().filter(F.col("count") >= COMMON)
+    top = common.orderBy(F.desc("count"), "shingle").limit(MAX_COMMON).toPandas().sort_values("shingle")
+    shared = sets.sparkSession.sparkContext.broadcast((top["shingle"].to_numpy(np.int64), top["count"].to_numpy(np.int64)))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = shared.value
+        for batch in batches:
+            lists = batch.column("shingles")
+            n = np.diff(lists.offsets.to_numpy())
+            values = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(n)), n)
+            often = np.zeros(len(values), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+                often = np.where(keys[at] == values, counts[at], 0)
+            order = np.lexsort((values, often, owner))
+            rank = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            taken = order[rank < (n - (4 * n + 4) // 5 + 1)[owner]]
+            nodes = batch.column("node").to_numpy()
+            for a in range(0, max(len(taken), 1), 500_000):
+                own = taken[a : a + 500_000]
+                yield pa.RecordBatch.from_arrays([pa.array(values[own]), pa.array(nodes[owner[own]]), pa.array(n[owner[own]].astype(np.int64))], ["shingle", "node", "n"])
+
+    prefixes = sets.select("node", "shingles").mapInArrow(rows, "shingle long, node long, n long")
+    entries = materialize(prefixes.groupBy("shingle", "node").agg(F.first("n").alias("n")), "similar-prefixes")
+    several = entries.groupBy("shingle").count().filter("count > 1").select("shingle")
+    found = materialize(entries.join(several, "shingle", "left_semi"), "similar-buckets")
+    discard(entries)
+    return found
+
+
+def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more, in whole numbers: 9 common >= 4 (n_a + n_b).
+
+    The top 16 bits of the hashes bound what two sets have in common from above; whole sets meet only where that bound allows.
+    """
+
+    def sides(found: DataFrame, column: str) -> DataFrame:
+        for x in ("a", "b"):
+            found = found.join(members.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"of_{x}")), x)
+        return found
+
+    common, enough = F.size(F.array_intersect("of_a", "of_b")), (F.col("n_a") + F.col("n_b")) * 4
+    most = common + F.least(F.col("n_a") - F.size("of_a"), F.col("n_b") - F.size("of_b"))
+    possible = materialize(sides(pairs, "tops").filter(most * 9 >= enough).select("a", "b"), "similar-possible")
+    found = materialize(sides(possible, "shingles").filter(common * 9 >= enough).select("a", "b"), "similar-links")
+    discard(possible)
+    return found
+
+
+def linked_sets(sets: DataFrame) -> DataFrame:
+    """Component of each set that has another with a similarity of 0.8 or more: (node, component), the smallest node reachable.
+
+    First each set is compared, of one set of each of its buckets, with that which it meets most often; this joins most
+    of a large group at a cost in proportion to its size. Then all candidates in different components are compared, so no link between components
+    is missed; those within one need no more links. The files of sets are deleted once read.
+    """
+    entries = buckets(sets)
+    whole = sets.select("node", "shingles").join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    tops = F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 48).cast("smallint")))
+    members = materialize(whole.select("node", F.size("shingles").alias("n"), tops.alias("tops"), "shingles"), "similar-members")
+    discard(sets)
+    links = materialize(entries.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "similar-links")
+    parts = None
+    for k in range(ROUNDS + 1):
+        if parts is None:
+            own = entries.withColumn("part", F.col("node"))
+        else:
+            own = entries.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        own = materialize(own, "similar-parts")
+        apart = own.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "part")).alias("one"))
+        apart = apart.filter("least <> most")
+        similar_size = (F.col("n") * 5 >= F.col("m") * 4) & (F.col("m") * 5 >= F.col("n") * 4)
+        if k < ROUNDS:
+            met = own.join(apart.select("shingle", F.col("one.node").alias("other"), F.col("one.n").alias("m"), F.col("one.part").alias("other_part")), "shingle").filter((F.col("part") != F.col("other_part")) & similar_size)
+        else:
+            own = materialize(own.join(apart.select("shingle"), "shingle", "left_semi"), "similar-apart")
+            others = own.select("shingle", F.col("node").alias("other"), F.col("n").alias("m"), F.col("part").alias("other_part"))
+            met = own.join(others, "shingle").filter((F.col("node") < F.col("other")) & (F.col("part") != F.col("other_part")) & similar_size)
+        if k < ROUNDS:
+            met = met.groupBy("node", "other").count().groupBy("node").agg(F.max(F.struct("count", "other")).alias("best")).select("node", F.col("best.other").alias("other"))
+        pairs = materialize(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "similar-pairs")
+        links = links.unionByName(_verified(pairs, members))
+        discard(own)
+        discard(pairs)
+        parts = materialize(components(links, "similar-components"), "similar-found")
+    discard(members)
+    return parts
+
+
+def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """Component of every row: doc_id, row_key, component, over links between texts whose shingle sets agree by 0.8 or more.
+
+    Texts of equal sets are one node. Texts without words are one component.
+    """
+    sets = materialize(shingle_sets(docs, words), "similar-sets")
+    rows = materialize(sets.select("doc_id", "row_key", "node"), "similar-rows")
+    parts = linked_sets(sets)
+    return rows.join(parts, "node", "left").select("doc_id", "row_key", F.coalesce("component", "node").alias("component"))

@@ -1,0 +1,62 @@
+"""Near-duplicates by whole shingle sets, against all pairs compared one by one."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lattica.llm import similar
+
+
+def shingles(text, words=5):
+    found = (text or "").lower().split()
+    return {" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def texts_with_copies():
+    """Groups of near copies around and far beyond 0.8, a line that most texts hold, and chains."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    line, out = [word() for _ in range(12)], []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randint(30, 250))] + line
+        out.append(base)
+        for _ in range(rng.randint(0, 6)):
+            copy = list(rng.choice(out[-3:]))
+            for _ in range(rng.randint(1, max(1, len(copy) // 45))):
+                copy[rng.randrange(len(copy))] = word()
+            out.append(copy)
+    return [" ".join(t) for t in out]
+
+
+def brute_components(texts):
+    sets, part = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if part[i] != part[j] and (sets[i] == sets[j] or 9 * common >= 4 * (len(sets[i]) + len(sets[j]))):
+                old, new = max(part[i], part[j]), min(part[i], part[j])
+                part = [new if p == old else p for p in part]
+    return part
+
+
+@pytest.mark.parametrize("rounds, sampled", [(2, 16), (0, 1)])
+def test_all_pairs_at_08_are_linked_and_no_others(spark, monkeypatch, rounds, sampled):
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    monkeypatch.setattr(similar, "SAMPLED", sampled)
+    texts = texts_with_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component for r in similar.near_duplicates(docs).collect()}
+    least = {}
+    for i in sorted(found):
+        least.setdefault(found[i], i)
+    want = brute_components(texts)
+    assert len(set(want)) < len(texts) and [least[found[i]] for i in range(len(texts))] == want
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    texts = texts_with_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    kept = [r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").select("doc_id").collect()]
+    assert sorted(kept) == sorted(set(brute_components(texts)))
