@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import bpe, mixing, quality, secrets, similar
@@ -23,15 +23,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id. Sets of five-word shingles that agree by 0.8 or more.
 
-    Of rows that share an id, the one whose text has the least hash stays. Documents without an id can't stand for a
-    group by it: of these, one of each text stays.
+    Rows are told apart by id and text: each row stands or goes with its own group, whatever other rows of its id do.
+    Of rows of one id in one group, the one with the least key stays. Documents without an id can't stand for a group
+    by it: one of each group of these stays besides.
     """
     groups = similar.near_duplicates(docs, words=5)
-    first = groups.groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source", "n_chars")
-    named = docs.join(first, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1")
-    unnamed = docs.filter("doc_id is null").dropDuplicates(["text"])
-    return named.select(*COLUMNS).unionByName(unnamed.select(*COLUMNS))
+    first = groups.groupBy("component", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    # rows that are equal in id and text meet as a minimum in each task before they are dealt out
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    each = docs.groupBy(similar.row_key().alias("row_key")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct(*rest)).alias("rest"))
+    kept = each.join(first.select("first.row_key"), "row_key", "left_semi")
+    return kept.select("doc_id", "text", *[f"rest.{c}" for c in rest]).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

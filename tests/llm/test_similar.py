@@ -60,3 +60,15 @@ def test_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
     kept = [r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").select("doc_id").collect()]
     assert sorted(kept) == sorted(set(brute_components(texts)))
+
+
+def test_rows_of_one_id_stand_for_their_own_groups(spark):
+    """A copy under a shared id goes, the other text of that id stays; near copies without ids go but for one."""
+    rng = random.Random(3)
+    a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100)) for _ in range(3))
+    rows = [(1, a), (2, a + " end"), (2, b), (2, b), (3, b + " end"), (None, c), (None, c + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()]
+    named = [r for r in kept if r[0] is not None]
+    assert sorted(named) == [(1, a), (2, b)]
+    assert len(kept) == 3 and kept[[r[0] for r in kept].index(None)][1] in (c, c + " end")
