@@ -165,14 +165,20 @@ def site_posteriors(evidences: DataFrame, host: str, path: str) -> tuple[DataFra
     return joined.select("host", "path", "host_share", ((F.col("good") + F.lit(b) * F.col("host_share")) / (F.col("n") + F.lit(b))).alias("path_share")), share
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
+def verdict_key(host: str = "source", path: str = "lang") -> Column:
+    """A 64-bit hash of all that a row's verdict rests on, and of its id; nulls are told from values that are absent."""
+    return F.xxhash64(*[x for c in ("doc_id", "text", host, path) for x in (F.col(c).isNull(), F.col(c))])
+
+
+def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, keyed: bool = False) -> DataFrame:
     """Every document with its evidence, host_share, path_share, quality (combined probability) and keep (quality >= threshold).
 
     host and path name the columns that tell sites and their parts; null is a site of its own. Null texts are empty.
-    Returns the columns doc_id, host, path besides these; other columns of docs don't take part.
+    Returns the columns doc_id, host, path besides these, and verdict_key if keyed; other columns of docs don't take part.
     """
     model = train(docs, labels)
-    own = docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"))
+    key = [verdict_key(host, path).alias("verdict_key")] if keyed else []
+    own = docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"), *key)
     scored = materialize(evidence(own, model), "quality-evidence")
     sites, share = site_posteriors(scored, "host", "path")
     # sites are as many as the corpus has; a few copies of each spread the documents of a hot one over many tasks
@@ -183,10 +189,10 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     bounded = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_share")))
     logit = F.col("evidence") + F.log(bounded / (1 - bounded)) - F.lit(float(np.log(share / (1 - share))))
     quality = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(500.0)), F.lit(-500.0))))
-    return joined.select("doc_id", "host", "path", "evidence", "host_share", "path_share", quality.alias("quality")).withColumn("keep", F.col("quality") >= threshold)
+    return joined.select("doc_id", "host", "path", *["verdict_key"] * keyed, "evidence", "host_share", "path_share", quality.alias("quality")).withColumn("keep", F.col("quality") >= threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. Rows that share a doc_id go if all that share it are rejected, else all stay."""
-    kept = judge(docs, labels, host, path, threshold).filter("keep").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of docs that judge() keeps, with all their columns. Each row follows its own verdict, whatever other rows of its doc_id do."""
+    kept = judge(docs, labels, host, path, threshold, keyed=True).filter("keep").select(F.col("verdict_key").alias("_kept")).distinct()
+    return docs.join(kept, verdict_key(host, path) == F.col("_kept"), "left_semi")
