@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import discard, join_counted, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -14,23 +14,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternates two steps, each one grouped aggregation and one join: every node links its larger neighbours to its
     smallest one, then its smaller neighbours and itself to the smallest one. Edges never get more than they were, and
     the graph becomes stars around the smallest nodes in a logarithmic number of rounds. A node's neighbours are never
-    gathered: they meet as a minimum. Each round is written in the shared folder. Loops and repeated edges do no harm;
-    no edges give no rows.
+    gathered: they meet as a minimum, and the minimum of a node with a large share of all edges reaches them by a
+    broadcast. Each round is written in the shared folder. Loops and repeated edges do no harm; no edges give no rows.
     """
     links = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
+    count = links.count()
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("copies"))
+        large = join_counted(both, least, ["a"], 2 * count).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         large = materialize(large, name)
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        joined = large.join(least, "a")
-        small = joined.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("copies"))
+        small = join_counted(large, least, ["a"], count).filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
         new = materialize(small.filter("a <> b").distinct(), name)
         sums = [x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (links, new)]
         discard(large)
         discard(links)
-        links = new
+        links, count = new, sums[1][0]
         if sums[0] == sums[1]:
             break
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lattica.llm import bpe, chat, fingerprint, graph, logistic, media, mixing, quality, secrets, simhash, substring, toxicity
+from lattica.llm import bpe, chat, fingerprint, graph, logistic, media, mixing, quality, secrets, simhash, storage, substring, toxicity
 from lattica.llm.fmindex import FMIndex, suffix_array
 from lattica.llm.text import n_words
 from lattica.llm.trigrams import trigram_query
@@ -213,12 +213,52 @@ def test_near_duplicates(docs, no_docs, corpus):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def test_pairs_of_near_prints(spark):
+@pytest.mark.parametrize("segments", [None, 2, 3, 4])
+def test_components_of_near_prints(spark, segments):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 2**63, 30)
-    values = {int(b) for b in base} | {int(b) ^ sum(1 << int(x) for x in rng.choice(63, rng.integers(1, 8), False)) for b in base for _ in range(8)}
-    got = {(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame([(v,) for v in values], "f long")).collect()}
-    assert got == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4}
+    values = sorted({int(b) for b in base} | {int(b) ^ sum(1 << int(x) for x in rng.choice(63, rng.integers(1, 8), False)) for b in base for _ in range(8)})
+    got = {r.node: r.component for r in simhash.near_prints(spark.createDataFrame([(v,) for v in values], "f long"), segments=segments).collect()}
+    want = {v: v for v in values}
+    for a in values:
+        for b in values:
+            if a < b and (a ^ b).bit_count() <= 4 and want[a] != want[b]:
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = {k: new if g == old else g for k, g in want.items()}
+    assert {v: got.get(v, v) for v in values} == want and len(set(want.values())) > 30
+
+
+def test_segments_follow_the_size_of_the_table():
+    assert [simhash.segments_for(n, 4) for n in (1_000, 1_000_000, 10**9)] == [3, 3, 2] and simhash.segments_for(10, 0) == 1
+    widths = [simhash.segments_of(n) for n in (10, 10**4, 10**6, 10**9)]
+    assert widths == sorted(widths) and all(w >= np.log2(n) for (w, _), n in zip(widths, (10, 10**4, 10**6, 10**9)))
+
+
+def test_hot_keys_are_joined_as_others(spark):
+    """50,000 rows of one key, a thousand of another, and single ones."""
+    left = spark.range(60_000).select("id", F.when(F.col("id") < 50_000, 7).when(F.col("id") < 51_000, 8).otherwise(F.col("id")).alias("key"))
+    right = left.groupBy("key").agg(F.count("*").alias("copies"), F.max("id").alias("last"))
+    joined = storage.join_counted(left, right, ["key"], 60_000)
+    assert joined.columns == ["key", "id", "last"]
+    got = joined.groupBy("key").agg(F.count("*").alias("n"), F.min("last").alias("last")).collect()
+    assert len(got) == 9_002 and {r.key: (r.n, r.last) for r in got if r.key < 10} == {7: (50_000, 49_999), 8: (1_000, 50_999)}
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session())
 
 
 def test_components_of_chains(spark):

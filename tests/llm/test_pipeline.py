@@ -1,6 +1,8 @@
 """The stages of the pipeline on a small table, each against what its operator should have done."""
 
 import hashlib
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +25,24 @@ def stages(spark):
     return out
 
 
+def brute_groups(table):
+    """Group of each doc_id over all pairs of texts whose sets of five-word shingles agree by 0.8 or more."""
+    sets = {}
+    for r in table.itertuples():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or ""))
+        sets[r.doc_id] = frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    group, holders = {d: d for d in sets}, defaultdict(list)
+    for d in sorted(sets, key=lambda d: len(sets[d])):
+        shared = Counter(e for x in sets[d] for e in holders[x])
+        for x in sets[d]:
+            holders[x].append(d)
+        for e, common in shared.items():
+            if 9 * common >= 4 * (len(sets[d]) + len(sets[e])) and group[d] != group[e]:
+                old, new = max(group[d], group[e]), min(group[d], group[e])
+                group = {k: new if g == old else g for k, g in group.items()}
+    return group
+
+
 def test_columns(stages):
     for table in stages[:-1]:
         assert list(table.columns) == list(corpus_pipeline.COLUMNS)
@@ -35,7 +55,14 @@ def test_what_each_stage_does(spark, stages):
     marks = labels[labels.index.isin(docs.doc_id)]
     assert marks[marks == 1].index.isin(kept).mean() > 0.98 and marks[marks == 0].index.isin(kept).mean() < 0.1
     assert set(distinct.doc_id) <= kept and distinct.text.is_unique and distinct.doc_id.is_unique
-    assert set(distinct.text) == set(good.groupby("text").doc_id.min().map(good.set_index("doc_id").text)) or len(distinct) < good.text.nunique()
+    group = brute_groups(good)
+    left, least = set(distinct.doc_id), {}
+    for d in sorted(group):
+        least.setdefault(group[d], d)
+    # no document without a near-duplicate goes, nor the first of a group; of the others, nine in ten at least go
+    assert set(least.values()) <= left
+    others = set(group) - set(least.values())
+    assert others and len(others - left) >= 0.9 * len(others)
     before = distinct.set_index("doc_id").text
     for r in clean.itertuples():
         assert r.n_chars == len(r.text) and ("<secret>" in r.text or r.text == before[r.doc_id])
@@ -52,7 +79,7 @@ def test_odd_documents_pass_all_stages(spark, docs, tmp_path):
     docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{path}/labels.parquet")
     distinct = corpus_pipeline.distinct_documents(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
     ids = [r.doc_id for r in distinct.collect()]
-    assert ids.count(None) == 1 and len(ids) == len(set(ids)) and 2 in ids and not {3, 6, 7} & set(ids) and 5 in ids
+    assert None not in ids and len(ids) == len(set(ids)) and 2 in ids and not {3, 6, 7} & set(ids) and 5 in ids
     assert corpus_pipeline.run(spark, path).count() > 0
 
 
