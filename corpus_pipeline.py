@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, mixing, quality, secrets, similar
+from lattica.llm import bpe, mixing, quality, secrets, simhash
 from lattica.llm.storage import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,18 +21,19 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id. Sets of five-word shingles that agree by 0.8 or more.
+    """One document of each group of near-duplicates: that with the smallest id, null last. Sets of five-word shingles that agree by 0.8 or more.
 
-    Rows are told apart by id and text: each row stands or goes with its own group, whatever other rows of its id do.
-    Of rows of one id in one group, the one with the least key stays. Documents without an id can't stand for a group
-    by it: one of each group of these stays besides.
+    Candidates come from multi-index hashing of fingerprints, each link is verified on whole sets. Rows are told apart by
+    id and text: each row stands or goes with its own group, whatever other rows of its id do. Of rows of one id in one
+    group, the one with the least key stays; of rows that are equal in id and text, one.
     """
-    groups = similar.near_duplicates(docs, words=5)
-    first = groups.groupBy("component", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    groups = simhash.near_texts(docs, words=5)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    first = groups.groupBy("component").agg(F.min(order).alias("first")).select("first.row_key")
     # rows that are equal in id and text meet as a minimum in each task before they are dealt out
     rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    each = docs.groupBy(similar.row_key().alias("row_key")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct(*rest)).alias("rest"))
-    kept = each.join(first.select("first.row_key"), "row_key", "left_semi")
+    each = docs.groupBy(simhash.row_key().alias("row_key")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct(*rest)).alias("rest"))
+    kept = each.join(first, "row_key", "left_semi")
     return kept.select("doc_id", "text", *[f"rest.{c}" for c in rest]).select(*COLUMNS)
 
 
