@@ -2,8 +2,9 @@
 
 A template is any function from a list of turns to a string. The turns of a conversation are rendered as prefixes, one
 turn more each time; where an output begins with the one before, what is new is that turn's span. Where it doesn't, the
-template has rewritten history, and the conversation is marked. Rendering the last turn once more without its text
-shows where the text stands inside its span.
+template has rewritten history, and the conversation is marked. Two more outputs of the whole conversation, with marks
+in place of the texts that differ in their first and last characters, show where the texts stand: all that is equal in
+both is the template's own. Texts that can't be told from the template so are rendered one by one with such marks.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +39,14 @@ def unescape(text: str) -> str:
     return text
 
 
+@lru_cache(1 << 15)
+def _turn(turn: Turn) -> str:
+    return f"<s>[TURN] {escape(turn[0])} [/TURN] {escape(turn[1])}</s>\n"
+
+
 def template(turns: list[Turn]) -> str:
     """Each turn as <s>[TURN] role [/TURN] text</s>, with escapes for what could be read as control strings."""
-    return "".join(f"<s>[TURN] {escape(role)} [/TURN] {escape(text)}</s>\n" for role, text in turns)
+    return "".join(map(_turn, turns))
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -68,38 +75,74 @@ class Formatted:
         return [span for role, span in zip(roles, self.texts) if role == trained and span is not None]
 
 
+#: Texts that stand for a turn's text. They share neither their first nor their last character.
+MARKS = ("a0a", "b1b")
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common prefix."""
     low, high = 0, min(len(a), len(b))
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
     return low
 
 
+def _text_span(turns: list[Turn], k: int, whole: str, template: Template) -> tuple[int, int] | None:
+    """Where the text of turn k stands in the output of all turns, from two outputs in which marks take its place."""
+    x, y = (template([*turns[:k], (turns[k][0], m), *turns[k + 1 :]]) for m in MARKS)
+    head = _common(x, y)
+    tail = _common(x[head:][::-1], y[head:][::-1])
+    end = len(whole) - tail
+    if x[head : len(x) - tail] != MARKS[0] or end < head or whole[:head] != x[:head] or whole[end:] != x[len(x) - tail :]:
+        return None  # the text changes more of the output than the place where it stands
+    return head, end
+
+
+def _text_spans(turns: list[Turn], whole: str, template: Template) -> list[tuple[int, int] | None]:
+    """Where the texts of all turns stand in the output of all turns; None where that can't be told."""
+    marked = template([(role, MARKS[0]) for role, _ in turns])
+    other = template([(role, MARKS[1]) for role, _ in turns])
+    # the template's own pieces: what is equal in both outputs, between the marks
+    pieces, at = [], 0
+    for _ in turns:
+        next_at = marked.find(MARKS[0], at)
+        while next_at >= 0 and other[next_at : next_at + 3] != MARKS[1]:
+            next_at = marked.find(MARKS[0], next_at + 1)
+        if next_at < 0:
+            break
+        pieces.append(marked[at:next_at])
+        at = next_at + 3
+    pieces.append(marked[at:])
+    if len(pieces) == len(turns) + 1 and MARKS[1].join(pieces) == other:
+        # how a text is written shows when it is alone; all pieces and texts together have to give the output
+        alone = {turn: _text_span([turn], 0, template([turn]), template) for turn in set(turns)}
+        if None not in alone.values():
+            written = {turn: template([turn])[a:b] for turn, (a, b) in alone.items()}
+            spans, at = [], 0
+            for piece, turn in zip(pieces, turns):
+                spans.append((at + len(piece), at + len(piece) + len(written[turn])))
+                at = spans[-1][1]
+            if whole == "".join(x for piece, turn in zip(pieces, turns) for x in (piece, written[turn])) + pieces[-1]:
+                return list(spans)
+    return [_text_span(turns, k, whole, template) for k in range(len(turns))]
+
+
 def render(turns: list[Turn], template: Template = template) -> Formatted:
     """Spans of all turns, found by comparing the outputs of successive prefixes of the conversation."""
     spans: list[tuple[int, int] | None] = []
-    texts: list[tuple[int, int] | None] = []
     before = template([])
     rewrites = False
-    for k, (role, text) in enumerate(turns):
+    for k in range(len(turns)):
         now = template(turns[: k + 1])
-        if not now.startswith(before):
+        if now.startswith(before):
+            spans.append((len(before), len(now)))
+        else:
             rewrites = True
             kept = _common(before, now)
-            spans = [s if s is not None and s[1] <= kept else None for s in spans]
-            texts = [s if s is not None and s[1] <= kept else None for s in texts]
-            spans.append(None)
-            texts.append(None)
-        else:
-            spans.append((len(before), len(now)))
-            bare = template([*turns[:k], (role, "")])
-            head = _common(bare, now)
-            tail = _common(bare[head:][::-1], now[head:][::-1])
-            texts.append((head, len(now) - tail) if head + tail == len(bare) else None)
+            spans = [s if s is not None and s[1] <= kept else None for s in spans] + [None]
         before = now
-    return Formatted(before, spans, texts, rewrites)
+    return Formatted(before, spans, _text_spans(turns, before, template), rewrites)
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[Turn]]]:

@@ -1,60 +1,59 @@
-"""Logistic regression with a quadratic penalty on a bounded sample, fitted on the driver by Newton steps."""
+"""Logistic regression with a quadratic penalty: the loss, and a minimiser that needs values and slopes only."""
 
 from __future__ import annotations
 
-import numpy as np
-
-
-class Sparse:
-    """Rows of column numbers with weights, as three flat arrays."""
+from collections.abc import Callable
 
-    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_rows: int, n_columns: int) -> None:
-        self.rows, self.columns, self.values, self.shape = rows, columns, values, (n_rows, n_columns)
-
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, self.values * w[self.columns], self.shape[0])
-
-    def back(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, self.values * v[self.rows], self.shape[1])
+import numpy as np
 
 
-def fit(x: Sparse, y: np.ndarray, penalty: float = 1.0, positive: float = 1.0, steps: int = 25, inner: int = 40) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the log loss plus penalty * |w|^2 / 2; rows of class 1 count `positive` times. Each Newton step is solved by conjugate gradients."""
-    n, d = x.shape
+def log_loss(z: np.ndarray, y: np.ndarray, positive: float = 1.0) -> tuple[float, np.ndarray]:
+    """Sum of the log losses of log odds z, and its slope for each z; rows of class 1 count `positive` times."""
     c = np.where(y == 1, positive, 1.0)
-    w, b = np.zeros(d), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    return float((c * (np.logaddexp(0, z) - y * z)).sum()), c * (p - y)
 
-    def loss(w: np.ndarray, b: float) -> float:
-        z = x.dot(w) + b
-        return float((c * (np.logaddexp(0, z) - y * z)).sum() + penalty * (w @ w) / 2)
 
-    now = loss(w, b)
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int = 40, tolerance: float = 1e-4, memory: int = 6) -> np.ndarray:
+    """Minimum of a smooth convex f, which gives value and gradient, by limited-memory quasi-Newton steps. Ends once a step gains less than `tolerance` of the value."""
+    w = start
+    value, slope = f(w)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x.dot(w) + b, -500, 500)))
-        g, gb = x.back(c * (p - y)) + penalty * w, float((c * (p - y)).sum())
-        h = np.maximum(c * p * (1 - p), 1e-9)
-
-        def times(v: np.ndarray, vb: float) -> tuple[np.ndarray, float]:
-            u = h * (x.dot(v) + vb)
-            return x.back(u) + penalty * v, float(u.sum()) + 1e-9 * vb
-
-        s, sb, r, rb = np.zeros(d), 0.0, -g, -gb
-        q, qb = r.copy(), rb
-        norm = r @ r + rb * rb
-        first = norm
-        for _ in range(inner):
-            if norm <= 1e-12 * first or norm == 0:
-                break
-            a, ab = times(q, qb)
-            step = norm / (q @ a + qb * ab)
-            s, sb = s + step * q, sb + step * qb
-            r, rb = r - step * a, rb - step * ab
-            norm, old = r @ r + rb * rb, norm
-            q, qb = r + norm / old * q, rb + norm / old * qb
-        size = 1.0
-        while size > 1e-4 and (then := loss(w + size * s, b + size * sb)) > now:
+        q, shares = slope.copy(), []
+        for s, t in reversed(moves):
+            shares.append((s @ q) / (s @ t))
+            q -= shares[-1] * t
+        norm = np.linalg.norm(slope)
+        if norm == 0:
+            break
+        q *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 1 / norm
+        for (s, t), share in zip(moves, reversed(shares)):
+            q += (share - (t @ q) / (s @ t)) * s
+        size, down = 1.0, slope @ q
+        new, new_slope = f(w - q)
+        while new > value - 1e-4 * size * down and size > 1e-4:
             size /= 2
-        if size <= 1e-4 or now - then < 1e-8 * max(1.0, abs(now)):
+            new, new_slope = f(w - size * q)
+        if new >= value:
+            break
+        s, t = -size * q, new_slope - slope
+        gain, w, value, slope = value - new, w + s, new, new_slope
+        if s @ t > 1e-12:
+            moves = [*moves[-memory + 1 :], (s, t)]
+        if gain < tolerance * max(1.0, abs(value)):
             break
-        w, b, now = w + size * s, b + size * sb, then
-    return w, b
+    return w
+
+
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, positive: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise the log loss of the rows of x plus penalty * |w|^2 / 2."""
+
+    def f(w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slope = log_loss(x @ w[:-1] + w[-1], y, positive)
+        return value + penalty * float(w[:-1] @ w[:-1]) / 2, np.append(x.T @ slope + penalty * w[:-1], slope.sum())
+
+    start = np.zeros(x.shape[1] + 1)
+    start[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    w = minimise(f, start, steps=500, tolerance=1e-10)
+    return w[:-1], float(w[-1])

@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .logistic import Sparse, fit
-from .storage import materialize
+from .labelled import labelled_texts
+from .logistic import fit
+from .storage import discard, materialize
 from .text import text_blocks, word_hashes, word_spans
 
-#: The classifier is fitted on at most so many labelled texts, those with the least hash of their id.
+#: The classifier is fitted on at most so many labelled texts.
 SAMPLE = 20_000
 #: Evidence beyond this many log odds counts as this many when sites' shares are added up.
 EVIDENCE = 12.0
@@ -99,11 +100,9 @@ def _expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = 1.0) -> Model:
     """Fit on labels (doc_id, quality) and their texts in docs. No labels, or one class only, give a constant.
 
-    Labels that are null don't count; a doc_id with several labels counts with each of its distinct ones.
+    Labels that are null don't count; see labelled_texts for ids with several labels or texts.
     """
-    marked = labels.select("doc_id", F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y is not null").distinct()
-    chosen = marked.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "y").limit(sample)
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y")
+    texts = labelled_texts(docs, labels, "quality", sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches):
@@ -118,8 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
         return Model(np.zeros(d), np.ones(d), np.zeros(2 * d), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = _expand(x, mean, scale)
-    r, c = np.indices(z.shape)
-    weights, intercept = fit(Sparse(r.ravel(), c.ravel(), z.ravel(), *z.shape), y, penalty)
+    weights, intercept = fit(z, y, penalty)
     return Model(mean, scale, weights, intercept)
 
 

@@ -75,7 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_media, op2_toxicity, op3_fingerprint, op4_substring, op5_simhash, op6_mixing, op7_secrets, op8_quality, op9_chat, op10_bpe)}
 
 
-_SIZES = r"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents"
+_SIZES = r"""SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(text) AS held,
+  row_number() OVER (PARTITION BY doc_id, text, lang, source) - 1 AS among FROM documents"""
 
 OP6_SQL = f"""
 WITH RECURSIVE sized AS ({_SIZES}),
@@ -100,7 +101,7 @@ targets AS (
   SELECT source, source_size, CASE WHEN is_full THEN most::DOUBLE ELSE (rest_total * weight)::DOUBLE / rest_weight::DOUBLE END AS target FROM last),
 rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0::DOUBLE END AS rate,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS drawn
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(sized.source, 'null') || ':' || coalesce(held, 'null') || ':' || among), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS drawn
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken
 FROM rated

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
 from .trigrams import trigram_query
 
 
@@ -50,13 +51,25 @@ RULES = BASE_RULES + MORE_RULES
 def postings(keyed: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The inverted index for the trigrams of the rules: one row (trigram, _id, _sum) per trigram and distinct text that holds it.
 
-    Trigrams of rules that ignore case are looked up in the text in lower case, under "lower:". Other trigrams take no
-    part in any query, so they are not indexed.
+    One pass of a regular expression that looks ahead at every place cuts the trigrams of a text. Trigrams of rules that
+    ignore case are cut from the text in lower case, under "lower:". Other trigrams take no part in any query, so they
+    are not indexed.
     """
-    wanted = sorted({("lower:" if r.ignore_case else "exact:") + t for r in rules for s in trigram_query(r.pattern, r.ignore_case).any for t in s})
-    texts = keyed.select("_id", "_sum", F.col("text").alias("exact"), F.lower("text").alias("lower"))
-    held = F.array_compact(F.array(*[F.when(F.contains(w[:5], F.lit(w[6:])), F.lit(w)) for w in wanted]))
-    return texts.select("_id", "_sum", F.explode(held).alias("trigram"))
+    def under(of: str) -> Callable[[Column], Column]:
+        return lambda t: F.concat(F.lit(of), t)
+
+    held = []
+    for of, column in (("lower:", F.lower("text")), ("exact:", F.col("text"))):
+        wanted = sorted({t for r in rules if r.ignore_case == (of == "lower:") for s in trigram_query(r.pattern, r.ignore_case).any for t in s})
+        if wanted:
+            # grouped by their first character, which most places fail at once
+            heads = "|".join(f"{_quoted(c)}(?:{'|'.join(_quoted(t[1:]) for t in wanted if t[0] == c)})" for c in sorted({t[0] for t in wanted}))
+            held.append(F.transform(F.array_distinct(F.regexp_extract_all(column, F.lit(f"(?=({heads}))"), F.lit(1))), under(of)))
+    return keyed.select("_id", "_sum", F.explode(F.concat(*held) if held else F.array().cast("array<string>")).alias("trigram"))
+
+
+def _quoted(text: str) -> str:
+    return "".join(c if c.isalnum() else f"\\x{ord(c):02x}" if ord(c) < 256 else c for c in text)
 
 
 def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -81,22 +94,22 @@ def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return merged.select("_id", "_sum", F.array_compact(F.array(*met)).alias("rules")).filter(F.size("rules") > 0)
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The running combination of an array of numbers, by doubling: each pass combines every value with the one 1, 2, 4, ... places before."""
+    passes = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    doubled = lambda acc, k: F.transform(acc, lambda x, i: F.coalesce(combine(x, F.get(acc, i - F.call_function("shiftleft", F.lit(1), k))), x))
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(passes - 1, F.lit(0))), values, doubled))
+
+
 def _spans(rule: Rule, number: int, text: Column) -> Column:
-    """Array of (start, number, end) of a rule's matches that stand, in code points, from the pieces between the matches."""
+    """Array of (start, kind, end) of a rule's matches that stand, in code points, from the pieces between the matches."""
     whole = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
     value = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group))
-    lengths = F.zip_with(F.zip_with(F.split(text, rule.java, -1), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"))), value, lambda x, v: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), F.length(v).alias("of")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("spans"))
-    # the last piece has no match after it, so its len is null
-    return F.aggregate(
-        lengths,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["len"], F.lit(0))).alias("at"),
-            F.when(x["of"] >= rule.least, F.array_append(acc["spans"], F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(number).alias("kind"), (acc["at"] + x["gap"] + x["len"]).alias("end")))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    lengths = F.transform(whole, lambda m: F.length(m))
+    # as many pieces as matches, each before its match
+    ends = running(F.zip_with(F.slice(F.split(text, rule.java, -1), 1, F.size(whole)), lengths, lambda gap, n: F.length(gap) + n), lambda x, y: x + y)
+    placed = F.zip_with(F.arrays_zip(ends.alias("end"), lengths.alias("len")), value, lambda x, v: F.struct((x["end"] - x["len"]).alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), F.length(v).alias("of")))
+    return F.transform(F.filter(placed, lambda s: s["of"] >= rule.least), lambda s: F.struct(s["start"], s["kind"], s["end"]))
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -108,7 +121,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """
     kept = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
     keyed = docs.select(*kept, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_sum"))
-    found = candidates(postings(keyed.filter("text is not null"), rules), rules)
+    index = materialize(postings(keyed.filter("text is not null"), rules), "secret-postings")
+    found = candidates(index, rules)
     joined = keyed.join(found, ["_id", "_sum"], "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
@@ -129,11 +143,10 @@ def span_list(spans: Column | str, rules: Sequence[Rule] = RULES) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "<secret>") -> Column:
     """The text with every span, or run of spans that overlap, replaced by a mark. Spans are in order of start."""
-    out = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc)
-        .when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), s["end"].alias("at")))
-        .otherwise(F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["end"].alias("at"))),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(out["out"], F.substring(text, out["at"] + 1, F.length(text))))
+    reach = running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    # where all spans before a span end; a span that begins there or later begins a new mark
+    before = F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(spans) - 1))
+    begins = F.filter(F.zip_with(spans, before, lambda s, b: F.struct(s["start"].alias("start"), b.alias("before"))), lambda x: x["start"] >= x["before"])
+    pieces = F.transform(begins, lambda x: F.substring(text, x["before"] + 1, x["start"] - x["before"]))
+    rest = F.substring(text, F.array_max(reach) + 1, F.length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, mark), F.lit(mark), rest))

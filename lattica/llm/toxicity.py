@@ -2,131 +2,150 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .logistic import Sparse, fit
-from .storage import materialize
+from .labelled import labelled_texts
+from .logistic import log_loss, minimise
+from .storage import discard, materialize
 from .text import mix64, text_blocks
 
-#: Lengths of the n-grams, and the bits of their hashes: the table of weights that is broadcast has 2 ** HASH_BITS floats (16 MB).
+#: Lengths of the n-grams, and the bits of their hashes: the table of weights that is broadcast has 2 ** HASH_BITS floats (4 MB).
 LENGTHS: tuple[int, ...] = (4, 5, 6)
-HASH_BITS = 22
-#: The classifier is fitted on at most so many labelled texts, those with the least hash of their id; all counts come from them.
+HASH_BITS = 20
+#: The classifier is fitted on at most so many labelled texts; all of their n-grams take part.
 SAMPLE = 20_000
-#: At most so many n-grams have a weight: those whose counts tell the classes apart best.
-FEATURES = 4_000
+#: The sample lies in so many parts; each gives one vector of sums a pass.
+PARTS = 8
+#: Counts are smoothed by so many texts, divided by the shares of the classes: n-grams of a few texts say little.
+SMOOTHING = 100.0
 #: Toxic texts are the rarer class and count so many times in the fit.
-POSITIVE = 8.0
+POSITIVE = 20.0
+PENALTY = 1.0
 THRESHOLD = 0.7
 
+_PRIME = np.uint64(0x100000001B3)
 
-def _blocks(batch_texts: Sequence[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Texts in lower case between blanks, as code points: (first text, after the last, code points, offsets)."""
-    start, size, parts = 0, 0, []
-    for k, text in enumerate(batch_texts):
+
+def distinct_grams(texts: Sequence[str | None], lengths: Sequence[int] = LENGTHS, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The distinct buckets of each whole text's n-grams, in lower case and with a blank before and after it."""
+    last = np.zeros(1 << HASH_BITS, np.int64)
+    held, parts = 0, []
+    for k, text in enumerate(texts):
         parts.append(f" {(text or '').lower()} ")
-        size += len(parts[-1])
-        if size >= most or k == len(batch_texts) - 1:
-            points = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32)
-            yield start, k + 1, points, np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            start, size, parts = k + 1, 0, []
-
-
-def _grams(points: np.ndarray, offsets: np.ndarray, lengths: Sequence[int], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (text, bucket) pairs of a block as two arrays; wanted: only buckets where this is true."""
-    hashes = np.zeros(len(points), np.uint64)
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(points))  # code points to the end of the text
-    pairs = []
-    text = None
-    for n in range(1, max(lengths) + 1):
-        shifted = np.zeros(len(points), np.uint64)
-        shifted[: len(points) - n + 1] = points[n - 1 :]
-        hashes = hashes * np.uint64(0x100000001B3) + shifted + np.uint64(1)
-        if n in lengths:
-            bucket = (mix64(hashes ^ np.uint64(n)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-            good = left >= n
-            if wanted is not None:
-                good &= wanted[bucket]
-            at = np.flatnonzero(good)
-            if text is None:
-                text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            pairs.append(text[at] << HASH_BITS | bucket[at])
-    pairs = np.unique(np.concatenate(pairs))
-    return pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1)
+        held += len(parts[-1])
+        if held < most and k + 1 < len(texts):
+            continue
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+        ends = np.cumsum([len(p) for p in parts]).tolist()
+        hashes, buckets = np.zeros(len(points), np.uint64), []
+        for n in range(1, max(lengths) + 1):
+            shifted = np.zeros(len(points), np.uint64)
+            shifted[: max(0, len(points) - n + 1)] = points[n - 1 :]
+            hashes = hashes * _PRIME + shifted
+            if n in lengths:
+                buckets.append((n, (mix64(hashes ^ np.uint64(n)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)))
+        for a, b in zip([0, *ends], ends):
+            own = np.concatenate([at[a : max(a, b - n + 1)] for n, at in buckets])
+            # of equal buckets the place written last stays
+            places = np.arange(len(own))
+            last[own] = places
+            yield own[last[own] == places]
+        held, parts = 0, []
 
 
 @dataclass
 class Model:
-    lengths: tuple[int, ...] = LENGTHS
-    buckets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    lengths: tuple[int, ...]
+    #: Of each bucket the weight times the log-count ratio.
+    table: np.ndarray
     intercept: float = 0.0
 
-    def table(self) -> np.ndarray:
-        out = np.zeros(1 << HASH_BITS, np.float32)
-        out[self.buckets] = self.weights
-        return out
 
+def ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Naive Bayes log-count ratios from the numbers of texts that hold each n-gram. Smoothed so that an n-gram of no text has 0."""
+    n = n_clean + n_toxic
+    return np.log((toxic + SMOOTHING * n_toxic / n) / n_toxic) - np.log((clean + SMOOTHING * n_clean / n) / n_clean)
+
+
+def _sample_blocks(lengths: Sequence[int]) -> Callable:
+    """Texts with labels as rows of many texts each: labels, ends of the lists, buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _ in text_blocks(batches, most=1 << 19):
+            found = list(distinct_grams(batch.column("text").to_pylist(), lengths))
+            ends = np.cumsum([len(x) for x in found])
+            values = [batch.column("y").to_numpy().astype(np.int8), ends, np.concatenate(found).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], ["y", "ends", "buckets"])
+
+    return run
+
+
+def _passed(blocks: DataFrame, use: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum over the sample of what use(labels, text of each entry, buckets) gives: one vector per part reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first = np.zeros(size), ""
+        for batch in batches:
+            for y, ends, buckets in zip(*(batch.column(c) for c in ("y", "ends", "buckets"))):
+                sizes = np.diff(np.frombuffer(ends.as_buffer(), np.int64), prepend=0)
+                values = np.frombuffer(buckets.as_buffer(), np.int32)
+                first = first or f"{len(values)}:{values[:4].tolist()}"
+                total += use(np.frombuffer(y.as_buffer(), np.int8).astype(float), np.repeat(np.arange(len(sizes)), sizes), values)
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["first", "sums"])
 
-def train(docs: DataFrame, labels: DataFrame, lengths: tuple[int, ...] = LENGTHS, sample: int = SAMPLE, features: int = FEATURES, penalty: float = 1.0) -> Model:
+    out = np.zeros(size)
+    for row in sorted(blocks.mapInArrow(run, "first string, sums binary").collect()):
+        out += np.frombuffer(row["sums"], np.float32)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, lengths: tuple[int, ...] = LENGTHS, sample: int = SAMPLE, penalty: float = PENALTY, positive: float = POSITIVE) -> Model:
     """Fit on the rows of labels (doc_id, toxic) and their texts in docs. labels without rows, or of one class, give a constant score.
 
-    Labels that are null don't count; a doc_id with several labels counts with each of its distinct ones.
+    Labels that are null don't count; see labelled_texts for ids with several labels or texts. The tasks hold the sample;
+    the driver holds vectors of 2 ** HASH_BITS values. Each pass over the sample gives the loss and its slope.
     """
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y is not null").distinct()
-    chosen = marked.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "y").limit(sample)
-    texts = materialize(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y"), "toxicity-sample")
+    size = 1 << HASH_BITS
+    texts = labelled_texts(docs, labels, "toxic", sample)
+    blocks = materialize(texts.repartition(PARTS, F.xxhash64("text", "y")).mapInArrow(_sample_blocks(lengths), "y binary, ends binary, buckets binary"), "toxicity-sample")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << HASH_BITS), np.int32)
-        for batch in batches:
-            y = batch.column("y").to_numpy()
-            for a, b, points, offsets in _blocks(batch.column("text").to_pylist()):
-                text, bucket = _grams(points, offsets, lengths)
-                for c in (0, 1):
-                    counts[c] += np.bincount(bucket[y[a:b][text] == c], minlength=1 << HASH_BITS).astype(np.int32)
-        at = np.flatnonzero(counts.any(axis=0))
-        for k in range(0, len(at), 100_000):
-            own = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[0, own].astype(np.int64)), pa.array(counts[1, own].astype(np.int64))], ["bucket", "clean", "toxic"])
-
-    sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
+    def count(y: np.ndarray, text: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        marks = y[text]
+        return np.concatenate([np.bincount(buckets[marks == c], minlength=size) for c in (0, 1)] + [[(y == c).sum() for c in (0, 1)]])
+
+    counts = _passed(blocks, count, 2 * size + 2)
+    n_clean, n_toxic = (int(x) for x in counts[-2:])
+    prior = float(np.log((n_toxic + 0.5) / (n_clean + 0.5)))
     if not n_clean or not n_toxic:
-        return Model(lengths, intercept=float(np.log((n_toxic + 0.5) / (n_clean + 0.5))))
-    counted = texts.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # how many standard errors the shares of the classes lie apart
-    share = (F.col("clean") + F.col("toxic")) / F.lit(float(n_clean + n_toxic))
-    apart = (F.col("toxic") / F.lit(float(n_toxic)) - F.col("clean") / F.lit(float(n_clean))) / F.sqrt(share * (F.lit(1.0001) - share) * F.lit(1 / n_clean + 1 / n_toxic))
-    best = counted.filter("clean + toxic >= 3").withColumn("apart", F.abs(apart)).orderBy(F.desc("apart"), "bucket").limit(features).orderBy("bucket").toPandas()
-    buckets = best["bucket"].to_numpy(np.int64)
-    if not len(buckets):
-        return Model(lengths, intercept=float(np.log((n_toxic + 0.5) / (n_clean + 0.5))))
-    ratio = np.log(((best["toxic"].to_numpy() + 1.0) / (n_toxic + 2.0)) / ((best["clean"].to_numpy() + 1.0) / (n_clean + 2.0)))
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << HASH_BITS, bool)
-        wanted[buckets] = True
-        for batch in batches:
-            y = batch.column("y").to_numpy()
-            for a, b, points, offsets in _blocks(batch.column("text").to_pylist()):
-                text, bucket = _grams(points, offsets, lengths, wanted)
-                columns = np.searchsorted(buckets, bucket).astype(np.int32)
-                ends = np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(y[a:b].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(columns))], ["y", "columns"])
+        discard(blocks)
+        return Model(lengths, np.zeros(size, np.float32), prior)
+    ratio = ratios(counts[:size], counts[size : 2 * size], n_clean, n_toxic)
+    context = docs.sparkSession.sparkContext
+
+    def f(w: np.ndarray) -> tuple[float, np.ndarray]:
+        now = context.broadcast(((w[:-1] * ratio).astype(np.float32), float(w[-1])))
+
+        def slopes(y: np.ndarray, text: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+            table, intercept = now.value
+            value, slope = log_loss(np.bincount(text, table[buckets], len(y)) + intercept, y, positive)
+            return np.append(np.bincount(buckets, slope[text], size), [slope.sum(), value])
+
+        sums = _passed(blocks, slopes, size + 2)
+        now.unpersist()
+        return float(sums[-1]) + penalty * float(w[:-1] @ w[:-1]) / 2, np.append(sums[:size] * ratio + penalty * w[:-1], sums[-2])
 
-    rows = texts.mapInArrow(found, "y int, columns array<int>").toArrow()
-    lists = rows.column("columns").combine_chunks()
-    columns = lists.flatten().to_numpy()
-    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    weights, intercept = fit(Sparse(owner, columns, ratio[columns], len(lists), len(buckets)), rows.column("y").to_numpy().astype(float), penalty, POSITIVE)
-    return Model(lengths, buckets, (weights * ratio).astype(np.float32), intercept)
+    start = np.zeros(size + 1)
+    start[-1] = prior + np.log(positive)
+    w = minimise(f, start, steps=30, tolerance=1e-3)
+    discard(blocks)
+    return Model(lengths, (w[:-1] * ratio).astype(np.float32), float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -138,15 +157,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        table = model.table()
-        wanted = table != 0
         for batch, _, _ in text_blocks(batches):
-            out = np.zeros(batch.num_rows)
-            for a, b, points, offsets in _blocks(batch.column("text").to_pylist()):
-                text, bucket = _grams(points, offsets, model.lengths, wanted)
-                z = np.bincount(text, table[bucket], b - a) + model.intercept
-                out[a:b] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], ["doc_id", "score"])
+            z = np.array([float(model.table[own].sum(dtype=float)) for own in distinct_grams(batch.column("text").to_pylist(), model.lengths)]) + model.intercept
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
     own = docs.select("doc_id", "text")
     return own.mapInArrow(rows, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, score double")

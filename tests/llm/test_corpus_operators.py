@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -301,6 +302,28 @@ def test_mixing_comes_near_its_targets(spark):
         assert abs(r.taken - r.target) < 0.06 * r.target
 
 
+@pytest.mark.parametrize("hot, chunk", [(1_000, 4096), (2, 100)])
+def test_mixing_of_rows_without_ids_and_of_equal_rows(spark, monkeypatch, hot, chunk):
+    """All ids null, and of each source all rows equal; with sources joined either way, and equal rows in one chunk or many."""
+    monkeypatch.setattr(storage, "HOT_ROWS", hot)
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    shape = "cast(null as bigint) as doc_id", "repeat('w ', 3 + cast(id % 4 as int)) as text", "'en' as lang", "if(id % 4 = 3, null, concat('s', id % 4)) as source"
+    many = spark.range(6000).selectExpr(*shape).union(spark.range(6000, 9000).selectExpr(shape[0], "concat('v', id) as text", *shape[2:]))
+    mixed = mixing.mix(many)
+    got = mixed.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got) == 9000
+    for r in got:
+        assert abs(r.taken - r.target) < 0.08 * r.target
+    assert Counter(map(tuple, mixed.collect())) == Counter(map(tuple, mixing.mix(many.repartition(7)).collect()))
+
+
+def test_mixing_of_nothing(spark):
+    empty = spark.createDataFrame([(1, "", "a"), (2, None, None), (3, " ", "b")], "doc_id long, text string, source string")
+    assert {(r.size, r.target, r.taken) for r in mixing.mix(empty).collect()} <= {(0, 0.0, 0)}
+    some = spark.createDataFrame([(1, "", "a"), (2, "x y", "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: (r.target, r.taken) for r in mixing.mix(some).collect()} == {1: (0.0, 0), 2: (2.0, 2)}
+
+
 # --- secrets
 
 BASE = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16))
@@ -328,6 +351,31 @@ def test_redaction(spark):
     assert got == {0: "a <secret> b <secret>", 1: "clean", 2: None}
 
 
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    text = "é" + " ".join(f"token={k:012d}abc AKIA{k:014d}" for k in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "x" * 100_000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans if s.kind < 3] for r in secrets.scan(df).select("doc_id", "spans").collect()}
+    assert time.perf_counter() - began < 40
+    assert got == {1: brute_spans(text), 2: []} and len(got[1]) >= 40_000
+    some = secrets.scan(spark.createDataFrame([(1, text[:100_000])], "doc_id long, text string"))
+    clean = some.select(secrets.redact(F.col("text"), F.col("spans")).alias("t")).first().t
+    assert re.fullmatch(r"é(<secret> )+\S*", clean)
+
+
+def test_added_kinds_of_secrets(spark):
+    texts = ["ghp_" + "Z" * 36, "gho_" + "Z" * 35, "xoxb-12345-abcdef", "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 10, "-----BEGIN RSA PRIVATE KEY----- -----BEGIN PRIVATE KEY-----", None]
+    got = {r.doc_id: [(s.start, secrets.RULES[s.kind].kind, s.end) for s in r.spans] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: sorted((m.start(), r.kind, m.end()) for r in secrets.RULES for m in re.finditer(r.pattern, t or "", re.I if r.ignore_case else 0) if len(m[r.group]) >= r.least) for k, t in enumerate(texts)}
+    assert {kind for spans in got.values() for _, kind, _ in spans} == {"hosting", "chat", "jwt", "private"}
+
+
+def test_running_sums(spark):
+    rows = spark.createDataFrame([([],), ([5],), (list(range(1, 20)),)], "x array<int>")
+    got = [r.s for r in rows.select(secrets.running(F.col("x"), lambda a, b: a + b).alias("s")).collect()]
+    assert got == [[], [5], np.cumsum(range(1, 20)).tolist()]
+
+
 def test_trigram_queries():
     def sets(p, i=False):
         return {frozenset(s) for s in trigram_query(p, i).any}
@@ -381,6 +429,42 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+TEMPLATES = {
+    "lines": lambda turns: "".join(f"{r}: {t}\n" for r, t in turns),
+    "tags": lambda turns: "".join(f"<{r}>{t}</{r}>" for r, t in turns),
+    "numbered": lambda turns: "".join(f"[{k}]{t}" for k, (_, t) in enumerate(turns)),
+    "bare": lambda turns: "".join(t for _, t in turns),
+    "first": lambda turns: "".join(("START " if k == 0 else " ") + t for k, (_, t) in enumerate(turns)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_spans_of_texts_like_the_template(name):
+    """Texts that begin or end as the template's own pieces do."""
+    texts = ["\nfoo", "</x", "</user>", "a", "", "user: ", "a\n", "\n", "[1]", "a0a", "b1b", "a0ab1b", "\n\nuser: b\n", "<user>", " ", "START "]
+    turns = [("assistant" if k % 2 else "user", t) for k, t in enumerate(texts + texts[::-1])]
+    out = chat.render(turns, TEMPLATES[name])
+    assert not out.rewrites and [out.text[a:b] for a, b in out.texts] == [t for _, t in turns]
+    assert "".join(out.text[a:b] for a, b in out.turns) == out.text
+
+
+def test_texts_that_a_template_changes_elsewhere_have_no_span():
+    counted = lambda turns: "".join(f"({len(t)}){t};" for _, t in turns)
+    out = chat.render([("user", "abc"), ("user", "defgh")], counted)
+    assert [s if s is None else out.text[slice(*s)] for s in out.texts] in ([None, None], ["abc", None], [None, "defgh"], ["abc", "defgh"])
+    trimmed = lambda turns: "".join(f"<{t.strip()}>" for _, t in turns)
+    out = chat.render([("user", " x "), ("user", "y")], trimmed)
+    assert [out.text[a:b] for a, b in out.texts] == ["x", "y"]
+
+
+def test_a_very_long_conversation():
+    turns = [("user" if k % 2 else "assistant", f"text {k}") for k in range(20_000)]
+    began = time.perf_counter()
+    out = chat.render(turns)
+    assert time.perf_counter() - began < 60
+    assert [out.text[a:b] for a, b in out.texts] == [t for _, t in turns]
+
+
 def test_templates_that_rewrite_history():
     def dated(turns):
         return f"{len(turns)} turns\n" + "".join(f"<{r}>{t}</{r}>" for r, t in turns)
