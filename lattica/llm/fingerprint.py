@@ -18,6 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import HOT_ROWS, discard, materialize
 from .text import mix64, text_blocks
 
 WINDOW, FRAME = 64, 64
@@ -202,32 +203,62 @@ def unpack(packed: bytes | None) -> str:
     return zstandard.ZstdDecompressor().decompress(packed).decode() if packed is not None else ""
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def _pieces(own: DataFrame, rows: int) -> DataFrame:
+    """Rows (doc_id, sum, ...) with `piece`, a struct whose order is that of descending doc_id (null last), then of sum.
+
+    Ids are cut at quantiles. An id that many rows share, or none, is a range of its own, cut by the hash of the text;
+    rows of one id and text that are very many are equal, so they are dealt out among pieces in any order.
+    """
+    spark = own.sparkSession
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    often = max(HOT_ROWS, rows // n)
+    quantiles = own.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("cuts")).first()["cuts"] or []
+    # at most n ids and n texts are so frequent
+    groups = materialize(own.groupBy("doc_id", "sum").agg(F.count("*").alias("rows")), "fingerprint-groups")
+    hot_ids = {r["doc_id"]: r["rows"] for r in groups.groupBy("doc_id").agg(F.sum("rows").alias("rows")).filter(F.col("rows") > often).collect()}
+    hot_rows = groups.filter(F.col("rows") > often).collect()
+    discard(groups)
+    cuts = sorted({*quantiles, *(i for i in hot_ids if i is not None)}, reverse=True)
+    kind = own.schema["doc_id"].dataType
+    larger = F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
+    of_hot = F.lit(False)
+    parts = F.lit(1)
+    for doc, count in hot_ids.items():
+        same = F.col("doc_id").eqNullSafe(F.lit(doc).cast(kind))
+        of_hot, parts = of_hot | same, F.when(same, F.lit(-(-count // often))).otherwise(parts)
+    number = F.when(F.col("doc_id").isNull(), 2 * len(cuts) + 3).otherwise(2 * larger + F.when(of_hot, 2).otherwise(1) if cuts else F.lit(1))
+    # the share of all hashes below this one
+    below = F.least(F.col("sum").cast("double") / F.lit(2.0**64) + F.lit(0.5), F.lit(1 - 1e-9))
+    place, tie = F.lit(0), F.lit(0)
+    for r in sorted(hot_rows, key=lambda r: r["sum"]):
+        same = F.col("doc_id").eqNullSafe(F.lit(r["doc_id"]).cast(kind))
+        place = place + F.when(same & (F.col("sum") > r["sum"]), 2).when(same & (F.col("sum") == r["sum"]), 1).otherwise(0)
+        tie = F.when(same & (F.col("sum") == r["sum"]), F.pmod(F.monotonically_increasing_id(), F.lit(-(-r["rows"] // often)))).otherwise(tie)
+    piece = F.struct(number.cast("int").alias("range"), F.floor(below * parts).cast("int").alias("part"), place.cast("int").alias("place"), tie.cast("int").alias("tie"))
+    return own.withColumn("piece", piece)
+
+
+def with_next(docs: DataFrame) -> DataFrame:
     """Each row with the text of the next one in descending doc_id, after the last the first: doc_id, text, next_text, both packed (see unpack).
 
-    Equal ids follow by text, null ids come last. Ranges of ids, cut at quantiles, are windows of their own, so no task
-    sees all rows; each also gets the first row of the range after it, found by a minimum per range.
+    Equal ids follow by the hash of their text, null ids come last. Ranges of ids are windows of their own, so no task
+    sees all rows, nor all of one id (see _pieces); each also gets the first row of the range after it.
     """
-    own = docs.select(F.col("doc_id"), "text", F.xxhash64("text").alias("sum"))
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("sum"))
     ids = own.schema["doc_id"].dataType.simpleString()
-    n = buckets or max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = own.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts), reverse=True)
-    # range 0 has the largest ids; the last one also the null ones
-    larger = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("doc_id") <= c)) if cuts else F.lit(0)
-    number = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(larger)
-    ranged = own.withColumn("range", number.cast("int"))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id")).alias("order"), F.col("text").isNotNull().alias("has_text"), F.col("sum"))
-    heads = ranged.groupBy("range").agg(F.min(first).alias("head")).orderBy("range").collect()
-    before = {h["range"]: heads[k - 1]["range"] for k, h in enumerate(heads)}
-    kind = ranged.select(first.alias("h")).schema["h"].dataType.simpleString()
-    guests = docs.sparkSession.createDataFrame([(h["range"], before[h["range"]], h["head"]) for h in heads], f"range int, host int, head {kind}")
-    # as many guests as ranges
-    copies = ranged.withColumn("head", first).join(F.broadcast(guests), ["range", "head"]).dropDuplicates(["range"]).select("doc_id", "text", "sum", F.col("host").alias("range"), F.lit(1).alias("guest"))
-    both = ranged.withColumn("guest", F.lit(0)).unionByName(copies)
-    packed = both.mapInArrow(_pack, f"doc_id {ids}, text binary, sum long, range int, guest int")
-    order = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.col("text").isNotNull(), F.col("sum"))
-    return packed.withColumn("next_text", F.lead("text").over(order)).filter("guest = 0").select("doc_id", "text", "next_text")
+    packed = materialize(_pieces(own, own.count()).mapInArrow(_pack, f"doc_id {ids}, text binary, sum long, piece struct<range:int,part:int,place:int,tie:int>"), "fingerprint-packed")
+    # ~x turns the order of whole numbers around and has a value for each
+    first = F.struct(F.bitwise_not("doc_id").alias("order"), F.col("sum"))
+    heads = packed.groupBy("piece").agg(F.min(first).alias("head")).orderBy("piece").collect()
+    before = {h["piece"]: heads[k - 1]["piece"] for k, h in enumerate(heads)}
+    kind = packed.schema["piece"].dataType.simpleString()
+    guests = docs.sparkSession.createDataFrame([(h["piece"], before[h["piece"]], h["head"]) for h in heads], f"of {kind}, host {kind}, head struct<order:{ids},sum:long>")
+    # as many guests as pieces
+    same = (F.col("piece") == F.col("of")) & F.col("head.sum").eqNullSafe(F.col("sum")) & F.col("head.order").eqNullSafe(F.bitwise_not("doc_id"))
+    copies = packed.join(F.broadcast(guests), same).groupBy("of").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("sum").alias("sum"), F.first("host").alias("piece"))
+    both = packed.withColumn("guest", F.lit(0)).unionByName(copies.drop("of").withColumn("guest", F.lit(1)))
+    order = Window.partitionBy("piece").orderBy("guest", F.desc_nulls_last("doc_id"), "sum")
+    return both.withColumn("next_text", F.lead("text").over(order)).filter("guest = 0").select("doc_id", "text", "next_text")
 
 
 def edited(text: str, following: str) -> str:

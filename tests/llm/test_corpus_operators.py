@@ -1,5 +1,6 @@
 """Operators against plain versions, on texts with every odd case."""
 
+import base64
 import hashlib
 import math
 import re
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 from lattica.llm import bpe, chat, fingerprint, graph, logistic, media, mixing, quality, secrets, simhash, storage, substring, toxicity
 from lattica.llm.fmindex import FMIndex, suffix_array
-from lattica.llm.text import n_words
+from lattica.llm.text import mix64, n_words
 from lattica.llm.trigrams import trigram_query
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,23 +105,93 @@ def test_logistic_fit_is_a_minimum():
 # --- fingerprints
 
 
+def plain_print(text, rarity):
+    """The digest of a text, window by window."""
+    data = text.encode()
+    if not data:
+        return []
+    data += bytes(max(0, 64 - len(data)))
+    windows = [data[i : i + 64] for i in range(len(data) - 63)]
+    keys = [(int(rarity[s]), i) for i, s in enumerate(fingerprint.entropy_steps(np.frombuffer(data, np.uint8)).tolist())]
+    frames = [keys[i : i + 64] for i in range(max(1, len(keys) - 63))]
+    wins = Counter(min(f)[1] for f in frames)
+    chain = []
+    seen = set()
+    for i in sorted(wins):
+        if wins[i] >= min(16, len(frames)) and windows[i] not in seen:
+            seen.add(windows[i])
+            h = np.array([0x9E3779B97F4A7C15], np.uint64)
+            for k in range(8):
+                h = mix64(h ^ np.frombuffer(windows[i], "<u8")[k : k + 1]) + np.uint64(k)
+            if not chain or chain[-1][1] == 160:
+                chain.append([set(), 0])
+            chain[-1][0] |= {int(h[0]) >> 11 * k & 2047 for k in range(5)}
+            chain[-1][1] += 1
+    return chain
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if (sum(n for _, n in a), len(a)) > (sum(n for _, n in b), len(b)):
+        a, b = b, a
+    total = 0
+    for x, n in a:
+        best = 0
+        for y, _ in b:
+            chance = len(x) * len(y) / 2048
+            chance += 0.1 * (min(len(x), len(y)) - chance)
+            best = max(best, min(1, max(0, (len(x & y) - chance) / max(min(len(x), len(y)) - chance, 1e-9))))
+        total += n * best
+    return total / sum(n for _, n in a)
+
+
+def plain_string(chain):
+    out = []
+    for bits, n in chain:
+        raw = bytearray(256)
+        for b in bits:
+            raw[b // 8] |= 128 >> b % 8
+        out.append(f"{n:02x}{base64.b64encode(bytes(raw)).decode()}")
+    return ".".join(out)
+
+
 def test_edited_texts(docs, no_docs, corpus):
-    got = {}
-    for r in fingerprint.compare_edits(docs.filter("doc_id < 100").dropDuplicates(["doc_id"])).collect():
-        got[r.doc_id] = r
-    texts = {c[0]: c[1] or "" for c in corpus if c[0] is not None and c[0] < 100}
-    ids = sorted(texts, reverse=True)
-    prints = defaultdict(set)
-    for k, i in enumerate(ids):
-        new = fingerprint.edited(texts[i], texts[ids[(k + 1) % len(ids)]])
-        assert (got[i].n_chars, got[i].edited_sha256) == (len(texts[i]), sha(new))
-        prints[texts[i]].add(got[i].fingerprint)
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-    assert all(len(p) == 1 for p in prints.values())
-    assert fingerprint.compare_edits(docs).count() == len(corpus)
+    """Also null and repeated ids, which follow by the hash of their text; against a digest made window by window."""
+    rarity = fingerprint.fit_rarity(docs)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted((c[:2] for c in corpus), key=lambda c: (c[0] is None, -(c[0] or 0), hashes[c[1]]))
+    want, known = Counter(), {}
+
+    def print_of(text):
+        if text not in known:
+            known[text] = plain_print(text, rarity)
+        return known[text]
+
+    for k, (doc, text) in enumerate(ordered):
+        text, after = text or "", ordered[(k + 1) % len(ordered)][1] or ""
+        half = len(text) // 2
+        new = text[: len(text) - half] + after[:half]
+        a, b, c = map(print_of, (text, new, after))
+        want[doc, len(text), sha(new), plain_string(a), plain_string(b), round(plain_likeness(a, b), 4), round(plain_likeness(a, c), 4)] += 1
+    found = fingerprint.compare_edits(docs)
+    rows_found = found.collect()
+    assert Counter(tuple(r)[:5] for r in rows_found) == sum((Counter({k[:5]: n}) for k, n in want.items()), Counter())
+    # likeness is summed in single precision
+    assert sorted((*tuple(r)[:5], r.near_edited, r.near_next) for r in rows_found if r.doc_id is not None) == [(*w[:5], pytest.approx(w[5], abs=1e-3), pytest.approx(w[6], abs=1e-3)) for w in sorted(w for w in want.elements() if w[0] is not None)]
     assert fingerprint.compare_edits(no_docs).count() == 0
 
 
+def test_next_text_of_extreme_and_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "HOT_ROWS", 5)
+    rows = [(-(2**63), "least"), (2**63 - 1, "most"), (0, "zero")] + [(7, f"seven {k % 30}") for k in range(90)] + [(8, "same")] * 60 + [(None, f"none {k % 3}") for k in range(50)] + [(k, f"t{k}") for k in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = Counter((d, t, ordered[(k + 1) % len(rows)][1]) for k, (d, t) in enumerate(ordered))
+    assert Counter((r.doc_id, fingerprint.unpack(r.text), fingerprint.unpack(r.next_text)) for r in fingerprint.with_next(docs).collect()) == want
+
+
 def test_likeness_tells_related_from_unrelated():
     rng = np.random.default_rng(3)
     a, b = (rng.integers(97, 123, 4000).astype(np.uint8).tobytes() for _ in range(2))
