@@ -15,9 +15,9 @@ from .logistic import log_loss, minimise
 from .storage import discard, materialize
 from .text import mix64, text_blocks
 
-#: Lengths of the n-grams, and the bits of their hashes: the table of weights that is broadcast has 2 ** HASH_BITS floats (4 MB).
+#: Lengths of the n-grams, and the bits of their hashes: the table of weights that is broadcast has 2 ** HASH_BITS floats (1 MB).
 LENGTHS: tuple[int, ...] = (4, 5, 6)
-HASH_BITS = 20
+HASH_BITS = 18
 #: The classifier is fitted on at most so many labelled texts; all of their n-grams take part.
 SAMPLE = 20_000
 #: The sample lies in so many parts; each gives one vector of sums a pass.
