@@ -20,7 +20,7 @@ LENGTHS: tuple[int, ...] = (4, 5, 6)
 HASH_BITS = 18
 #: The classifier is fitted on at most so many labelled texts; all of their n-grams take part.
 SAMPLE = 20_000
-#: The sample lies in so many parts; each gives one vector of sums a pass.
+#: The sample lies in so many parts at most; each gives one vector of sums a pass.
 PARTS = 8
 #: Counts are smoothed by so many texts, divided by the shares of the classes: n-grams of a few texts say little.
 SMOOTHING = 100.0
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, lengths: tuple[int, ...] = LENGTHS
     """
     size = 1 << HASH_BITS
     texts = labelled_texts(docs, labels, "toxic", sample)
-    blocks = materialize(texts.repartition(PARTS, F.xxhash64("text", "y")).mapInArrow(_sample_blocks(lengths), "y binary, ends binary, buckets binary"), "toxicity-sample")
+    blocks = materialize(texts.coalesce(PARTS).mapInArrow(_sample_blocks(lengths), "y binary, ends binary, buckets binary"), "toxicity-sample")
 
     def count(y: np.ndarray, text: np.ndarray, buckets: np.ndarray) -> np.ndarray:
         marks = y[text]
