@@ -21,7 +21,7 @@ HASH_BITS = 18
 #: The classifier is fitted on at most so many labelled texts; all of their n-grams take part.
 SAMPLE = 20_000
 #: The sample lies in so many parts at most; each gives one vector of sums a pass.
-PARTS = 8
+PARTS = 16
 #: Counts are smoothed by so many texts, divided by the shares of the classes: n-grams of a few texts say little.
 SMOOTHING = 100.0
 #: Toxic texts are the rarer class and count so many times in the fit.
@@ -32,7 +32,7 @@ THRESHOLD = 0.7
 _PRIME = np.uint64(0x100000001B3)
 
 
-def distinct_grams(texts: Sequence[str | None], lengths: Sequence[int] = LENGTHS, most: int = 1 << 20) -> Iterator[np.ndarray]:
+def distinct_grams(texts: Sequence[str | None], lengths: Sequence[int] = LENGTHS, most: int = 1 << 16) -> Iterator[np.ndarray]:
     """The distinct buckets of each whole text's n-grams, in lower case and with a blank before and after it."""
     last = np.zeros(1 << HASH_BITS, np.int64)
     held, parts = 0, []
@@ -77,7 +77,7 @@ def _sample_blocks(lengths: Sequence[int]) -> Callable:
     """Texts with labels as rows of many texts each: labels, ends of the lists, buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in text_blocks(batches, most=1 << 19):
+        for batch, _, _ in text_blocks(batches, most=1 << 16):
             found = list(distinct_grams(batch.column("text").to_pylist(), lengths))
             ends = np.cumsum([len(x) for x in found])
             values = [batch.column("y").to_numpy().astype(np.int8), ends, np.concatenate(found).astype(np.int32)]
