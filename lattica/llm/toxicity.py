@@ -22,6 +22,8 @@ HASH_BITS = 18
 SAMPLE = 20_000
 #: The sample lies in so many parts at most; each gives one vector of sums a pass.
 PARTS = 16
+#: Rows of the sample hold the n-grams of some 64 KB of text each; so many go to Python at once.
+BATCH = 8
 #: Counts are smoothed by so many texts, divided by the shares of the classes: n-grams of a few texts say little.
 SMOOTHING = 100.0
 #: Toxic texts are the rarer class and count so many times in the fit.
@@ -100,9 +102,14 @@ def _passed(blocks: DataFrame, use: Callable[[np.ndarray, np.ndarray, np.ndarray
         if first:
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["first", "sums"])
 
-    out = np.zeros(size)
-    for row in sorted(blocks.mapInArrow(run, "first string, sums binary").collect()):
-        out += np.frombuffer(row["sums"], np.float32)
+    out, conf, key = np.zeros(size), blocks.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH))
+    try:
+        for row in sorted(blocks.mapInArrow(run, "first string, sums binary").collect()):
+            out += np.frombuffer(row["sums"], np.float32)
+    finally:
+        conf.set(key, before)
     return out
 
 
