@@ -48,7 +48,8 @@ def number(x: Column) -> Column:
 
 
 def pack_key(time: Column, asset: Column) -> Column:
-    """time * 256 + asset for assets 0 to 255."""
+    """time * 256 + asset for assets 0 to 255; others are an error."""
+    asset = F.when(asset.between(0, 255), asset).otherwise(F.raise_error(F.lit("assets have to be 0 to 255")).cast("long"))
     return F.shiftleft(time, 8).bitwiseOR(asset.cast("long"))
 
 

@@ -125,3 +125,11 @@ def state_vector(df: DataFrame, cross: str, first: str, second: str, prediction:
 def ragged_lists(df: DataFrame, column: str) -> DataFrame:
     """Each cross section's values as an array in order of asset_id. A cross section has at most as many rows as there are assets."""
     return df.groupBy("time_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset_id", F.col(column).alias("v")))), lambda x: x["v"]).alias("values"))
+
+
+def dense_lists(df: DataFrame, column: str) -> DataFrame:
+    """As ragged_lists(), all as long as the largest cross section; what is missing is NaN."""
+    lists = ragged_lists(df, column)
+    width = F.broadcast(lists.agg(F.max(F.size("values")).alias("_w")))
+    padded = F.concat("values", F.array_repeat(F.lit(float("nan")), F.col("_w") - F.size("values")))
+    return lists.crossJoin(width).select("time_id", padded.alias("values"))

@@ -38,16 +38,22 @@ def _peak(v, g, d):
         return np.where((g > 0) & (d > 0), v * v / (g * d), 0.0)
 
 
+def _draw(seed: int, *parts: str):
+    """A number below 2^32 from md5 of seed:part:part, the same on any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in parts])), 1, 8), 16, 10).cast("long")
+
+
 def bootstrap_chunks(chunks: DataFrame, samples: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """Confidence interval of the relative gain in peak, arm over base, when chunks are drawn anew; both arms see the same draws.
 
-    chunks: rows (chunk, d, v_base, g_base, v_arm, g_arm), chunk numbered 0, 1, ... Draws are a table of their own that
+    chunks: rows (chunk, d, v_base, g_base, v_arm, g_arm), in order of chunk, whose numbers may have gaps. Draws are a table of their own that
     joins the sums, so replicates spread over tasks; each draw is a hash of seed, replicate and place.
     """
     n = chunks.count()
     spark = chunks.sparkSession
+    chunks = chunks.withColumn("chunk", (F.row_number().over(Window.orderBy("chunk")) - 1).cast("long"))
     draws = spark.range(samples).withColumnRenamed("id", "replicate").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    draws = draws.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "replicate", "place"), F.lit(n)))
+    draws = draws.withColumn("chunk", F.pmod(_draw(seed, "replicate", "place"), F.lit(n)))
     sums = draws.join(chunks, "chunk").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("d", "v_base", "g_base", "v_arm", "g_arm")])
 
     def peak(arm: str):
@@ -70,7 +76,7 @@ def block_bootstrap(cube: DataFrame, columns: Sequence[str], block: int, samples
     if block <= 0 or block > n:
         raise ValueError("a block must have at least one time and at most all")
     draws = cube.sparkSession.range(samples).withColumnRenamed("id", "replicate").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(-(-n // block)))))
-    draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "replicate", "k"), F.lit(n - block + 1)))
+    draws = draws.withColumn("start", F.pmod(_draw(seed, "replicate", "k"), F.lit(n - block + 1)))
     ends = sums.select((F.col("place") - block).alias("start"), *[F.col(c).alias(f"e_{c}") for c in columns])
     starts = sums.select(F.col("place").cast("long").alias("start"), *[F.col(c).alias(f"s_{c}") for c in columns])
     joined = draws.join(ends, "start").join(starts, "start", "left")
@@ -127,3 +133,35 @@ def moment_check(cube: DataFrame, direct: DataFrame) -> bool:
     want = direct.first()["score"]
     got = (2 * s["v"] - s["g"]) / s["d"] if s["d"] else 0.0
     return abs(got - want) <= 1e-12 * max(1.0, abs(want))
+
+
+def phase_heterogeneity(cube: DataFrame, block: int, samples: int, seed: int, period: int = 10) -> DataFrame:
+    """Do phases differ by more than chance? cube: one row per time with v and d.
+
+    A phase's gain is its sum of v over the sum of d of all. From the variance of the gains over phases goes what
+    replicates of blocks of times show as variance of a phase's own gain: observed, sampling, excess, low and high (the
+    95 % interval of the replicates' spread less sampling), detected.
+    """
+    names = [f"p{k}" for k in range(period)]
+    phase = F.pmod("time_id", F.lit(period))
+    wide = cube.select("time_id", "d", *[F.when(phase == k, F.col("v")).otherwise(0.0).alias(n) for k, n in enumerate(names)])
+    drawn = block_bootstrap(wide, ["d", *names], block, samples, seed)
+    gains = [F.try_divide(n, "d") for n in names]
+
+    def spread(values):
+        mean = sum(values[1:], values[0]) / len(values)
+        return sum(((v - mean) ** 2 for v in values), F.lit(0.0)) / (len(values) - 1)
+
+    seen = wide.agg(*[F.sum(c).alias(c) for c in ("d", *names)]).select(spread(gains).alias("observed"))
+    each = drawn.select(spread(gains).alias("s"), *[g.alias(n) for g, n in zip(gains, names)])
+    own = F.broadcast(each.agg((sum((F.var_samp(n) for n in names), F.lit(0.0)) / period).alias("sampling"), F.percentile("s", F.array(F.lit(0.025), F.lit(0.975))).alias("q")))
+    out = seen.crossJoin(own).select("observed", "sampling", (F.col("observed") - F.col("sampling")).alias("excess"), (F.col("q")[0] - F.col("sampling")).alias("low"), (F.col("q")[1] - F.col("sampling")).alias("high"))
+    return out.withColumn("detected", (F.col("excess") > 0) & (F.col("low") > 0))
+
+
+def acceptance(results: DataFrame, least_positive: int) -> DataFrame:
+    """Verdict on stored results (label, payload: JSON with folds of base and arm): label, folds, mean_gain, positive, accepted."""
+    folds = F.from_json("payload", "folds array<struct<base:double,arm:double>>")["folds"]
+    d = F.col("x.arm") - F.col("x.base")
+    out = results.select("label", F.explode_outer(folds).alias("x")).groupBy("label").agg(F.count("x").alias("folds"), F.avg(d).alias("mean_gain"), F.count_if(d > 0).alias("positive"))
+    return out.withColumn("accepted", F.coalesce((F.col("mean_gain") > 0) & (F.col("positive") >= least_positive), F.lit(False)))

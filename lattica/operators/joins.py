@@ -71,3 +71,10 @@ def union_partitions(parts: Sequence[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def with_subset_check(narrow: DataFrame, wide: DataFrame, key: str) -> DataFrame:
+    """The rows of narrow; one whose key isn't in wide is an error."""
+    there = wide.select(key).distinct().withColumn("_there", F.lit(True))
+    unknown = F.raise_error(F.concat(F.lit("not in the wide selection: "), F.col(key).cast("string"))).cast("boolean")
+    return narrow.join(there, key, "left").filter(F.coalesce("_there", unknown)).drop("_there")

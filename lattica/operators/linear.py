@@ -240,3 +240,49 @@ def shrunk_phase_scales(totals: DataFrame, kappa: float) -> DataFrame:
     both = totals.crossJoin(pooled)
     scale = F.try_divide(F.col("_v"), F.col("_g")) if np.isinf(kappa) else F.try_divide(F.col("v") + kappa * F.col("_v"), F.col("g") + kappa * F.col("_g"))
     return both.select("phase", scale.alias("scale"))
+
+
+def calibration_weights(df: DataFrame, residual: str, auxiliaries: Sequence[str], weight: str = "weight", penalty: float = 1e-8) -> np.ndarray:
+    """Weights of auxiliary predictions that best explain a residual, without intercept; the penalty is relative to the mean diagonal, or to 1 if that is less."""
+    g = gram(df, list(auxiliaries), [residual], weight)
+    a, b = g.normal(intercept=False)
+    return np.linalg.solve(a + penalty * max(float(np.trace(a)) / max(len(a), 1), 1.0) * np.eye(len(a)), b[:, 0])
+
+
+def binned_weights(df: DataFrame, state: str, edges: Sequence[float], residual: str, estimate: str, weight: str = "weight", least: int = 100) -> DataFrame:
+    """Per bin of a state (numbered by how many edges are at or below it) the weight of an estimate that best explains the residual: bin, n, share.
+
+    Bins of at most `least` rows have the weight over all rows; 1 where the estimate has no energy.
+    """
+    from .split import bucket
+
+    w = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0))
+    sums = df.groupBy(bucket(F.col(state), edges).alias("bin")).agg(F.count("*").alias("n"), F.sum(w * F.col(residual) * F.col(estimate)).alias("v"), F.sum(w * F.col(estimate) ** 2).alias("g"))
+    bins = df.sparkSession.range(len(set(edges)) + 1).select(F.col("id").cast("int").alias("bin"))
+    whole = F.broadcast(sums.agg(F.sum("v").alias("_v"), F.sum("g").alias("_g")))
+    few = F.coalesce(F.col("n"), F.lit(0)) <= least
+    share = F.when(few, F.try_divide("_v", "_g")).otherwise(F.try_divide("v", "g"))
+    return bins.join(F.broadcast(sums), "bin", "left").crossJoin(whole).select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(share, F.lit(1.0)).alias("share"))
+
+
+def blended_by_bin(df: DataFrame, weights: DataFrame, state: str, edges: Sequence[float], market: str, estimate: str) -> DataFrame:
+    """market + share of the row's bin x estimate, as `prediction`."""
+    from .split import bucket
+
+    return df.withColumn("bin", bucket(F.col(state), edges)).join(F.broadcast(weights.select("bin", "share")), "bin").withColumn("prediction", F.col(market) + F.col("share") * F.col(estimate))
+
+
+def block_ridge(df: DataFrame, x: Sequence[str], alpha: float, target: str = "target", weight: str = "weight", by: str = "asset_id") -> dict:
+    """Ridge without intercept over the design that has a block of columns per key: its matrix is block-diagonal, so each key's equations are solved alone."""
+    return {k: ridge(g, alpha, intercept=False) for k, g in grams(df, list(x), [target], weight, by=by).items()}
+
+
+def scale_artefact(slopes_by_asset: DataFrame) -> DataFrame:
+    """Fitted scales (asset_id, slope) as one row of JSON, as stored beside a model."""
+    return slopes_by_asset.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("asset_id").cast("string"), "slope"))))).alias("scales"))
+
+
+def apply_scales(df: DataFrame, artefact: str, prediction: str = "prediction") -> DataFrame:
+    """Predictions times the stored scale of their asset; assets that have none keep theirs."""
+    scales = F.from_json(F.lit(artefact), "map<string,double>")
+    return df.withColumn(prediction, F.col(prediction) * F.coalesce(F.try_element_at(scales, F.col("asset_id").cast("string")), F.lit(1.0)))

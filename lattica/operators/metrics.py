@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,3 +185,76 @@ def pick_best(candidates: DataFrame) -> DataFrame:
 def compare_predictions(a: DataFrame, b: DataFrame, key: str = "row_id", column: str = "prediction") -> DataFrame:
     both = a.select(key, F.col(column).alias("x")).join(b.select(key, F.col(column).alias("y")), key)
     return both.agg(F.count("*").alias("n"), F.stddev_pop("x").alias("std_left"), F.stddev_pop("y").alias("std_right"), F.corr("x", "y").alias("correlation"), F.max(F.abs(F.col("x") - F.col("y"))).alias("largest_difference"))
+
+
+def weighted_pairs(df: DataFrame, columns: Sequence[str], weight: str = "weight") -> DataFrame:
+    """Weighted correlation of each pair of columns over the rows where both are finite: a, b, total weight, correlation (NULL without variance).
+
+    Each task sends one row per pair, with the sums over its rows.
+    """
+    names = list(columns)
+    low, high = np.triu_indices(len(names), 1)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1)
+            w = np.nan_to_num(batch.column(weight).to_numpy(zero_copy_only=False).astype(float), posinf=0.0)
+            good = np.isfinite(x)
+            there, x = good.astype(float), np.where(good, x, 0.0)
+            wx, w = np.maximum(w, 0)[:, None] * x, np.maximum(w, 0)[:, None] * there
+            # products of (weight, x, x^2) of one column with (there, x) of the other
+            sums = np.stack([(w.T @ there)[low, high], (wx.T @ there)[low, high], (there.T @ wx)[low, high], ((wx * x).T @ there)[low, high], (there.T @ (wx * x))[low, high], (wx.T @ x)[low, high]])
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), *map(pa.array, total)], ["i", "j", "w", "x", "y", "xx", "yy", "xy"])
+
+    sums = df.select(*[F.col(c).cast("double").alias(c) for c in names], F.col(weight).cast("double").alias(weight)).mapInArrow(partial, "i int, j int, w double, x double, y double, xx double, yy double, xy double")
+    s = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("w", "x", "y", "xx", "yy", "xy")])
+    vx, vy = F.col("w") * F.col("xx") - F.col("x") ** 2, F.col("w") * F.col("yy") - F.col("y") ** 2
+    named = F.array(*map(F.lit, names))
+    return s.select(F.get(named, "i").alias("a"), F.get(named, "j").alias("b"), F.col("w").alias("weight"), F.when((vx > 0) & (vy > 0), (F.col("w") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(vx * vy)).alias("correlation"))
+
+
+def label_profile(profile: DataFrame, base: str, k: int) -> DataFrame:
+    """Features by how they agree with a ladder of labels. profile: rows (feature, label, correlation).
+
+    Per feature its consistency (mean signed correlation over labels), its places by |correlation| with the base label
+    and by |consistency| (1 is the best, ties by name), and whether it is among the best k of each.
+    """
+    per = profile.groupBy("feature").agg(F.avg("correlation").alias("consistency"), F.max(F.when(F.col("label") == base, F.col("correlation"))).alias("base"))
+    places = per.withColumns({f"{c}_rank": F.row_number().over(Window.orderBy(F.desc(F.abs(c)), "feature")) for c in ("base", "consistency")})
+    return places.withColumns({f"{c}_top": F.col(f"{c}_rank") <= k for c in ("base", "consistency")})
+
+
+def label_correlations(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """Correlation of each feature with each label, from one Gram matrix: feature, label, correlation (0 without variance). Missing values count as 0."""
+    from . import linear
+
+    g = linear.gram(df, list(features), list(labels))
+    m = linear.correlation_matrix(linear.Gram(g.products, [*g.x, *g.y], []))
+    n = len(g.x)
+    return df.sparkSession.createDataFrame([(f, y, float(m[i, n + j])) for i, f in enumerate(g.x) for j, y in enumerate(g.y)], "feature string, label string, correlation double")
+
+
+def ordered_fingerprint(df: DataFrame, value: str, by: str = "time_id", then: str = "asset_id") -> DataFrame:
+    """SHA-256 that depends on the order of the rows: of the digests of all `by`, each of which is that of its values in order of `then`. Values are taken as text."""
+    text = F.col(value).cast("string")
+    lists = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(then, text.alias("v")))).alias("x"))
+    each = lists.select(by, F.sha2(F.array_join(F.transform("x", lambda x: x["v"]), ",", "null"), 256).alias("d"))
+    return each.agg(F.count("*").alias("groups"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "d"))), lambda x: x["d"]), ","), 256).alias("sha256"))
+
+
+def block_scores(df: DataFrame, blocks: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """The score of each named block of times (both ends included); a block without rows is an error."""
+    name = F.coalesce(*[F.when(F.col("time_id").between(low, high), b) for b, low, high in blocks])
+    found = score(df.withColumn("block", name).filter("block is not null"), ["block"])
+    wanted = F.broadcast(df.sparkSession.createDataFrame([(b,) for b, _, _ in blocks], "block string"))
+    empty = F.raise_error(F.concat(F.lit("no rows in block "), F.col("block"))).cast("double")
+    return wanted.join(found, "block", "left").withColumn("score", F.when(F.col("a").isNull(), empty).otherwise(F.col("score")))
+
+
+def without_clip_hits(df: DataFrame, prediction: str, most: float) -> DataFrame:
+    """df as it is; a prediction at the clip is an error."""
+    hit = F.abs(F.col(prediction)) >= most - 1e-12
+    return df.withColumn(prediction, F.when(hit, F.raise_error(F.lit("a prediction is at the clip")).cast("double")).otherwise(F.col(prediction)))

@@ -59,7 +59,7 @@ def partition_folds(partitions: Sequence[int], window: int) -> list[tuple[list[i
     """For each partition to validate on, the `window` partitions before it."""
     if window <= 0 or any(p < window for p in partitions):
         raise ValueError("a partition has too few partitions before it")
-    return [(list(range(p - window, p)), p) for p in partitions]
+    return [(list(range(p - window, p)), p) for p in sorted(partitions)]
 
 
 def rolling_folds(times: Sequence[int], n_folds: int, train: int, embargo: int = 0, offset: int = 0, reserved: int = 0) -> list[Fold]:

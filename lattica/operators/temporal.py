@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cross import regime_state
+
 
 def by_asset():
     return Window.partitionBy("asset_id").orderBy("time_id")
@@ -170,6 +172,7 @@ ARMS: dict[str, tuple[str, ...]] = {
     "t1_lags": ("lag2", "lag5"),
     "t2_state": ("ema3", "ema10", "std5", "std20", "slope5", "slope20"),
     "t3_full": ("lag2", "lag5", "ema3", "ema10", "std5", "std20", "slope5", "slope20", "observation_gap"),
+    "t4_regime": ("regime",),
     "t5_zscore": ("zscore5",),
     "f_lags": ("lag3", "lag10"),
     "f_changes": ("delta3", "delta5", "delta10", "acceleration1"),
@@ -178,8 +181,8 @@ ARMS: dict[str, tuple[str, ...]] = {
 }
 
 
-def temporal_features(df: DataFrame, columns: Sequence[str], arm: str = "baseline") -> DataFrame:
-    """The blocks of an arm for each column, named block_column; observation_gap once. An unknown arm is an error."""
+def temporal_features(df: DataFrame, columns: Sequence[str], arm: str = "baseline", groups: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """The blocks of an arm for each column, named block_column; observation_gap once, and the state of the market (of groups of features; all columns if None) once per time. An unknown arm is an error."""
     if arm not in ARMS:
         raise ValueError(f"unknown arm {arm}")
     for block in (*BASELINE, *ARMS[arm]):
@@ -188,6 +191,9 @@ def temporal_features(df: DataFrame, columns: Sequence[str], arm: str = "baselin
         if block == "observation_gap":
             df = df.withColumn("observation_gap", gap())
             continue
+        if block == "regime":
+            df = df.join(regime_state(df, groups or {"regime": list(columns)}), "time_id")
+            continue
         for c in columns:
             out = f"{block}_{c}"
             if name == "slope":

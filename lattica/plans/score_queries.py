@@ -245,19 +245,6 @@ def infer_prefix_sums(spark, sf_dir):
     return sums.withColumns({c: q(F.col(c), 3) for c in ("d", "v")})
 
 
-@query()
-def infer_block_bootstrap(spark, sf_dir):
-    cube = _predicted(spark, sf_dir).groupBy("time_id").agg(*metrics.moments())
-    return infer.block_bootstrap(cube, ["d", "v", "g"], 50, 200, 7)
-
-
-@query()
-def infer_chunk_bootstrap(spark, sf_dir):
-    w, y = F.col("weight"), F.col("target")
-    chunks = _predicted(spark, sf_dir).groupBy(F.floor(F.col("time_id") / 100).cast("long").alias("chunk")).agg(F.sum(w * y * y).alias("d"), F.sum(w * y * F.col("f1")).alias("v_base"), F.sum(w * F.col("f1") ** 2).alias("g_base"), F.sum(w * y * F.col("prediction")).alias("v_arm"), F.sum(w * F.col("prediction") ** 2).alias("g_arm"))
-    return infer.bootstrap_chunks(chunks, 200, 7)
-
-
 @query(f"{WITH}, {PREDICTED}, s AS (SELECT time_id % 10 AS phase, {MOMENTS} FROM predicted GROUP BY 1) SELECT {r('stddev_pop(v / g)')} AS spread FROM s")
 def infer_phase_spread(spark, sf_dir):
     phases = _predicted(spark, sf_dir).groupBy(F.pmod("time_id", F.lit(10)).alias("phase")).agg(*metrics.moments())
