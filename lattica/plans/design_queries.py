@@ -65,7 +65,7 @@ def design_market_state(spark, sf_dir):
     return _q(design.with_market_state(_predicted(spark, sf_dir), "prediction").select(*KEYS, "market_state"), "market_state")
 
 
-_ROBUST = "greatest(least((greatest(least(f0, 400), 20) - 150) / 80, 10), -10)"
+_ROBUST = "greatest(least((greatest(least(f0, 400), 20) - 150) / 70, 10), -10)"
 
 
 @query(f"""{WITH}, v AS (SELECT time_id, asset_id, {_ROBUST} AS x FROM panel)
@@ -74,17 +74,17 @@ SELECT time_id, asset_id, {r('coalesce(lag(x) OVER w, 0)')} AS lag1, {r('coalesc
 FROM v WINDOW w AS ({ASSET})""")
 def design_atoms_from_lags(spark, sf_dir):
     df = panels.ship_panel(spark, sf_dir).withColumn("past", temporal.lag_cache("f0", 20))
-    fitted = [F.lit(float(v)) for v in (20, 400, 150, 80)]
+    fitted = [F.lit(float(v)) for v in (20, 400, 150, 70)]
     atoms = design.atoms_from_lags(design.robust(F.col("f0"), *fitted), F.col("past"), *fitted)
     wanted = ("lag1", "lag10", "delta3", "acceleration1", "mean5", "deviation20", "std5")
     return df.select(*KEYS, *[q(atoms[c], 5 if c == "std5" else 6).alias(c) for c in wanted])
 
 
-@query(f"""{WITH}, a AS (SELECT time_id, asset_id, coalesce(lag(f0) OVER ({ASSET}), 0) AS lag1, {r('coalesce(' + over('avg(f0)', -20, -1) + ', 0)')} AS mean20 FROM panel) SELECT * FROM a WHERE time_id >= 0""")
+@query(f"""{WITH}, a AS (SELECT time_id, asset_id, coalesce(lag(f0) OVER ({ASSET}), 0) AS lag1, {r('coalesce(' + over('avg(f0)', -20, -1) + ', 0)')} AS mean20 FROM panel) SELECT * FROM a WHERE time_id >= 1200""")
 def design_resumed_state(spark, sf_dir):
     df = panels.ship_panel(spark, sf_dir)
-    state = design.saved_state(df.filter("time_id < 0"), ["f0"], 20)
-    on = design.resumed(df.filter("time_id >= 0"), state)
+    state = design.saved_state(df.filter("time_id < 1200"), ["f0"], 20)
+    on = design.resumed(df.filter("time_id >= 1200"), state)
     out = on.select(*KEYS, "warm_up", temporal.lag("f0").alias("lag1"), temporal.mean_before("f0", 20).alias("mean20"))
     return _q(out.filter("not warm_up").drop("warm_up"), "mean20")
 
@@ -110,7 +110,7 @@ def linear_calibration(spark, sf_dir):
 
 
 @query(f"""{WITH}, {PREDICTED}, s AS (SELECT *, avg(prediction) OVER t AS market, prediction - avg(prediction) OVER t AS estimate, stddev_pop(prediction) OVER t AS state FROM predicted WINDOW t AS (PARTITION BY time_id)),
-b AS (SELECT *, ((state >= 2)::INT + (state >= 4)::INT + (state >= 1000)::INT)::INT AS bin FROM s),
+b AS (SELECT *, ((state >= 2.0317)::INT + (state >= 4.0731)::INT + (state >= 1000)::INT)::INT AS bin FROM s),
 w AS (SELECT bin, count(*) AS n, sum(weight * (target - market) * estimate) AS v, sum(weight * estimate * estimate) AS g FROM b GROUP BY bin), a AS (SELECT sum(v) AS v, sum(g) AS g FROM w),
 k AS (SELECT x.bin, CASE WHEN coalesce(n, 0) <= 100 THEN a.v / a.g ELSE w.v / w.g END AS share FROM (SELECT unnest(range(4))::INT AS bin) x LEFT JOIN w USING (bin), a)
 SELECT time_id, asset_id, bin, {r('share')} AS share, {r('market + share * estimate')} AS prediction FROM b JOIN k USING (bin)""")
@@ -118,7 +118,7 @@ def linear_blend_by_bin(spark, sf_dir):
     mean = cross.mean_of_time("prediction")
     spread = F.stddev_pop("prediction").over(cross.by_time())
     df = _predicted(spark, sf_dir).withColumns({"market": mean, "estimate": F.col("prediction") - mean, "state": spread}).withColumn("residual", F.col("target") - F.col("market"))
-    edges = [2.0, 4.0, 1000.0]
+    edges = [2.0317, 4.0731, 1000.0]
     weights = linear.binned_weights(df, "state", edges, "residual", "estimate")
     return _q(linear.blended_by_bin(df, weights, "state", edges, "market", "estimate").select(*KEYS, "bin", "share", "prediction"), "share", "prediction")
 
@@ -129,12 +129,12 @@ def linear_block_ridge(spark, sf_dir):
     return _q(spark.createDataFrame([(int(k), float(m.weights[0, 0])) for k, m in fitted.items()], "asset_id long, f1 double"), "f1")
 
 
-@query(f"""{WITH}, {PREDICTED}, s AS (SELECT asset_id, (sum(weight * prediction * target) + 1000) / (sum(weight * prediction * prediction) + 1000) AS slope FROM predicted WHERE time_id < 0 GROUP BY asset_id)
-SELECT time_id, asset_id, {r('prediction * coalesce(slope, 1)')} AS prediction FROM predicted LEFT JOIN s USING (asset_id) WHERE time_id >= 0""")
+@query(f"""{WITH}, {PREDICTED}, s AS (SELECT asset_id, (sum(weight * prediction * target) + 1000) / (sum(weight * prediction * prediction) + 1000) AS slope FROM predicted WHERE time_id < 1200 GROUP BY asset_id)
+SELECT time_id, asset_id, {r('prediction * coalesce(slope, 1)')} AS prediction FROM predicted LEFT JOIN s USING (asset_id) WHERE time_id >= 1200""")
 def linear_stored_scales(spark, sf_dir):
     df = _predicted(spark, sf_dir)
-    stored = linear.scale_artefact(linear.slopes(df.filter("time_id < 0"), ["asset_id"], "prediction", shrink=1000.0)).first()["scales"]
-    return _q(linear.apply_scales(df.filter("time_id >= 0"), stored).select(*KEYS, "prediction"), "prediction")
+    stored = linear.scale_artefact(linear.slopes(df.filter("time_id < 1200"), ["asset_id"], "prediction", shrink=1000.0)).first()["scales"]
+    return _q(linear.apply_scales(df.filter("time_id >= 1200"), stored).select(*KEYS, "prediction"), "prediction")
 
 
 # --- profiles and pairs
@@ -173,10 +173,10 @@ def metric_ordered_fingerprint(spark, sf_dir):
     return metrics.ordered_fingerprint(panels.ship_panel(spark, sf_dir).withColumn("target", F.col("target").cast("long")), "target")
 
 
-@query(f"""{WITH}, {PREDICTED}, b AS (SELECT *, CASE WHEN time_id BETWEEN -500 AND -1 THEN 'early' WHEN time_id BETWEEN 0 AND 500 THEN 'late' END AS block FROM predicted), s AS (SELECT block, count(*) AS n, {MOMENTS} FROM b WHERE block IS NOT NULL GROUP BY block)
+@query(f"""{WITH}, {PREDICTED}, b AS (SELECT *, CASE WHEN time_id BETWEEN 500 AND 1199 THEN 'early' WHEN time_id BETWEEN 1200 AND 1700 THEN 'late' END AS block FROM predicted), s AS (SELECT block, count(*) AS n, {MOMENTS} FROM b WHERE block IS NOT NULL GROUP BY block)
 SELECT block, n, d, {SCORE} FROM s""")
 def metric_block_scores(spark, sf_dir):
-    return _q(metrics.block_scores(_predicted(spark, sf_dir), [("early", -500, -1), ("late", 0, 500)]).drop("best_scale"), "a", "b", "peak", "score")
+    return _q(metrics.block_scores(_predicted(spark, sf_dir), [("early", 500, 1199), ("late", 1200, 1700)]).drop("best_scale"), "a", "b", "peak", "score")
 
 
 @query(f"{WITH}, {PREDICTED} SELECT time_id, asset_id, {r('prediction')} AS prediction FROM predicted")
