@@ -22,8 +22,9 @@ HASH_BITS = 18
 SAMPLE = 20_000
 #: The sample lies in so many parts at most; each gives one vector of sums a pass.
 PARTS = 16
-#: Rows of the sample hold the n-grams of some 64 KB of text each; so many go to Python at once.
-BATCH = 8
+#: Rows of the sample hold the n-grams of some BLOCK bytes of text each, so that their arrays stay small for the collector;
+#: so many rows are read and go to Python at once.
+BLOCK, BATCH = 1 << 14, 32
 #: Counts are smoothed by so many texts, divided by the shares of the classes: n-grams of a few texts say little.
 SMOOTHING = 100.0
 #: Toxic texts are the rarer class and count so many times in the fit.
@@ -34,31 +35,47 @@ THRESHOLD = 0.7
 _PRIME = np.uint64(0x100000001B3)
 
 
+def _distinct(parts: list[str], lengths: Sequence[int], last: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct buckets of the n-grams of each part. last: a table of 2 ** HASH_BITS places to work in."""
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    points = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+    hashes, buckets = np.zeros(len(points), np.uint64), []
+    for n in range(1, max(lengths) + 1):
+        shifted = np.zeros(len(points), np.uint64)
+        shifted[: max(0, len(points) - n + 1)] = points[n - 1 :]
+        hashes = hashes * _PRIME + shifted
+        if n in lengths:
+            buckets.append((n, (mix64(hashes ^ np.uint64(n)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)))
+    for a, b in zip([0, *ends], ends):
+        own = np.concatenate([at[a : max(a, b - n + 1)] for n, at in buckets])
+        # of equal buckets the place written last stays
+        places = np.arange(len(own))
+        last[own] = places
+        yield own[last[own] == places]
+
+
 def distinct_grams(texts: Sequence[str | None], lengths: Sequence[int] = LENGTHS, most: int = 1 << 16) -> Iterator[np.ndarray]:
-    """The distinct buckets of each whole text's n-grams, in lower case and with a blank before and after it."""
+    """The distinct buckets of each whole text's n-grams, in lower case and with a blank before and after it.
+
+    Work is done on some `most` characters at once; a longer text is read in pieces that overlap, which have the same n-grams.
+    """
     last = np.zeros(1 << HASH_BITS, np.int64)
     held, parts = 0, []
-    for k, text in enumerate(texts):
-        parts.append(f" {(text or '').lower()} ")
-        held += len(parts[-1])
-        if held < most and k + 1 < len(texts):
+    for text in texts:
+        part = f" {(text or '').lower()} "
+        if held + len(part) > most:
+            yield from _distinct(parts, lengths, last)
+            held, parts = 0, []
+        if len(part) <= most:
+            parts.append(part)
+            held += len(part)
             continue
-        points = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
-        ends = np.cumsum([len(p) for p in parts]).tolist()
-        hashes, buckets = np.zeros(len(points), np.uint64), []
-        for n in range(1, max(lengths) + 1):
-            shifted = np.zeros(len(points), np.uint64)
-            shifted[: max(0, len(points) - n + 1)] = points[n - 1 :]
-            hashes = hashes * _PRIME + shifted
-            if n in lengths:
-                buckets.append((n, (mix64(hashes ^ np.uint64(n)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)))
-        for a, b in zip([0, *ends], ends):
-            own = np.concatenate([at[a : max(a, b - n + 1)] for n, at in buckets])
-            # of equal buckets the place written last stays
-            places = np.arange(len(own))
-            last[own] = places
-            yield own[last[own] == places]
-        held, parts = 0, []
+        there = np.zeros(1 << HASH_BITS, bool)
+        for at in range(0, len(part), most):
+            for own in _distinct([part[at : at + most + max(lengths) - 1]], lengths, last):
+                there[own] = True
+        yield np.flatnonzero(there)
+    yield from _distinct(parts, lengths, last)
 
 
 @dataclass
@@ -79,7 +96,7 @@ def _sample_blocks(lengths: Sequence[int]) -> Callable:
     """Texts with labels as rows of many texts each: labels, ends of the lists, buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _ in text_blocks(batches, most=1 << 16):
+        for batch, _, _ in text_blocks(batches, most=BLOCK):
             found = list(distinct_grams(batch.column("text").to_pylist(), lengths))
             ends = np.cumsum([len(x) for x in found])
             values = [batch.column("y").to_numpy().astype(np.int8), ends, np.concatenate(found).astype(np.int32)]
@@ -102,14 +119,17 @@ def _passed(blocks: DataFrame, use: Callable[[np.ndarray, np.ndarray, np.ndarray
         if first:
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["first", "sums"])
 
-    out, conf, key = np.zeros(size), blocks.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(BATCH))
+    out, conf = np.zeros(size), blocks.sparkSession.conf
+    # both readers take thousands of rows at once otherwise, here the whole part
+    before = {key: conf.get(key) for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")}
+    for key in before:
+        conf.set(key, str(BATCH))
     try:
         for row in sorted(blocks.mapInArrow(run, "first string, sums binary").collect()):
             out += np.frombuffer(row["sums"], np.float32)
     finally:
-        conf.set(key, before)
+        for key, value in before.items():
+            conf.set(key, value)
     return out
 
 

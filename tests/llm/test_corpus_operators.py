@@ -666,3 +666,16 @@ def test_bpe_of_odd_letters():
         ids = reference.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids
         assert encoder.decode(np.array(ids, np.int64)).decode() == reference.decode(ids, skip_special_tokens=False)
+
+
+def test_long_texts_have_the_grams_of_their_pieces():
+    import numpy as np
+
+    from lattica.llm import toxicity
+
+    texts = ["", None, "short", "Ab" * 40 + "é" * 30 + "tail words " * 20, "x", "again " * 50]
+    whole = [np.sort(x) for x in toxicity.distinct_grams(texts, most=1 << 20)]
+    pieces = [np.sort(x) for x in toxicity.distinct_grams(texts, most=64)]
+    assert len(whole) == len(pieces) == len(texts)
+    assert all((a == b).all() if len(a) == len(b) else False for a, b in zip(whole, pieces))
+    assert all(len(np.unique(x)) == len(x) for x in pieces)
