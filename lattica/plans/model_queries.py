@@ -83,16 +83,16 @@ def linear_principal_axes(spark, sf_dir):
 
 @query()
 def linear_feature_clusters(spark, sf_dir):
-    g = linear.gram(panels.vector_panel(spark, sf_dir, 16), FEATURES[:16], ["target"])
+    g = linear.gram(panels.vector_panel(spark, sf_dir), FEATURES, ["target"])
     labels = linear.average_linkage(1 - np.abs(linear.correlation_matrix(g)), clusters=4)
     return _rows(spark, list(zip(FEATURES, labels)), "feature string, cluster int")
 
 
 @query()
 def linear_fourier(spark, sf_dir):
-    df = panels.vector_panel(spark, sf_dir, 16).withColumn("row", F.col("time_id") * 15 + F.col("asset_id"))
-    width = linear.median_distance(df, FEATURES[:16], "row")
-    g = linear.fourier_gram(df, FEATURES[:16], "target", 32, width, 5)
+    df = panels.vector_panel(spark, sf_dir).withColumn("row", F.col("time_id") * 15 + F.col("asset_id"))
+    width = linear.median_distance(df, FEATURES, "row")
+    g = linear.fourier_gram(df, FEATURES, "target", 32, width, 5)
     return _rows(spark, [(width, *linear.residual_share(g, linear.ridge(g, 1.0)))], "bandwidth double, r2 double, r2_zero double")
 
 
@@ -133,8 +133,8 @@ def model_network(spark, sf_dir):
 
 @query()
 def model_boosted(spark, sf_dir):
-    df = panels.vector_panel(spark, sf_dir, 8)
-    fitted = models.train_boosted(df, FEATURES[:8], rounds=5, depth=3)
+    df = panels.vector_panel(spark, sf_dir)
+    fitted = models.train_boosted(df, FEATURES, rounds=5, depth=3)
     return fitted.transform(df).select(*KEYS, "target", "weight", "prediction")
 
 
