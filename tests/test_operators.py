@@ -228,3 +228,28 @@ def test_empty_panel(spark):
     assert temporal.temporal_features(empty, ["x"], "t3_full").count() == 0
     with pytest.raises(ValueError):
         temporal.temporal_features(empty, ["x"], "nothing")
+
+
+def test_errors_of_designs_and_blocks(spark):
+    import pytest
+
+    from lattica.functions.numeric import pack_key
+    from lattica.operators import design, joins, metrics
+
+    df = spark.createDataFrame([(1, 0, 2.0, 1.0, 1.0), (2, 0, 3.0, 1.0, 2.0)], "time_id long, asset_id long, target double, weight double, prediction double")
+    with pytest.raises(ValueError):
+        design.cross_design(df, ["target"], ["weight"])
+    with pytest.raises(ValueError):
+        design.two_bases(["target"], "other")
+    for bad in (metrics.block_scores(df, [("none", 9, 10)]), metrics.without_clip_hits(df, "prediction", 2.0), joins.with_subset_check(df.select("time_id"), df.filter("time_id = 1"), "time_id"), df.select(pack_key(F.col("time_id"), F.lit(256)).alias("k"))):
+        with pytest.raises(Exception, match="block none|at the clip|wide selection|0 to 255"):
+            bad.collect()
+
+
+def test_state_of_fewer_rows_than_asked_for(spark):
+    from lattica.operators import design
+
+    df = spark.createDataFrame([(1, 0, 2.0), (2, 0, 3.0), (1, 1, 5.0)], "time_id long, asset_id long, x double")
+    state = {r.asset_id: [tuple(s) for s in r.state] for r in design.saved_state(df, ["x"], 5).collect()}
+    assert state == {0: [(1, 2.0), (2, 3.0)], 1: [(1, 5.0)]}
+    assert design.saved_state(df.filter("false"), ["x"], 5).count() == 0
