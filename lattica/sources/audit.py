@@ -57,3 +57,18 @@ def parameter_grid(spark, axes: dict[str, Sequence]) -> DataFrame:
     for name, values in axes.items():
         out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
     return out
+
+
+def shared_ladders(columns: DataFrame) -> DataFrame:
+    """Families that end in the same ladder: rungs (text), families. columns: rows (family, index, null_count).
+
+    A family's rungs are the positive counts of its longest strictly rising suffix in order of index; what comes before
+    the last fall or tie has other reasons. Families without rungs share the empty text.
+    """
+    order = Window.partitionBy("family").orderBy("index")
+    marked = columns.withColumn("_falls", F.coalesce(F.col("null_count") <= F.lag("null_count").over(order), F.lit(False)))
+    later = F.coalesce(F.max("_falls").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(False))
+    rung = F.when(~F.col("_later") & (F.col("null_count") > 0), F.struct("index", "null_count"))
+    own = marked.withColumn("_later", later).groupBy("family").agg(F.array_sort(F.collect_list(rung)).alias("x"))
+    rungs = F.array_join(F.transform("x", lambda x: x["null_count"].cast("string")), ",")
+    return own.select("family", rungs.alias("rungs")).groupBy("rungs").agg(F.array_sort(F.collect_list("family")).alias("families"))

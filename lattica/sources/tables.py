@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,16 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; only a session on one machine may do without that setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def manifest_files(spark: SparkSession, root: str, part: str = "train") -> list[str]:
     """Paths in the manifest's order (files -> part); without a manifest, all Parquet files of the part by name."""
     text = _read_text(spark, f"{root}/manifest.json")

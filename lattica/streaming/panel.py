@@ -88,13 +88,38 @@ def batch_features(df: DataFrame, column: str, short: int = 5, long: int = 20, s
     return dev.select("time_id", "asset_id", "dev", temporal.lag("dev").alias("lag1"), temporal.mean_before("dev", short).alias("mean"), temporal.mean_before("dev", long).alias("long_mean"), temporal.mean_by_steps("dev", steps).alias("slow"))
 
 
+def _in_time(events: DataFrame, late: str) -> tuple[DataFrame, str]:
+    """events with a watermark if they are a stream, and the type of ts. Watermarks need instants; a ts without a zone is read, and given back, in the session's."""
+    kind = events.schema["ts"].dataType.simpleString()
+    return (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events), kind
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums of events per type in tumbling (or sliding) windows of event time; works on tables and on streams."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
-    return marked.groupBy(F.window("ts", width, slide or width), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor("value")).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    marked, kind = _in_time(events, late)
+    return marked.groupBy(F.window("ts", width, slide or width), "event_type").agg(F.count("*").alias("n"), F.sum(F.floor("value")).alias("total")).select(F.col("window.start").cast(kind).alias("start"), "event_type", "n", "total")
 
 
 def user_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user: events no further apart than the gap."""
-    marked = events.withWatermark("ts", late) if events.isStreaming else events
-    return marked.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+    marked, kind = _in_time(events, late)
+    return marked.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast(kind).alias("start"), "n")
+
+
+def replay(stream: DataFrame, folder: str, partitions: int = 8) -> DataFrame:
+    """All that an append stream gives for the input at hand, as a table in a folder that driver and executors share; progress is kept beside it.
+
+    Keyed state lies in so many partitions, which a restart from the same folder keeps. What a watermark still holds back isn't there.
+    """
+    spark = stream.sparkSession
+    wanted = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.streaming.stateStore.providerClass": STATE_STORE}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
