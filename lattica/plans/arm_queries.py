@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import q
 from ..operators import arms, joins, metrics, temporal
 from ..operators.split import Fold
-from ..sources import audit, panels, tables
+from ..sources import audit, footers, panels, tables
 from ..streaming import panel as streams
 from .registry import query
 from .sql import ASSET, PREDICTED, WITH, r
@@ -123,3 +123,9 @@ def stream_online_features(spark, sf_dir):
     df.write.parquet(f"{folder}/panel")
     out = streams.replay(streams.online_features(spark.readStream.schema(df.schema).parquet(f"{folder}/panel"), "f0"), folder)
     return out.select(*KEYS, *[q(F.col(c)).alias(c) for c in ("dev", "lag1", "mean", "long_mean", "slow")])
+
+
+@query("""SELECT 'l_orderkey' AS column, count(*) AS rows, count(*) - count(l_orderkey) AS missing, min(l_orderkey)::DOUBLE AS least, max(l_orderkey)::DOUBLE AS largest FROM lineitem
+UNION ALL SELECT 'l_quantity', count(*), count(*) - count(l_quantity), min(l_quantity)::DOUBLE, max(l_quantity)::DOUBLE FROM lineitem""")
+def scan_footer_profile(spark, sf_dir):
+    return footers.footer_profile(spark, [f"{sf_dir}/lineitem.parquet"], ["l_orderkey", "l_quantity"])
