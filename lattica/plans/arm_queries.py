@@ -31,8 +31,8 @@ _SUMS = ", ".join(f"sum(weight{''.join(' * ' + c for c in p)}) AS {n}" for n, p
 _FITS = f"""{_RANGES}, s AS (SELECT fold, {_SUMS} FROM panel JOIN fold ON time_id BETWEEN a AND b GROUP BY fold),
 c AS (SELECT *, xx - x * x / w + 100 AS a, xz - x * z / w AS b, zz - z * z / w + 100 AS c, xy - x * y / w AS p, zy - z * y / w AS q FROM s),
 k AS (SELECT fold, p / a AS one, (y - p / a * x) / w AS one_0, (p * c - q * b) / (a * c - b * b) AS b0, (q * a - p * b) / (a * c - b * b) AS b1, (y - (p * c - q * b) / (a * c - b * b) * x - (q * a - p * b) / (a * c - b * b) * z) / w AS both_0 FROM c)"""
-_RUNS = f"""{_FITS}, v AS (SELECT panel.*, fold, one_0 + one * f0 AS base, both_0 + b0 * f0 + b1 * f1 AS both FROM panel JOIN fold ON time_id BETWEEN lo AND hi JOIN k USING (fold)),
-runs AS ({' UNION ALL '.join(f"SELECT fold, '{n}' AS arm, count(*) AS n, sum(weight * target * target) AS d, sum(weight * target * {c}) AS v, sum(weight * {c} * {c}) AS g FROM v GROUP BY fold" for n, c in (("base", "base"), ("again", "base"), ("both", "both")))})"""
+_RUNS = f"""{_FITS}, v AS (SELECT panel.*, fold, one_0 + one * f0 AS base, both_0 + b0 * f0 + b1 * f1 AS pair FROM panel JOIN fold ON time_id BETWEEN lo AND hi JOIN k USING (fold)),
+runs AS ({' UNION ALL '.join(f"SELECT fold, '{n}' AS arm, count(*) AS n, sum(weight * target * target) AS d, sum(weight * target * {c}) AS v, sum(weight * {c} * {c}) AS g FROM v GROUP BY fold" for n, c in (("base", "base"), ("again", "base"), ("both", "pair")))})"""
 
 
 @query(f"{WITH}, {_RUNS} SELECT fold, arm, n, {r('v / d')} AS a, {r('g / d')} AS b, {r('v * v / (g * d)')} AS peak FROM runs")
