@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, media, mixing, quality, secrets, simhash, substring, toxicity
+from . import bpe, chat, fingerprint, infill, media, mixing, quality, secrets, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_fingerprint, op4_substring, op5_simhash, op6_mixing, op7_secrets, op8_quality, op9_chat, op10_bpe)}
+    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_fingerprint, op4_substring, op5_simhash, op6_mixing, op7_secrets, op8_quality, op9_chat, op10_bpe, op12_infill)}
 
 
 _SIZES = r"""SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(text) AS held,
@@ -153,5 +159,21 @@ FROM texts LEFT JOIN per_text USING (k)
 """
 
 
+OP12_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+cut AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM texts),
+drawn AS (
+  SELECT *, len(units)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS one, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS two,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+pieces AS (
+  SELECT doc_id, n, form, text, coalesce(array_to_string(units[1 : least(one, two)], ''), '') AS p, coalesce(array_to_string(units[least(one, two) + 1 : greatest(one, two)], ''), '') AS m,
+    coalesce(array_to_string(units[greatest(one, two) + 1 :], ''), '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM pieces
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4_SQL, "op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op9_chat": OP9_SQL}
+    return {"op4_substring": OP4_SQL, "op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op9_chat": OP9_SQL, "op12_infill": OP12_SQL}
