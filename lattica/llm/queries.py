@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, infill, media, mixing, quality, secrets, simhash, substring, toxicity
+from . import bpe, chat, fingerprint, infill, media, mixing, phrases, quality, secrets, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +77,12 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_fingerprint, op4_substring, op5_simhash, op6_mixing, op7_secrets, op8_quality, op9_chat, op10_bpe, op12_infill)}
+    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_fingerprint, op4_substring, op5_simhash, op6_mixing, op7_secrets, op8_quality, op9_chat, op10_bpe, op12_infill, op13_phrases)}
 
 
 _SIZES = r"""SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(text) AS held,
@@ -175,5 +179,26 @@ FROM pieces
 """
 
 
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+sized AS (SELECT lang, w, i, unnest([1, 2, 3]) AS size FROM runs),
+counts AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS f FROM sized WHERE i + size - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE size > 1 AND f >= 10),
+cuts AS (SELECT lang, size, phrase, w, a, unnest(range(1, size)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.size, c.phrase, c.w, c.a, c.k, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : c.k], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1 :], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(a) AS most FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM candidates WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR size > 2 OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4_SQL, "op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op9_chat": OP9_SQL, "op12_infill": OP12_SQL}
+    return {"op4_substring": OP4_SQL, "op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op9_chat": OP9_SQL, "op12_infill": OP12_SQL, "op13_phrases": OP13_SQL}
