@@ -155,13 +155,14 @@ def _counters(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _pack(places: np.ndarray, counts: np.ndarray) -> bytes:
-    """Places in a slice, in order, and their counts: low bytes, high bytes and counts apart, as they compress best."""
-    return places.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() + counts.astype(np.uint8).tobytes()
+    """Places in a slice, in order, as the gaps between them, and their counts: low bytes, high bytes (mostly 0) and counts (mostly 1) apart, as they compress best."""
+    gaps = np.diff(places.astype(np.int64), prepend=0).astype("<u2")
+    return gaps.view(np.uint8).reshape(-1, 2).T.tobytes() + counts.astype(np.uint8).tobytes()
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(packed, np.uint8).reshape(3, -1)
-    return raw[0] | raw[1].astype(np.uint16) << 8, raw[2]
+    return np.cumsum(raw[0].astype(np.int64) + (raw[1].astype(np.int64) << 8)), raw[2]
 
 
 def sketch(texts: DataFrame, bits: int, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK) -> np.ndarray:
