@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, infill, media, mixing, phrases, quality, secrets, simhash, substring, toxicity
+from . import bpe, chat, fingerprint, infill, media, mixing, neighbours, phrases, quality, secrets, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = infill.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     restored = infill.restore(F.col("output"), F.col("form"))
@@ -82,7 +86,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_fingerprint, op4_substring, op5_simhash, op6_mixing, op7_secrets, op8_quality, op9_chat, op10_bpe, op12_infill, op13_phrases)}
+    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_fingerprint, op4_substring, op5_simhash, op6_mixing, op7_secrets, op8_quality, op9_chat, op10_bpe, op11_neighbours, op12_infill, op13_phrases)}
 
 
 _SIZES = r"""SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(text) AS held,
@@ -163,6 +167,16 @@ FROM texts LEFT JOIN per_text USING (k)
 """
 
 
+OP11_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a, good b WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least ON a = vec_id
+"""
+
 OP12_SQL = r"""
 WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
 cut AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM texts),
@@ -201,4 +215,4 @@ FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4_SQL, "op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op9_chat": OP9_SQL, "op12_infill": OP12_SQL, "op13_phrases": OP13_SQL}
+    return {"op4_substring": OP4_SQL, "op6_mixing": OP6_SQL, "op7_secrets": _op7_sql(), "op9_chat": OP9_SQL, "op11_neighbours": OP11_SQL, "op12_infill": OP12_SQL, "op13_phrases": OP13_SQL}
