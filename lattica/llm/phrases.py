@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize
+from .storage import materialize
 from .text import mix64, range_hashes
 
 #: Where pieces end, and what stands between the words of a piece.
@@ -19,11 +19,11 @@ SEPARATORS, BLANKS = (*b".,;:!?", *range(0x0A, 0x0E)), (0x20, 0x09)
 #: Words in a phrase, least count, share of a phrase's count (in percent) that a longer one needs to take its place, phrases kept per language.
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2_000
 #: Rows of the sketch; bytes of text per counter of a row, and the most counters of a row (2^k). The tasks of the second pass get one bit per counter: ROWS * 2^MOST_BITS / 8 bytes (128 MB) at most.
-ROWS, BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 2, 8, 16, 29
+ROWS, BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 2, 4, 16, 29
 #: Counters travel in slices of 2^16, so that a place in a slice takes two bytes.
 SLICE_BITS = 16
 #: Bytes of text that a task works on at once.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 #: Parts of a language's phrases that are ranked apart before the best of all parts are.
 RANK_PARTS = 64
 
@@ -219,7 +219,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, b
 
     A first pass makes the sketch, whose counters are never below a count. The second counts exactly, by the words
     themselves, those phrases whose counters all reach `least`: each block sums its own, then they meet by language and
-    phrase. Where texts are so many that the sketch fills up (beyond about 8 * 2^MOST_BITS bytes) it lets more rare phrases
+    phrase. Where texts are so many that the sketch fills up (beyond about 4 * 2^MOST_BITS bytes) it lets more rare phrases
     through, which costs time and no result.
     """
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
@@ -230,13 +230,17 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, b
         enough = reached.value
         for own in _blocks(batches, longest, block):
             words = Words.of(*own)
-            runs, places = words.hashes(longest), []
+            runs, places, whole = words.hashes(longest), [], np.ones(len(words.ids) + 1, bool)
             for size in range(1, longest + 1):
                 at = words.places(size)
+                if size > 1:  # a phrase occurs no more often than its parts
+                    at = at[whole[at] & whole[at + 1]]
                 for row in range(ROWS):
                     c = _counters(runs[size - 1][at], row, bits)
                     at = at[(enough[row][(c >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (c & np.uint64(7))).astype(np.uint8)) & 1 == 1]
                 places.append(at)
+                whole = words.known.copy() if size == 1 else words.known[: 1 - size].copy()
+                whole[at] = True
             totals = np.bincount(words.lang[~words.known], minlength=len(words.langs))
             yield _counts(words.langs, 0, pa.array([""] * len(totals)), np.arange(len(totals)), totals)
             for size, phrase, lang, count in words.counted(places):
@@ -255,29 +259,50 @@ def _words(phrase: str, first: int | Column, n: int | Column) -> Column:
 
 
 def scored(counts: DataFrame) -> DataFrame:
-    """Candidates, i.e. all phrases of 2 words or more in phrase_counts(): lang, size, phrase, a, l, r, score, k (the cut with the lowest score, the first of equals).
+    """Candidates, i.e. all phrases of 2 words or more in phrase_counts(): lang, phrase, a, l, r, score, k (the cut with the lowest score, the first of equals), longer.
 
-    score is floor(10^6 a^2 / (l r)) in whole numbers of 38 digits, exact for counts up to 10^16.
+    score is floor(10^6 a^2 / (l r)) in whole numbers of 38 digits, exact for counts up to 10^16. longer is the largest count of a
+    longer candidate that holds the phrase, NULL if there is none; it comes in the same grouping as the scores.
     """
-    single = counts.filter("size > 0").select("lang", "phrase", "f")
-    cuts = counts.filter("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = cuts.withColumns({"left": _words("phrase", 1, F.col("k")), "right": _words("phrase", F.col("k") + 1, F.col("size"))})
+    candidates = counts.filter("size > 1")
+    size = F.size(F.split("phrase", " "))
+    cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     # a part occurs at least as often as the whole, so it is in the table
-    cuts = cuts.join(single.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
-    cuts = cuts.join(single.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
+    for name, part in (("l", _words("phrase", 1, F.col("k"))), ("r", _words("phrase", F.col("k") + 1, size))):
+        of = counts.filter("size > 0").select(F.col("lang").alias("_lang"), F.col("phrase").alias("_part"), F.col("f").alias(name))
+        cuts = cuts.join(of, (F.col("lang") == F.col("_lang")) & (part == F.col("_part"))).drop("_lang", "_part")
     wide = {c: F.col(c).cast("decimal(19,0)") for c in "alr"}
     score = F.call_function("div", wide["a"] * wide["a"] * F.lit(1_000_000).cast("decimal(7,0)"), wide["l"] * wide["r"])
-    best = cuts.groupBy("lang", "size", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("x"))
-    return best.select("lang", "size", "phrase", "a", "x.l", "x.r", "x.score", "x.k")
+    own = cuts.select("lang", "phrase", "a", F.struct(score.alias("score"), "k", "l", "r").alias("x"), F.lit(None).cast("long").alias("longer"))
+    inner = candidates.filter("size > 2").withColumn("n", F.explode(F.sequence(F.lit(2), F.col("size") - 1)))
+    inner = inner.withColumn("first", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1)))
+    inside = inner.select("lang", _words("phrase", F.col("first"), F.col("n")).alias("phrase"), F.lit(None).cast("long").alias("a"), F.lit(None).cast(own.schema["x"].dataType).alias("x"), F.col("f").alias("longer"))
+    best = own.unionByName(inside).groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.min("x").alias("x"), F.max("longer").alias("longer"))
+    return best.select("lang", "phrase", "a", "x.l", "x.r", "x.score", "x.k", "longer")
 
 
 def unsubsumed(candidates: DataFrame, share: int = SHARE) -> DataFrame:
     """Candidates that don't stand, by `share` percent of their occurrences or more, inside one longer candidate."""
-    longer = candidates.filter("size > 2").select("lang", "phrase", "size", "a")
-    inner = longer.withColumn("n", F.explode(F.sequence(F.lit(2), F.col("size") - 1)))
-    inner = inner.withColumn("first", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("n") + 1)))
-    most = inner.groupBy("lang", _words("phrase", F.col("first"), F.col("n")).alias("phrase")).agg(F.max("a").alias("longer"))
-    return candidates.join(most, ["lang", "phrase"], "left").filter(F.coalesce(F.lit(100) * F.col("longer") < F.lit(share) * F.col("a"), F.lit(True))).drop("longer")
+    return candidates.filter(F.coalesce(F.lit(100) * F.col("longer") < F.lit(share) * F.col("a"), F.lit(True))).drop("longer")
+
+
+def _best_of_tasks(candidates: DataFrame, top: int) -> DataFrame:
+    """The first `top` rows of each language in each task, so that no others are exchanged."""
+    schema = candidates.schema
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            own = own if held is None else pa.concat_tables([held, own])
+            own = own.sort_by([("lang", "ascending"), ("score", "descending"), ("a", "descending"), ("phrase", "ascending")])
+            lang = own["lang"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate(([True], lang[1:] != lang[:-1]))) if len(lang) else lang
+            held = own.filter(pa.array(np.arange(len(lang)) - np.repeat(first, np.diff(np.append(first, len(lang)))) < top))
+        if held is not None:
+            yield from held.to_batches()
+
+    return candidates.mapInArrow(best, schema)
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, share: int = SHARE, top: int = TOP, **how) -> DataFrame:
@@ -288,7 +313,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sh
     take part. Empty tables, and texts without a phrase of `least` occurrences, give no rows.
     """
     counts = materialize(phrase_counts(docs, longest, least, **how), "phrase-counts")
-    kept = unsubsumed(materialize(scored(counts), "phrase-scores"), share)
+    kept = _best_of_tasks(unsubsumed(scored(counts), share), top)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     # the best of each part hold the best of all
     parts = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
