@@ -19,9 +19,11 @@ SEPARATORS, BLANKS = (*b".,;:!?", *range(0x0A, 0x0E)), (0x20, 0x09)
 #: Words in a phrase, least count, share of a phrase's count (in percent) that a longer one needs to take its place, phrases kept per language.
 LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2_000
 #: Rows of the sketch; bytes of text per counter of a row, and the most counters of a row (2^k). The tasks of the second pass get one bit per counter: ROWS * 2^MOST_BITS / 8 bytes (128 MB) at most.
-ROWS, BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 2, 4, 16, 29
-#: Counters travel in slices of 2^16, so that a place in a slice takes two bytes.
-SLICE_BITS = 16
+ROWS, BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 2, 8, 16, 29
+#: A row of the sketch travels in so many slices, 2^k, whatever its width: 2 MB of counters each at most.
+SLICES = 8
+#: Counted phrases travel packed: a task gathers about so many rows before it sums and packs them, in one part for every so many bytes of text.
+GATHERED, BYTES_PER_PART, MOST_PARTS = 1 << 20, 16 << 20, 4_096
 #: Bytes of text that a task works on at once.
 BLOCK = 3 << 20
 #: Parts of a language's phrases that are ranked apart before the best of all parts are.
@@ -138,8 +140,8 @@ class Words:
             runs.append(mix64(runs[-1][:n] * _STEP + one[size - 1 :][:n]))
         return runs
 
-    def counted(self, places: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-        """For each number of words, the distinct phrases at the given places: size, phrases, numbers of their languages, counts. Keys are exact: no two phrases share one."""
+    def counted(self, places: list[np.ndarray]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each number of words, the distinct phrases at the given places: size, phrases, numbers of their languages, counts, a place of each. Keys are exact: no two phrases share one."""
         n, v = len(self.langs), max(1, len(self.distinct))
         for size, at in enumerate(places, 1):
             key = self.ids[at] * n + self.lang[at]
@@ -147,7 +149,7 @@ class Words:
                 key = np.unique(key, return_inverse=True)[1] * v + self.ids[at + k]
             _, one, count = np.unique(key, return_index=True, return_counts=True)
             words = [self.distinct.take(pa.array(self.ids[at[one] + k])) for k in range(size)]
-            yield size, words[0] if size == 1 else pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())), self.lang[at[one]], count
+            yield size, words[0] if size == 1 else pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())), self.lang[at[one]], count, at[one]
 
 
 def _counters(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -155,14 +157,14 @@ def _counters(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _pack(places: np.ndarray, counts: np.ndarray) -> bytes:
-    """Places in a slice, in order, as the gaps between them, and their counts: low bytes, high bytes (mostly 0) and counts (mostly 1) apart, as they compress best."""
-    gaps = np.diff(places.astype(np.int64), prepend=0).astype("<u2")
-    return gaps.view(np.uint8).reshape(-1, 2).T.tobytes() + counts.astype(np.uint8).tobytes()
+    """Places in a slice, in order, as the gaps between them, and their counts: low bytes, higher bytes (mostly 0) and counts (mostly 1) apart, as they compress best."""
+    gaps = np.diff(places.astype(np.int64), prepend=0).astype("<u4")
+    return gaps.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() + counts.astype(np.uint8).tobytes()
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(packed, np.uint8).reshape(3, -1)
-    return np.cumsum(raw[0].astype(np.int64) + (raw[1].astype(np.int64) << 8)), raw[2]
+    raw = np.frombuffer(packed, np.uint8).reshape(4, -1)
+    return np.cumsum(raw[0].astype(np.int64) + (raw[1].astype(np.int64) << 8) + (raw[2].astype(np.int64) << 16)), raw[3]
 
 
 def sketch(texts: DataFrame, bits: int, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK) -> np.ndarray:
@@ -173,6 +175,7 @@ def sketch(texts: DataFrame, bits: int, longest: int = LONGEST, least: int = LEA
     more) in each part and in the sum, which leaves open nothing but how far beyond it they are, so a counter fits in a byte.
     """
     least = min(least, 100)
+    inner = bits - SLICES
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _blocks(batches, longest, block):
@@ -183,51 +186,76 @@ def sketch(texts: DataFrame, bits: int, longest: int = LONGEST, least: int = LEA
                 at, count = np.unique(_counters(h, row, bits), return_counts=True)
                 if not len(at):
                     continue
-                part = (at >> np.uint64(SLICE_BITS)).astype(np.int64)
+                part = (at >> np.uint64(inner)).astype(np.int64)
                 edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
                 count = np.minimum(count, least)
-                packed = [_pack(at[a:b] & np.uint64((1 << SLICE_BITS) - 1), count[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(row * (1 << bits - SLICE_BITS) + part[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], ["slice", "counters"])
+                packed = [_pack(at[a:b] & np.uint64((1 << inner) - 1), count[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array((row << SLICES) + part[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], ["slice", "counters"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, packed in zip(batch.column("slice").to_pylist(), batch.column("counters")):
                 at, count = _unpack(packed.as_py())
-                total = sums.setdefault(part, np.zeros(1 << SLICE_BITS, np.uint8))
+                total = sums.setdefault(part, np.zeros(1 << inner, np.uint8))
                 total[at] = np.minimum(total[at] + count, least)
         for part, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["slice", "counters"])
 
-    slices = ROWS << bits - SLICE_BITS
-    # 64 slices make 4 MB of counters in a task
-    dealt = texts.mapInArrow(touched, "slice int, counters binary").repartition(max(8, slices // 64), "slice")
-    out = np.zeros((slices, 1 << SLICE_BITS - 3), np.uint8)
+    slices = ROWS << SLICES
+    # about 4 MB of counters in a task
+    dealt = texts.mapInArrow(touched, "slice int, counters binary").repartition(max(8, ROWS << bits >> 22), "slice")
+    out = np.zeros((slices, 1 << inner - 3), np.uint8)
     for r in dealt.mapInArrow(merged, "slice int, counters binary").collect():
         out[r["slice"]] = np.frombuffer(r["counters"], np.uint8)
     return out.reshape(ROWS, -1)
 
 
-def width(texts: DataFrame) -> int:
-    """Bits that number the counters of a row: so many that, on average, a few phrases share one."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def text_bytes(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def width(size: int) -> int:
+    """Bits that number the counters of a row for so many bytes of text: so many that, on average, a few phrases share one."""
     return min(MOST_BITS, max(LEAST_BITS, int(size // BYTES_PER_COUNTER).bit_length()))
 
 
+def _packed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Counted phrases summed, sorted and compressed, one row per part."""
+    summed = pa.concat_tables(held).group_by(["part", "lang", "size", "phrase"], use_threads=False).aggregate([("f", "sum")])
+    summed = summed.sort_by([("part", "ascending"), ("lang", "ascending"), ("size", "ascending"), ("phrase", "ascending")]).combine_chunks()
+    part = summed["part"].to_numpy()
+    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+    own = summed.select(["lang", "size", "phrase", "f_sum"]).rename_columns(["lang", "size", "phrase", "f"])
+    for a, b in zip(edges[:-1], edges[1:]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(own.slice(a, b - a))
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "rows"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch.column("rows"):
+            yield from pa.ipc.open_stream(pa.py_buffer(packed.as_py()))
+
+
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK, bits: int | None = None) -> DataFrame:
     """All phrases of 1 to `longest` words that occur `least` times or more: lang, size, phrase, f; and a row of size 0 with all word occurrences of each language.
 
     A first pass makes the sketch, whose counters are never below a count. The second counts exactly, by the words
-    themselves, those phrases whose counters all reach `least`: each block sums its own, then they meet by language and
-    phrase. Where texts are so many that the sketch fills up (beyond about 4 * 2^MOST_BITS bytes) it lets more rare phrases
+    themselves, those phrases whose counters, and those of their parts, all reach `least`: a task sums its own and packs them, sorted
+    and compressed, for the exchange; opened again, they meet by language and phrase. Where texts are so many that the sketch fills up (beyond about 8 * 2^MOST_BITS bytes) it lets more rare phrases
     through, which costs time and no result.
     """
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    bits = width(texts) if bits is None else bits
+    total = text_bytes(texts)
+    bits = width(total) if bits is None else bits
+    parts = min(MOST_PARTS, max(8, total // BYTES_PER_PART))
     reached = texts.sparkSession.sparkContext.broadcast(sketch(texts, bits, longest, least, block))
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enough = reached.value
+        enough, held, rows = reached.value, [], 0
         for own in _blocks(batches, longest, block):
             words = Words.of(*own)
             runs, places, whole = words.hashes(longest), [], np.ones(len(words.ids) + 1, bool)
@@ -242,16 +270,23 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, b
                 whole = words.known.copy() if size == 1 else words.known[: 1 - size].copy()
                 whole[at] = True
             totals = np.bincount(words.lang[~words.known], minlength=len(words.langs))
-            yield _counts(words.langs, 0, pa.array([""] * len(totals)), np.arange(len(totals)), totals)
-            for size, phrase, lang, count in words.counted(places):
-                yield _counts(words.langs, size, phrase, lang, count)
-
-    each = texts.mapInArrow(survivors, "lang string, size int, phrase string, f long")
+            held.append(_counts(words.langs, 0, pa.array([""] * len(totals), pa.string()), np.arange(len(totals)), totals, np.zeros(len(totals), np.int32)))
+            for size, phrase, lang, count, first in words.counted(places):
+                held.append(_counts(words.langs, size, phrase, lang, count, (runs[size - 1][first] % np.uint64(parts)).astype(np.int32)))
+            rows += sum(len(p) for p in places)
+            if rows >= GATHERED:
+                yield from _packed(held)
+                held, rows = [], 0
+        if held:
+            yield from _packed(held)
+
+    packed = texts.mapInArrow(survivors, "part int, rows binary").repartition(parts, "part")
+    each = packed.mapInArrow(_opened, "lang string, size int, phrase string, f long")
     return each.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("size") == 0) | (F.col("f") >= least))
 
 
-def _counts(langs: list[str], size: int, phrase: pa.Array, lang: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang)), pa.array(np.full(len(count), size, np.int32)), phrase.cast(pa.string()), pa.array(count.astype(np.int64))], ["lang", "size", "phrase", "f"])
+def _counts(langs: list[str], size: int, phrase: pa.Array, lang: np.ndarray, count: np.ndarray, part: np.ndarray) -> pa.Table:
+    return pa.table({"part": part, "lang": pa.array(langs, pa.string()).take(pa.array(lang)), "size": np.full(len(count), size, np.int32), "phrase": phrase.cast(pa.string()), "f": count.astype(np.int64)})
 
 
 def _words(phrase: str, first: int | Column, n: int | Column) -> Column:
