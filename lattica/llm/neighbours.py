@@ -106,7 +106,7 @@ def _lists(edges: DataFrame, threshold: float, lists: int, most: int) -> DataFra
     return once.withColumn("rank", rank).filter((F.col("rank") <= lists) | (F.col("rank") <= most) & (F.col("sim") >= threshold)).drop("rank")
 
 
-def _refined(nodes: DataFrame, graph: DataFrame, threshold: float, lists: int, limit: int, turn: int) -> DataFrame:
+def _refined(nodes: DataFrame, graph: DataFrame, edges: int, threshold: float, lists: int, limit: int, turn: int) -> DataFrame:
     """Candidate edges between vectors that are both neighbours, in either direction, of a third one, at least one of them since the last turn.
 
     Only what a list can use is emitted: what is better than its worst neighbour, or links while the list may grow.
@@ -116,7 +116,7 @@ def _refined(nodes: DataFrame, graph: DataFrame, threshold: float, lists: int, l
     both = both.unionByName(both.select(F.col("member").alias("centre"), F.col("centre").alias("member"), "new"))
     both = both.groupBy("centre", "member").agg(F.max("new").alias("new"))
     counts = both.groupBy("centre").agg(F.count("*").alias("copies"), F.count("*").alias("degree"), F.max("new").alias("active")).filter("active").drop("active")
-    met = join_counted(both, counts, ["centre"], both.count())
+    met = join_counted(both, counts, ["centre"], 2 * edges)
     met = met.withColumn("part", F.pmod(F.xxhash64("member", F.lit(turn)), F.ceil(F.col("degree") / MEET)))
     # what a list takes: all while it is short; then what is better than its last; any link while it is saturated and may grow
     linked = F.count_if(F.col("sim") >= threshold)
@@ -232,6 +232,13 @@ def _recall(truth: DataFrame, linked: DataFrame) -> float:
     return min(1.0 if x is None else float(x) for x in r)
 
 
+def _sizes(graph: DataFrame, threshold: float, limit: int) -> tuple[int, int, int]:
+    """Links, lists of `limit` links or more, and edges."""
+    lists = graph.groupBy("src").agg(F.count_if(F.col("sim") >= threshold).alias("links"), F.count("*").alias("edges"))
+    r = lists.agg(F.sum("links"), F.count_if(F.col("links") >= limit), F.sum("edges")).first()
+    return tuple(x or 0 for x in r)
+
+
 def descend(nodes: DataFrame, threshold: float = THRESHOLD, lists: int = LISTS, most: int = MOST, rounds: int = ROUNDS, seed: int = 17, graph: DataFrame | None = None) -> DataFrame:
     """The neighbour graph of nodes (node, embedding): src, dst, sim, new. Ends when a turn adds hardly any link, and no saturated list may grow.
 
@@ -240,17 +247,17 @@ def descend(nodes: DataFrame, threshold: float = THRESHOLD, lists: int = LISTS,
     found = _first_graph(nodes, seed).withColumn("new", F.lit(True))
     graph_before, limit = graph, lists
     graph = materialize(_lists(found if graph is None else found.unionByName(graph.withColumn("new", F.lit(False))), threshold, lists, limit if graph is None else most), "neighbour-graph")
-    links = graph.filter(F.col("sim") >= threshold).count()
+    links, _, edges = _sizes(graph, threshold, limit)
     for turn in range(rounds):
         limit = min(most, 2 * limit)
-        more = _refined(nodes, graph, threshold, lists, limit, seed + turn).withColumn("new", F.lit(True))
+        more = _refined(nodes, graph, edges, threshold, lists, limit, seed + turn).withColumn("new", F.lit(True))
         new = materialize(_lists(graph.withColumn("new", F.lit(False)).unionByName(more), threshold, lists, limit), "neighbour-graph")
         if graph is not graph_before:
             discard(graph)
         graph = new
-        now = graph.filter(F.col("sim") >= threshold).count()
-        grown, links = now - links, now
-        if limit >= most and grown <= links // 1_000:
+        before = links
+        links, saturated, edges = _sizes(graph, threshold, limit)
+        if links - before <= links // 1_000 and (limit >= most or not saturated):
             break
     return graph
 
