@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ ROWS, BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 2, 8, 16, 29
 #: A row of the sketch travels in so many slices, 2^k, whatever its width: 2 MB of counters each at most.
 SLICES = 8
 #: Counted phrases travel packed: a task gathers about so many rows before it sums and packs them, in one part for every so many bytes of text.
-GATHERED, BYTES_PER_PART, MOST_PARTS = 1 << 20, 16 << 20, 4_096
+GATHERED, BYTES_PER_PART, MOST_PARTS = 1 << 19, 16 << 20, 4_096
 #: Bytes of text that a task works on at once.
 BLOCK = 3 << 20
 #: Parts of a language's phrases that are ranked apart before the best of all parts are.
@@ -220,24 +221,48 @@ def width(size: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, int(size // BYTES_PER_COUNTER).bit_length()))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned numbers as their lowest bytes, then the next ones, and so on."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel().astype(np.int64)
+
+
 def _packed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-    """Counted phrases summed, sorted and compressed, one row per part."""
+    """Counted phrases summed, sorted and compressed, one row per part: their words by place in the part's own list of words."""
     summed = pa.concat_tables(held).group_by(["part", "lang", "size", "phrase"], use_threads=False).aggregate([("f", "sum")])
     summed = summed.sort_by([("part", "ascending"), ("lang", "ascending"), ("size", "ascending"), ("phrase", "ascending")]).combine_chunks()
     part = summed["part"].to_numpy()
     edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-    own = summed.select(["lang", "size", "phrase", "f_sum"]).rename_columns(["lang", "size", "phrase", "f"])
     for a, b in zip(edges[:-1], edges[1:]):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(own.slice(a, b - a))
-        yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "rows"])
+        own = summed.slice(a, b - a)
+        size = own["size"].to_numpy()
+        found = pc.list_flatten(pc.split_pattern(own["phrase"].filter(pa.array(size > 0)), " ")).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(found.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        langs = own["lang"].combine_chunks().dictionary_encode()
+        columns = {
+            "langs": json.dumps(langs.dictionary.to_pylist()).encode(), "lang": _planes(langs.indices.to_numpy()), "size": _planes(size), "f": _planes(own["f_sum"].to_numpy()),
+            "words": " ".join(found.dictionary.take(pa.array(order)).to_pylist()).encode(), "word": _planes(place[found.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)),
+        }
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), *(pa.array([len(c)], pa.int64()) for c in columns.values()), *(pa.array([pa.compress(c, codec="zstd", asbytes=True)], pa.binary()) for c in columns.values())], ["part", *(f"n_{c}" for c in columns), *columns])
+
+
+_PACKED = ("langs", "lang", "size", "f", "words", "word")
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for packed in batch.column("rows"):
-            yield from pa.ipc.open_stream(pa.py_buffer(packed.as_py()))
+        for k in range(batch.num_rows):
+            raw = {c: pa.decompress(batch.column(c)[k].as_py(), decompressed_size=batch.column(f"n_{c}")[k].as_py(), codec="zstd", asbytes=True) for c in _PACKED}
+            size = _from_planes(raw["size"])
+            words = pa.array(raw["words"].decode().split(" "), pa.string()).take(pa.array(_from_planes(raw["word"])))
+            phrase = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), words), " ")
+            lang = pa.array(json.loads(raw["langs"]), pa.string()).take(pa.array(_from_planes(raw["lang"])))
+            yield pa.RecordBatch.from_arrays([lang, pa.array(size.astype(np.int32)), phrase, pa.array(_from_planes(raw["f"]))], ["lang", "size", "phrase", "f"])
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK, bits: int | None = None) -> DataFrame:
@@ -280,7 +305,8 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, b
         if held:
             yield from _packed(held)
 
-    packed = texts.mapInArrow(survivors, "part int, rows binary").repartition(parts, "part")
+    kinds = ", ".join(["part int", *(f"n_{c} long" for c in _PACKED), *(f"{c} binary" for c in _PACKED)])
+    packed = texts.mapInArrow(survivors, kinds).repartition(parts, "part")
     each = packed.mapInArrow(_opened, "lang string, size int, phrase string, f long")
     return each.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("size") == 0) | (F.col("f") >= least))
 
