@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def paired_summary(folds: DataFrame, base: str = "base", arm: str = "arm") -> DataFrame:
     """Over folds: mean difference, relative to the base, positive folds, and the mean without the best fold."""
@@ -51,7 +53,7 @@ def bootstrap_chunks(chunks: DataFrame, samples: int, seed: int, alpha: float =
     """
     n = chunks.count()
     spark = chunks.sparkSession
-    chunks = chunks.withColumn("chunk", (F.row_number().over(Window.orderBy("chunk")) - 1).cast("long"))
+    chunks = ranks.numbered(chunks, ["chunk"], "_at").withColumn("chunk", F.col("_at")).drop("_at")
     draws = spark.range(samples).withColumnRenamed("id", "replicate").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
     draws = draws.withColumn("chunk", F.pmod(_draw(seed, "replicate", "place"), F.lit(n)))
     sums = draws.join(chunks, "chunk").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("d", "v_base", "g_base", "v_arm", "g_arm")])
@@ -64,9 +66,9 @@ def bootstrap_chunks(chunks: DataFrame, samples: int, seed: int, alpha: float =
 
 
 def prefix_sums(cube: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Running sums over time of a cube of one row per time, with the row's place: what sums of contiguous blocks come from."""
-    order = Window.orderBy("time_id")
-    return cube.select("time_id", F.row_number().over(order).alias("place"), *[F.sum(c).over(order).alias(c) for c in columns])
+    """Running sums over time of a cube of one row per time, with the row's place from 1: what sums of contiguous blocks come from. Added up by ranges of time."""
+    sums = ranks.prefix_sums(cube.select("time_id", *columns), ["time_id"], {f"_sum_{c}": c for c in columns})
+    return sums.select("time_id", (F.col("place") + 1).cast("int").alias("place"), *[F.col(f"_sum_{c}").alias(c) for c in columns])
 
 
 def block_bootstrap(cube: DataFrame, columns: Sequence[str], block: int, samples: int, seed: int) -> DataFrame:

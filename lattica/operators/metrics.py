@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, finite, positive_weight, ratio
+from . import ranks
 
 
 def _strict(x: Column, what: str) -> Column:
@@ -110,11 +111,11 @@ def screen(df: DataFrame, features: Sequence[str], k: int, target: str = "target
 
 
 def fit_robust(df: DataFrame, columns: Sequence[str], tails: float = 0.001) -> DataFrame:
-    """Per column: low, high (outer quantiles), centre (median) and scale (q75 - q25, at least 1e-4), of finite values, linear between them."""
-    at = F.array(*[F.lit(v) for v in (tails, 0.25, 0.5, 0.75, 1 - tails)])
-    row = df.agg(*[F.percentile(finite(F.col(c)), at).alias(c) for c in columns])
-    tall = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in columns])).alias("x"))
-    return tall.select("x.feature", F.col("x.q")[0].alias("low"), F.col("x.q")[4].alias("high"), F.col("x.q")[2].alias("centre"), F.greatest(F.col("x.q")[3] - F.col("x.q")[1], F.lit(1e-4)).alias("scale"))
+    """Per column: low, high (outer quantiles), centre (median) and scale (q75 - q25, at least 1e-4), of finite values, linear between them; NULL, and the least scale, for a column without any."""
+    found = ranks.quantiles(df, columns, [tails, 0.25, 0.5, 0.75, 1 - tails])
+    figures = {c: found.get((None, c)) for c in columns}
+    rows = [(c, None, None, None, 1e-4) if v is None else (c, v[0], v[4], v[2], max(v[3] - v[1], 1e-4)) for c, v in figures.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, low double, high double, centre double, scale double")
 
 
 def column_health(df: DataFrame, columns: Sequence[str], least_finite: float = 0.01) -> DataFrame:

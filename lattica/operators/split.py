@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def sample_periodic(df: DataFrame, modulo: int) -> DataFrame:
     """Times divisible by modulo."""
@@ -27,18 +29,32 @@ def sample_residues(df: DataFrame, modulo: int, residues: Sequence[int], column:
     return df.filter(F.pmod(column, F.lit(modulo)).isin(list(residues)))
 
 
-def sample_times(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """All rows of n distinct times, those with the least seeded hash."""
+def sample_times(df: DataFrame, n: int, seed: int, most_rows: int | None = None) -> DataFrame:
+    """All rows of n distinct times, those with the least seeded hash; of these rows at most `most_rows`, again by least hash (of seed, time and asset)."""
     chosen = df.select("time_id").distinct().orderBy(F.xxhash64("time_id", F.lit(seed)), "time_id").limit(n)
-    return df.join(chosen, "time_id", "left_semi")
+    rows = df.join(chosen, "time_id", "left_semi")
+    if most_rows is None:
+        return rows
+    placed = ranks.numbered(rows.withColumn("_h", F.xxhash64("time_id", "asset_id", F.lit(seed))), ["_h", "time_id", "asset_id"], "_place")
+    return placed.filter(F.col("_place") < most_rows).drop("_h", "_place")
+
+
+def keep_times(df: DataFrame, times: DataFrame) -> DataFrame:
+    """Rows whose time is among those of another table, each once however often it is there. Null times match nothing."""
+    return df.join(times.select("time_id"), "time_id", "left_semi")
+
+
+def distinct_times(df: DataFrame) -> DataFrame:
+    """Each time once, with its place from 0 in their order and its number of rows; a null time is left out."""
+    return ranks.numbered(df.filter("time_id is not null").groupBy("time_id").agg(F.count("*").alias("rows")), ["time_id"])
 
 
 def evenly_spaced(df: DataFrame, k: int) -> DataFrame:
-    """k rows at even distances in order of (time_id, asset_id); for tables that one sort can hold."""
+    """k rows at even distances in order of (time_id, asset_id), the first and the last among them; all rows if there are no more than k."""
     n = df.count()
-    places = sorted({round(i * (n - 1) / max(k - 1, 1)) for i in range(min(k, n))})
-    numbered = df.withColumn("_row", F.row_number().over(Window.orderBy("time_id", "asset_id")) - 1)
-    return numbered.filter(F.col("_row").isin(places)).drop("_row")
+    k = min(k, n)
+    places = sorted({round(i * (n - 1) / max(k - 1, 1)) for i in range(k)})
+    return ranks.numbered(df, ["time_id", "asset_id"], "_row").filter(F.col("_row").isin(places)).drop("_row")
 
 
 def _positive(n: int) -> None:
@@ -93,16 +109,18 @@ def cut_training(fold: Fold, front: int | None = None, most: int | None = None)
 
 def purged_blocks(df: DataFrame, n_splits: int, holdout: float = 0.15) -> DataFrame:
     """Distinct times with their block: the last share (rounded up) is -1, the rest falls in n_splits blocks, the first ones larger by one."""
-    times = df.select("time_id").distinct().withColumn("_k", F.row_number().over(Window.orderBy(F.desc("time_id"))))
+    times = ranks.numbered(df.select("time_id").distinct(), ["time_id"], "_k")
     n = times.count()
     held = -(-int(round(n * holdout * 1_000_000)) // 1_000_000)
-    rest = times.filter(F.col("_k") > held).withColumn("block", F.ntile(n_splits).over(Window.orderBy("time_id")) - 1)
-    return rest.select("time_id", "block").unionByName(times.filter(F.col("_k") <= held).select("time_id", F.lit(-1).alias("block")))
+    size, larger = divmod(n - held, n_splits)
+    k = F.col("_k")
+    block = F.when(k >= n - held, -1).when(k < larger * (size + 1), F.floor(k / (size + 1)))
+    return times.select("time_id", (block.otherwise(larger + F.floor((k - larger * (size + 1)) / size)) if size else block).cast("int").alias("block"))
 
 
 def purge(blocks: DataFrame, block: int, steps: int) -> DataFrame:
     """Roles for one block: valid, train, or purged where a time stands within `steps` places of the block; holdout stays."""
-    placed = blocks.withColumn("_p", F.row_number().over(Window.orderBy("time_id")))
+    placed = ranks.numbered(blocks.select("time_id", "block"), ["time_id"], "_p")
     edge = placed.filter(F.col("block") == block).agg(F.min("_p").alias("low"), F.max("_p").alias("high"))
     role = F.when(F.col("block") == -1, "holdout").when(F.col("block") == block, "valid").when((F.col("_p") >= F.col("low") - steps) & (F.col("_p") <= F.col("high") + steps), "purged").otherwise("train")
     return placed.crossJoin(F.broadcast(edge)).select("time_id", "block", role.alias("role"))
@@ -143,8 +161,8 @@ def equal_blocks(low: int, high: int, n: int) -> Column:
 
 def quantile_segments(df: DataFrame, n: int, column: str = "time_id", out: str = "segment") -> DataFrame:
     """Segments between the quantiles k / n of a column (linear between values); equal edges are one."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(k / n) for k in range(1, n)])).alias("e")).first()["e"] if n > 1 else []
-    return df.withColumn(out, bucket(F.col(column), edges or []))
+    edges = ranks.quantiles(df, [column], [k / n for k in range(1, n)]).get((None, column), [])
+    return df.withColumn(out, bucket(F.col(column), edges))
 
 
 def bucket(x: Column, edges: Sequence[float]) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .cross import regime_state
 
 
@@ -123,14 +124,48 @@ def in_time_slices(df: DataFrame, rows_of_time: int, look_back: int) -> DataFram
     return own.unionByName(own.filter(late).withColumn("slice", F.col("slice") + 1).withColumn("warm_up", F.lit(True)))
 
 
-def market_lags(market: DataFrame, column: str, lags: Sequence[int], rolling: Sequence[int]) -> DataFrame:
-    """For one row per time: values exactly k steps ago (0 if that time is missing) and means of unbroken runs of R steps before (0 otherwise)."""
-    order = Window.orderBy("time_id")
+def sliced(df: DataFrame, rows_of_time: int, steps_back: int, rows_back: int, columns) -> DataFrame:
+    """df with columns that are bounded windows of one asset, worked out by (asset, slice of time): as many tasks as there are slices, not assets.
+
+    columns: from the window of an asset's rows in order of time to the new columns by name. They may look back `rows_back` rows and `steps_back`
+    steps of time, no further, and not ahead. A slice begins with those rows of the past: the last `rows_back` rows of each asset
+    before it, found by their places in the asset's slices before (an asset that is away for long brings older rows along),
+    and all rows within the steps. Results are exact.
+    """
+    if rows_of_time <= 0 or steps_back < 0 or rows_back < 0:
+        raise ValueError("slices need a positive length")
+    own = df.withColumn("_slice", F.floor(F.col("time_id") / rows_of_time))
+    moved = own.limit(0)
+    if rows_back:
+        # how many rows an asset has before each of its slices
+        filled = own.groupBy("asset_id", "_slice").agg(F.count("*").alias("_n"))
+        before = Window.partitionBy("asset_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        filled = filled.withColumn("_past", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        # the last rows of each slice, with their places among all rows of the asset, meet the slices whose past ends with those places
+        newest = Window.partitionBy("asset_id", "_slice").orderBy(F.desc("time_id"))
+        ends = own.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= rows_back)
+        ends = ends.join(filled, ["asset_id", "_slice"]).withColumn("_place", F.col("_past") + F.col("_n") - F.col("_r")).drop("_slice", "_r", "_n", "_past")
+        needs = filled.filter("_past > 0").select("asset_id", "_slice", F.explode(F.sequence(F.greatest(F.col("_past") - rows_back, F.lit(0)), F.col("_past") - 1)).alias("_place"))
+        moved = ends.join(needs, ["asset_id", "_place"]).select(*df.columns, "_slice")
+    late = F.pmod("time_id", F.lit(rows_of_time))
+    if steps_back:
+        most = -(-steps_back // rows_of_time)
+        ahead = own.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(most)))).filter(late >= F.col("_k") * rows_of_time - steps_back)
+        moved = moved.unionByName(ahead.withColumn("_slice", F.col("_slice") + F.col("_k")).drop("_k"))
+    warm = moved.dropDuplicates(["asset_id", "time_id", "_slice"]).withColumn("_warm", F.lit(True))
+    by = Window.partitionBy("asset_id", "_slice").orderBy("time_id")
+    return own.withColumn("_warm", F.lit(False)).unionByName(warm).withColumns(columns(by)).filter("not _warm").drop("_slice", "_warm")
+
+
+def market_lags(market: DataFrame, column: str, lags: Sequence[int], rolling: Sequence[int], rows_of_time: int = 10_000) -> DataFrame:
+    """For one row per time: values exactly k steps ago (0 if that time is missing) and means of unbroken runs of R steps before (0 otherwise). Worked out in slices of time."""
+    reach = max([*lags, *rolling])
+    order = Window.partitionBy("slice").orderBy("time_id")
     out = {f"lag{k}": _or_zero(F.max(column).over(order.rangeBetween(-k, -k))) for k in lags}
     for r in rolling:
         frame = order.rangeBetween(-r, -1)
         out[f"mean{r}"] = F.when(F.count(column).over(frame) == r, F.avg(column).over(frame)).otherwise(0.0)
-    return market.withColumns(out)
+    return in_time_slices(market, max(rows_of_time, reach), reach).withColumns(out).filter("not warm_up").drop("slice", "warm_up")
 
 
 def latest_snapshot(df: DataFrame, column: str, assets: Sequence[int]) -> DataFrame:
@@ -144,7 +179,7 @@ def latest_snapshot(df: DataFrame, column: str, assets: Sequence[int]) -> DataFr
 
 def partner_lag(df: DataFrame, column: str, partners: dict[int, int], k: int = 1) -> DataFrame:
     """Each asset's partner's value k distinct times ago, 0 if the partner wasn't there."""
-    times = df.select("time_id").distinct().withColumn("position", F.row_number().over(Window.orderBy("time_id")))
+    times = ranks.numbered(df.select("time_id").distinct(), ["time_id"], "position")
     placed = df.join(times, "time_id")
     pairs = F.create_map(*[x for a, b in partners.items() for x in (F.lit(a).cast("long"), F.lit(b).cast("long"))])
     other = placed.select(F.col("asset_id").alias("partner"), (F.col("position") + k).alias("position"), F.col(column).alias("partner_lag"))
