@@ -1,7 +1,8 @@
 """Improbable-feature digests: byte windows that are rare by their entropy, kept in chained Bloom filters.
 
 Every 64-byte window has an entropy; windows whose entropy is rare in the corpus are the better marks of a document.
-Among each 64 consecutive windows the rarest wins (the first of equals), and windows that win often are the features.
+Among each 64 consecutive windows the rarest wins (the first of equals), and windows that win often, wherever they stand
+in the text, are the features; where none does, those that win most are. So only texts without bytes have no features.
 They are inserted in Bloom filters of 2,048 bits with 5 bits a feature; a filter takes 160 features, then the next in
 the chain begins. Two digests are compared filter by filter by their common bits, less those that chance explains.
 """
@@ -22,7 +23,7 @@ from .storage import HOT_ROWS, discard, materialize
 from .text import mix64, text_blocks
 
 WINDOW, FRAME = 64, 64
-#: Wins that make a window a feature.
+#: Wins, over all its places in a text, that make a window a feature.
 POPULAR = 16
 BITS, HASHES, FULL = 2048, 5, 160
 #: Entropy is told apart in so many steps.
@@ -98,16 +99,23 @@ def features(texts: list[bytes], rarity: np.ndarray) -> Iterator[np.ndarray]:
         least = np.where(counts >= FRAME, np.minimum(POPULAR, np.maximum(counts - FRAME + 1, 1)), least)
         at = np.flatnonzero(wins)
         text = np.searchsorted(offsets, at, "right") - 1
-        good = wins[at] >= least[text]
-        at, text = at[good], text[good]
         rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at]).view("<u8") if len(at) else np.zeros((0, WINDOW // 8), "<u8")
         hashes = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
         for k in range(rows.shape[1]):
             hashes = mix64(hashes ^ rows[:, k]) + np.uint64(k)
-        ends = np.searchsorted(text, np.arange(len(counts) + 1))
+        # equal windows of a text win together, from their first place on
+        order = np.lexsort((hashes, text))
+        cut = np.flatnonzero(np.concatenate(([True], (text[order][1:] != text[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])))) if len(at) else at
+        total = np.add.reduceat(wins[at][order], cut) if len(at) else wins[at]
+        first, owner, value = order[cut], text[order][cut], hashes[order][cut]  # lexsort is stable, so order[cut] is the first place
+        most = np.zeros(len(counts), np.int64)
+        np.maximum.at(most, owner, total)
+        good = total >= np.minimum(least, most)[owner]
+        first, owner, value = first[good], owner[good], value[good]
+        place = np.lexsort((first, owner))
+        ends = np.searchsorted(owner[place], np.arange(len(counts) + 1))
         for k in range(len(counts)):
-            own = hashes[ends[k] : ends[k + 1]]
-            yield own[np.sort(np.unique(own, return_index=True)[1])]
+            yield value[place[ends[k] : ends[k + 1]]]
 
 
 def filters(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
