@@ -2,7 +2,8 @@
 
 The windows of a document (50 consecutive words) are cut in runs whose windows share their minimizer, the least hash
 among their 8-word grams. Equal windows have equal minimizers, so runs that share one meet in the same shard, and each
-window meets the windows it can equal exactly once. Runs that are equal as a whole are merged first. A shard indexes
+window meets the windows it can equal exactly once. Runs that are equal as a whole are merged first. Words are told apart by
+XXH64 and runs by the XXH3-128 of their words' hashes. A shard indexes
 the distinct runs of its minimizers in an FM-index; the same runs are then streamed through it: backward search over
 the wavelet matrix follows a window as long as the match also occurs in a document of a smaller id, and reports the
 intervals that reach the full length. Minimizers that occur in one document only never leave the first stage.
@@ -16,12 +17,13 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
 from .storage import discard, materialize
-from .text import mix64, range_hashes, text_blocks, word_hashes, word_spans
+from .text import exact_word_hashes, mix64, range_hashes, text_blocks, word_spans
 
 WINDOW, GRAM = 50, 8
 #: Words in one index; a shard builds one index after another, each over whole minimizers.
@@ -71,18 +73,19 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in text_blocks(batches):
         starts, ends, first = word_spans(data, offsets)
-        words = word_hashes(data, starts, ends)
-        text, at, windows, key = _runs(words, first, WINDOW, GRAM)
-        digest = range_hashes(words, at, at + windows + WINDOW - 1)
+        words = exact_word_hashes(data, starts, ends).astype("<u8")
+        text, at, windows, key = _runs(words.astype(np.uint64), first, WINDOW, GRAM)
+        raw = words.tobytes()
+        digest = pa.array([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(at.tolist(), (at + windows + WINDOW - 1).tolist())], pa.binary())
         rows = pa.array(text)
-        yield pa.RecordBatch.from_arrays([_signed(key), _signed(digest), batch.column("doc_id").take(rows), batch.column("sum").take(rows), pa.array((at - first[text]).astype(np.int32)), pa.array(windows.astype(np.int32))], ["key", "digest", "doc_id", "sum", "start", "windows"])
+        yield pa.RecordBatch.from_arrays([_signed(key), digest, batch.column("doc_id").take(rows), batch.column("sum").take(rows), pa.array((at - first[text]).astype(np.int32)), pa.array(windows.astype(np.int32))], ["key", "digest", "doc_id", "sum", "start", "windows"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word hashes of the wanted runs of each text."""
     for batch, data, offsets in text_blocks(batches):
         starts, ends, first = word_spans(data, offsets)
-        words = word_hashes(data, starts, ends).astype("<u8")
+        words = exact_word_hashes(data, starts, ends).astype("<u8")
         wanted = batch.column("wanted")
         wanted = pa.concat_arrays([wanted])
         owner = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
@@ -146,7 +149,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def result(rows: list[tuple]) -> pa.RecordBatch:
         found = search_block([np.frombuffer(w, "<u8") for *_, w in rows], np.array([r[2] for r in rows]))
         kept = [(r[0], r[1], f) for r, f in zip(rows, found) if f]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in kept], pa.int64()), pa.array([d for _, d, _ in kept], pa.int64()), pa.array([[{"first": a, "count": n} for a, n in f] for _, _, f in kept], pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())])))], ["key", "digest", "intervals"])
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in kept], pa.int64()), pa.array([d for _, d, _ in kept], pa.binary()), pa.array([[{"first": a, "count": n} for a, n in f] for _, _, f in kept], pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())])))], ["key", "digest", "intervals"])
 
     rows: list[tuple] = []
     size = begun = 0  # words, and where the rows of the last key begin
@@ -171,7 +174,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = np.frombuffer(raw, "<u8").astype(np.uint64)
             at = np.arange(len(words) - WINDOW + 1)
             n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, digest)), pa.array(np.full(n, doc)), _signed(range_hashes(words, at, at + WINDOW)), pa.array(at.astype(np.int32))], ["key", "digest", "doc_id", "window", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array([digest] * n, pa.binary()), pa.array(np.full(n, doc)), _signed(range_hashes(words, at, at + WINDOW)), pa.array(at.astype(np.int32))], ["key", "digest", "doc_id", "window", "first"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -180,17 +183,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id neither repeat nor are repeated.
     """
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sum"), "text")
-    runs = materialize(own.mapInArrow(_find_runs, "key long, digest long, doc_id long, sum long, start int, windows int"), "substring-runs")
+    runs = materialize(own.mapInArrow(_find_runs, "key long, digest binary, doc_id long, sum long, start int, windows int"), "substring-runs")
     # equal runs are one; the smallest document that has it stands for it
     distinct = materialize(runs.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "sum", "start", "windows")).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("copies")), "substring-distinct")
     by_key = distinct.groupBy("key").agg(F.count("*").alias("n"), F.min("at.doc_id").alias("low"), F.max("last").alias("high")).filter("low < high")
     shared = materialize(distinct.join(by_key.select("key", "n"), "key"), "substring-shared")
     wanted = shared.filter("n > 1").select(F.col("at.doc_id").alias("doc_id"), F.col("at.sum").alias("sum"), F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "key", "digest", (F.col("n") > MAX_RUNS).alias("hot")).alias("run")).groupBy("doc_id", "sum").agg(F.collect_list("run").alias("wanted"))
     texts = own.join(wanted, ["doc_id", "sum"]).select("doc_id", "text", "wanted")
-    fetched = materialize(texts.mapInArrow(_fetch, "key long, digest long, doc_id long, hot boolean, words binary"), "substring-fetched")
+    fetched = materialize(texts.mapInArrow(_fetch, "key long, digest binary, doc_id long, hot boolean, words binary"), "substring-fetched")
     intervals = "array<struct<first:int,count:int>>"
-    searched = fetched.filter("not hot").select("key", "digest", "doc_id", "words").repartition("key").sortWithinPartitions("key", "doc_id", "digest").mapInArrow(_search, f"key long, digest long, intervals {intervals}")
-    single = fetched.filter("hot").mapInArrow(_windows, "key long, digest long, doc_id long, window long, first int")
+    searched = fetched.filter("not hot").select("key", "digest", "doc_id", "words").repartition("key").sortWithinPartitions("key", "doc_id", "digest").mapInArrow(_search, f"key long, digest binary, intervals {intervals}")
+    single = fetched.filter("hot").mapInArrow(_windows, "key long, digest binary, doc_id long, window long, first int")
     least = single.groupBy("key", "window").agg(F.min("doc_id").alias("least"))
     slow = single.join(least, ["key", "window"]).filter("doc_id > least").groupBy("key", "digest").agg(F.collect_list(F.struct("first", F.lit(1).alias("count"))).alias("intervals"))
     found = materialize(searched.unionByName(slow).groupBy("key", "digest").agg(F.flatten(F.collect_list("intervals")).alias("intervals")), "substring-found")
