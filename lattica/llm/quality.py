@@ -8,6 +8,7 @@ moved by what its path's posterior differs from the corpus's share.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -192,5 +193,6 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns. Each row follows its own verdict, whatever other rows of its doc_id do."""
-    kept = judge(docs, labels, host, path, threshold, keyed=True).filter("keep").select(F.col("verdict_key").alias("_kept")).distinct()
-    return docs.join(kept, verdict_key(host, path) == F.col("_kept"), "left_semi")
+    name = f"_kept_{uuid.uuid4().hex}"  # like no column of docs
+    kept = judge(docs, labels, host, path, threshold, keyed=True).filter("keep").select(F.col("verdict_key").alias(name)).distinct()
+    return docs.join(kept, verdict_key(host, path) == F.col(name), "left_semi")
