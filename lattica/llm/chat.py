@@ -71,6 +71,10 @@ class Formatted:
     texts: list[tuple[int, int] | None]
     rewrites: bool
 
+    def lost(self, turns: list[Turn], trained: str = "assistant") -> int:
+        """How many trained texts have no span although they aren't empty: the loss doesn't see them."""
+        return sum(role == trained and text != "" and span is None for (role, text), span in zip(turns, self.texts))
+
     def loss_spans(self, roles: list[str], trained: str = "assistant") -> list[tuple[int, int]]:
         return [span for role, span in zip(roles, self.texts) if role == trained and span is not None]
 
@@ -128,13 +132,24 @@ def _text_spans(turns: list[Turn], whole: str, template: Template) -> list[tuple
     return [_text_span(turns, k, whole, template) for k in range(len(turns))]
 
 
+def _prefixes(turns: list[Turn], of: Template) -> Iterator[str]:
+    """The outputs of all prefixes, one turn more each time. The pieces of the library's own template are escaped once and put together for each."""
+    if of is template:
+        pieces = [_turn(t) for t in turns]
+        yield from ("".join(pieces[: k + 1]) for k in range(len(pieces)))
+    else:
+        yield from (of(turns[: k + 1]) for k in range(len(turns)))
+
+
 def render(turns: list[Turn], template: Template = template) -> Formatted:
-    """Spans of all turns, found by comparing the outputs of successive prefixes of the conversation."""
+    """Spans of all turns, found by comparing the outputs of successive prefixes of the conversation.
+
+    A template whose outputs end in something fixed rewrites that end with each turn, so it counts as one that rewrites.
+    """
     spans: list[tuple[int, int] | None] = []
     before = template([])
     rewrites = False
-    for k in range(len(turns)):
-        now = template(turns[: k + 1])
+    for now in _prefixes(turns, template):
         if now.startswith(before):
             spans.append((len(before), len(now)))
         else:
@@ -169,10 +184,11 @@ def _spans(spans: list[tuple[int, int] | None]) -> list[dict | None]:
 
 
 def format_chats(conversations: DataFrame, template: Template = template) -> DataFrame:
-    """One row per conversation: conv_id, roles, formatted, turns and texts (spans in code points, end exclusive), loss (spans of assistants' texts), rewrites.
+    """One row per conversation: conv_id, roles, formatted, turns and texts (spans in code points, end exclusive), loss (spans of assistants' texts), lost, rewrites.
 
     Rows are taken in order of turn (null first), then role, then text; repeated rows are turns of their own. Null roles
-    and texts are empty; rows with a null conv_id are one conversation. A conversation is held in memory as a whole, as
+    and texts are empty; rows with a null conv_id are one conversation. lost counts the assistants' texts that the template
+    has changed (say, to capitals) or repeats elsewhere, so that they have no span and take no part in the loss. A conversation is held in memory as a whole, as
     its output is one string. Other columns don't take part.
     """
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -182,12 +198,12 @@ def format_chats(conversations: DataFrame, template: Template = template) -> Dat
             out = render(turns, template)
             roles = [r for r, _ in turns]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([conv], pa.int64()), pa.array([roles], pa.list_(pa.string())), pa.array([out.text]), pa.array([_spans(out.turns)], pa.list_(span)), pa.array([_spans(out.texts)], pa.list_(span)), pa.array([_spans(out.loss_spans(roles))], pa.list_(span)), pa.array([out.rewrites])],
-                ["conv_id", "roles", "formatted", "turns", "texts", "loss", "rewrites"],
+                [pa.array([conv], pa.int64()), pa.array([roles], pa.list_(pa.string())), pa.array([out.text]), pa.array([_spans(out.turns)], pa.list_(span)), pa.array([_spans(out.texts)], pa.list_(span)), pa.array([_spans(out.loss_spans(roles))], pa.list_(span)), pa.array([out.lost(turns)]), pa.array([out.rewrites])],
+                ["conv_id", "roles", "formatted", "turns", "texts", "loss", "lost", "rewrites"],
             )
 
     spans = "array<struct<start:long,end:long>>"
-    return _ordered(conversations).mapInArrow(rows, f"conv_id long, roles array<string>, formatted string, turns {spans}, texts {spans}, loss {spans}, rewrites boolean")
+    return _ordered(conversations).mapInArrow(rows, f"conv_id long, roles array<string>, formatted string, turns {spans}, texts {spans}, loss {spans}, lost long, rewrites boolean")
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

@@ -158,12 +158,14 @@ def plain_print(text, rarity):
     windows = [data[i : i + 64] for i in range(len(data) - 63)]
     keys = [(int(rarity[s]), i) for i, s in enumerate(fingerprint.entropy_steps(np.frombuffer(data, np.uint8)).tolist())]
     frames = [keys[i : i + 64] for i in range(max(1, len(keys) - 63))]
-    wins = Counter(min(f)[1] for f in frames)
+    wins, first = Counter(), {}
+    for i in (min(f)[1] for f in frames):
+        wins[windows[i]] += 1
+        first[windows[i]] = min(i, first.get(windows[i], i))
+    enough = min(16, len(frames), max(wins.values()))
     chain = []
-    seen = set()
-    for i in sorted(wins):
-        if wins[i] >= min(16, len(frames)) and windows[i] not in seen:
-            seen.add(windows[i])
+    for i in sorted(first.values()):
+        if wins[windows[i]] >= enough:
             h = np.array([0x9E3779B97F4A7C15], np.uint64)
             for k in range(8):
                 h = mix64(h ^ np.frombuffer(windows[i], "<u8")[k : k + 1]) + np.uint64(k)
@@ -200,6 +202,23 @@ def plain_string(chain):
     return ".".join(out)
 
 
+REPEATED = ["x" * 200, "ab" * 5_000, "a b c" * 30, "The same line, again.\n" * 300, "Other words stand here!\n" * 300, "q", "word " * 13, "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis no"]
+
+
+def test_repetitive_and_short_texts_have_features_of_their_own():
+    """Only texts without bytes have none, and unrelated texts are unlike however much they repeat themselves."""
+    rarity = np.arange(fingerprint.STEPS)
+    rng = np.random.default_rng(3)
+    prose = ["".join(rng.choice(list("abcdefghij  "), n)) for n in range(64, 200, 7)]
+    found = fingerprint.chains([t.encode() for t in [*REPEATED, *prose, ""]], rarity)
+    assert [len(c[0]) > 0 for c in found] == [True] * (len(found) - 1) + [False]
+    for i, a in enumerate(found):
+        for j, b in enumerate(found):
+            assert fingerprint.likeness(a, b) == pytest.approx(1) if i == j else fingerprint.likeness(a, b) < 0.5, (i, j)
+    texts = [*REPEATED, *prose]
+    assert [fingerprint.to_string(c) for c in found[:-1]] == [plain_string(plain_print(t, rarity)) for t in texts]
+
+
 def test_edited_texts(docs, no_docs, corpus):
     """Also null and repeated ids, which follow by the hash of their text; against a digest made window by window."""
     rarity = fingerprint.fit_rarity(docs)
@@ -570,6 +589,12 @@ def test_sparse_sites_shrink_to_the_prior(spark):
     assert 1 - p < got["tiny", "a"] < share  # one bad text doesn't condemn a site
 
 
+def test_kept_rows_with_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(k, "some words of good prose in a row. " * 5, "s", "en", k, 1) for k in range(30)], "doc_id long, text string, source string, lang string, _kept long, verdict_key int")
+    labels = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int")
+    assert quality.keep_good(docs, labels).columns == docs.columns
+
+
 # --- chats
 
 
@@ -624,6 +649,15 @@ def test_a_very_long_conversation():
     assert [out.text[a:b] for a, b in out.texts] == [t for _, t in turns]
 
 
+def test_trained_texts_without_a_span_are_counted(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "Yes"), (1, 2, "assistant", ""), (1, 3, "assistant", "NO")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    shouted = chat.format_chats(df, lambda turns: "".join(f"<{t.upper()}>" for _, t in turns)).first()
+    assert shouted.lost >= 1 and len(shouted.loss) + shouted.lost >= 2 and not shouted.rewrites
+    plain = chat.format_chats(df).first()
+    assert plain.lost == 0 and len(plain.loss) == 3
+
+
 def test_templates_that_rewrite_history():
     def dated(turns):
         return f"{len(turns)} turns\n" + "".join(f"<{r}>{t}</{r}>" for r, t in turns)
