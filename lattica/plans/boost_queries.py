@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.numeric import q
-from ..operators import boosting, fullfold, models, split
-from ..sources import panels
+from ..operators import boosting, fullfold, models, networks, split
+from ..sources import panels, tables
 from .registry import query
 from .sql import WITH, r
 
@@ -79,3 +80,30 @@ def model_out_of_fold_full(spark, sf_dir):
     recipe = fullfold.Recipe(top=1, alpha=100.0, trees=boosting.Settings(rounds=1, leaves=2, rate=0.5, least_rows=50), share=0.5)
     out = fullfold.out_of_fold(panels.ship_panel(spark, sf_dir), FOLDS, ["f0", "f1", "f2"], recipe, edges=OOF_EDGES)
     return out.select(*KEYS, "fold", *[q(F.col(c)).alias(c) for c in ("linear", "trees", "prediction")])
+
+
+_START = [(np.array([[0.5, -0.25], [-0.5, 0.75]]), np.array([0.1, 0.2])), (np.array([[0.3], [-0.4]]), np.array([0.05]))]
+
+
+def _step_sql(k: int) -> str:
+    """One step against the gradient of a network of two hidden units in SQL: p{k} (one row of weights) gives p{k + 1}."""
+    return f"""f{k} AS (SELECT x1, x2, w, y, p.*, greatest(x1 * a11 + x2 * a21 + b1, 0) AS h1, greatest(x1 * a12 + x2 * a22 + b2, 0) AS h2 FROM rows, p{k} p),
+e{k} AS (SELECT *, (h1 * v1 + h2 * v2 + c - y) * w AS e FROM f{k}),
+d{k} AS (SELECT *, CASE WHEN h1 > 0 THEN e * v1 ELSE 0 END AS d1, CASE WHEN h2 > 0 THEN e * v2 ELSE 0 END AS d2 FROM e{k}),
+p{k + 1} AS (
+  SELECT {', '.join(f"any_value({n}) - 0.5 * (sum({g}) / sum(w) + 0.01 * {0 if n in ('b1', 'b2', 'c') else 1} * any_value({n})) AS {n}" for n, g in (('a11', 'd1 * x1'), ('a21', 'd1 * x2'), ('a12', 'd2 * x1'), ('a22', 'd2 * x2'), ('b1', 'd1'), ('b2', 'd2'), ('v1', 'e * h1'), ('v2', 'e * h2'), ('c', 'e')))} FROM d{k})"""
+
+
+@query(f"""{WITH}, m AS (SELECT sum(weight * target) / sum(weight) AS mean, sqrt(sum(weight * target * target) / sum(weight) - (sum(weight * target) / sum(weight)) ** 2) AS std FROM panel),
+rows AS (SELECT time_id, asset_id, f1 / 50 AS x1, f2 / 50 AS x2, weight AS w, (target - mean) / std AS y, mean, std FROM panel, m),
+p0 AS (SELECT 0.5::DOUBLE AS a11, -0.5::DOUBLE AS a21, -0.25::DOUBLE AS a12, 0.75::DOUBLE AS a22, 0.1::DOUBLE AS b1, 0.2::DOUBLE AS b2, 0.3::DOUBLE AS v1, -0.4::DOUBLE AS v2, 0.05::DOUBLE AS c),
+{', '.join(_step_sql(k) for k in range(3))}
+SELECT time_id, asset_id, {r('(greatest(x1 * a11 + x2 * a21 + b1, 0) * v1 + greatest(x1 * a12 + x2 * a22 + b2, 0) * v2 + c) * std + mean')} AS prediction FROM rows, p3""")
+def model_network_trained(spark, sf_dir):
+    """Three steps over all rows from given weights; the network is stored, read back and applied."""
+    df = panels.ship_panel(spark, sf_dir).withColumns({"x1": F.col("f1") / 50, "x2": F.col("f2") / 50})
+    how = networks.Training(hidden=(2,), steps=3, rate=0.5, decay=0.01, optimizer="plain")
+    path = tables.scratch(spark, "network")
+    networks.save(networks.train(df, ["x1", "x2"], ["target"], "weight", how, start=_START), spark, path)
+    net = networks.load(spark, path).network()
+    return models.apply_model(df.select(*KEYS, "x1", "x2"), net.predict, ["x1", "x2"]).select(*KEYS, q(F.col("prediction")).alias("prediction"))
