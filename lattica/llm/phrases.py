@@ -23,6 +23,8 @@ LONGEST, LEAST, SHARE, TOP = 3, 10, 50, 2_000
 ROWS, BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 2, 8, 16, 29
 #: A row of the sketch travels in so many slices, 2^k, whatever its width: 2 MB of counters each at most.
 SLICES = 8
+#: Occurrences that a task gathers before it sends what they add to the sketch.
+OCCURRENCES = 1 << 23
 #: Counted phrases travel packed: a task gathers about so many rows before it sums and packs them, in one part for every so many bytes of text.
 GATHERED, BYTES_PER_PART, MOST_PARTS = 1 << 19, 16 << 20, 4_096
 #: Bytes of text that a task works on at once.
@@ -160,38 +162,47 @@ def _counters(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 def _pack(places: np.ndarray, counts: np.ndarray) -> bytes:
     """Places in a slice, in order, as the gaps between them, and their counts: low bytes, higher bytes (mostly 0) and counts (mostly 1) apart, as they compress best."""
     gaps = np.diff(places.astype(np.int64), prepend=0).astype("<u4")
-    return gaps.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() + counts.astype(np.uint8).tobytes()
+    raw = gaps.view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes() + counts.astype(np.uint8).tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(packed, np.uint8).reshape(4, -1)
+    raw = pa.decompress(packed[4:], int.from_bytes(packed[:4], "little"), codec="zstd", asbytes=True)
+    raw = np.frombuffer(raw, np.uint8).reshape(4, -1)
     return np.cumsum(raw[0].astype(np.int64) + (raw[1].astype(np.int64) << 8) + (raw[2].astype(np.int64) << 16)), raw[3]
 
 
 def sketch(texts: DataFrame, bits: int, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK) -> np.ndarray:
     """Which counters of the merged count-min sketch reach `least`: one packed bit per counter, ROWS x 2^bits.
 
-    Each block of text makes a sketch of its own, kept sparse: only the counters that it touches, in slices. Slices are
+    Blocks of text make sketches of their own, kept sparse: only the counters that they touch, in slices. Slices are
     merged by sums in the tasks that they are dealt to; no task holds a whole row. Counts stop at `least` (at 100 if that is
     more) in each part and in the sum, which leaves open nothing but how far beyond it they are, so a counter fits in a byte.
     """
     least = min(least, 100)
     inner = bits - SLICES
 
+    def sent(row: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        at, count = np.unique(np.concatenate(held), return_counts=True)
+        part = (at >> np.uint32(inner)).astype(np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(at) else np.zeros(1, np.int64)
+        count = np.minimum(count, least)
+        packed = [_pack(at[a:b] & np.uint32((1 << inner) - 1), count[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array((row << SLICES) + part[edges[:-1]] if len(at) else [], pa.int32()), pa.array(packed, pa.binary())], ["slice", "counters"])
+
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
         for own in _blocks(batches, longest, block):
             words = Words.of(*own)
             runs = words.hashes(longest)
             h = np.concatenate([runs[size - 1][words.places(size)] for size in range(1, longest + 1)])
             for row in range(ROWS):
-                at, count = np.unique(_counters(h, row, bits), return_counts=True)
-                if not len(at):
-                    continue
-                part = (at >> np.uint64(inner)).astype(np.int64)
-                edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
-                count = np.minimum(count, least)
-                packed = [_pack(at[a:b] & np.uint64((1 << inner) - 1), count[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array((row << SLICES) + part[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], ["slice", "counters"])
+                held[row].append(_counters(h, row, bits).astype(np.uint32))
+            if sum(map(len, held[0])) >= OCCURRENCES:
+                yield from (sent(row, held[row]) for row in range(ROWS))
+                held = [[] for _ in range(ROWS)]
+        if held[0]:
+            yield from (sent(row, held[row]) for row in range(ROWS))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
