@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import q
-from ..operators import arms, joins, metrics, temporal
+from ..operators import arms, design, joins, metrics, models, temporal
 from ..operators.split import Fold
 from ..sources import audit, footers, panels, tables
 from ..streaming import panel as streams
+from ..streaming import sequential
 from .registry import query
 from .sql import ASSET, PREDICTED, WITH, r
 
@@ -129,3 +130,41 @@ def stream_online_features(spark, sf_dir):
 UNION ALL SELECT 'l_quantity', count(*), count(*) - count(l_quantity), min(l_quantity)::DOUBLE, max(l_quantity)::DOUBLE FROM lineitem""")
 def scan_footer_profile(spark, sf_dir):
     return footers.footer_profile(spark, [f"{sf_dir}/lineitem.parquet"], ["l_orderkey", "l_quantity"])
+
+
+_RESUMED = """Tree=0
+num_leaves=3
+split_feature=0 2
+threshold=100.5 10.5
+decision_type=2 2
+left_child=1 -1
+right_child=-3 -2
+leaf_value=0.5 -0.25 2.0
+
+Tree=1
+num_leaves=2
+split_feature=3
+threshold=1.5
+decision_type=2
+left_child=-1
+right_child=-2
+leaf_value=1.0 -1.0
+"""
+
+
+@query(f"""{WITH}, f AS (SELECT time_id, asset_id, coalesce(lag(f0) OVER w, 0) AS lag1, coalesce(avg(f0) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) AS mean, f0 - coalesce(avg(f0) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) AS deviation, coalesce(time_id - lag(time_id) OVER w, 0) AS gap FROM panel WINDOW w AS ({ASSET}))
+SELECT time_id - 1500 AS time_id, asset_id, {r('lag1')} AS lag1, {r('mean')} AS mean, {r('deviation')} AS deviation, gap::DOUBLE AS gap,
+  CASE WHEN lag1 <= 100.5 THEN CASE WHEN deviation <= 10.5 THEN 0.5 ELSE -0.25 END ELSE 2.0 END + CASE WHEN gap <= 1.5 THEN 1.0 ELSE -1.0 END AS prediction FROM f WHERE time_id > 1200""")
+def stream_resumed_predictions(spark, sf_dir):
+    """The batch ends at time 1200 and saves its state; two runs of a stream predict the rest, several micro-batches each. Times are moved so that many are below 0."""
+    df = panels.ship_panel(spark, sf_dir).select(*KEYS, "f0").withColumn("time_id", F.col("time_id") - 1500)
+    folder = tables.scratch(spark, "resumed")
+    design.saved_state(df.filter("time_id <= -300"), ["f0"], 20).write.parquet(f"{folder}/state")
+    forest = models.Forest(models.parse_forest(_RESUMED))
+    processor = sequential.Predictor(["f0"], 20, sequential.recent_features, sequential.RECENT, forest)
+    out = None
+    for low, high in ((-300, -100), (-100, 200), (200, 700), (700, 100_000)):
+        df.filter((F.col("time_id") > low) & (F.col("time_id") <= high)).coalesce(1).write.mode("append").parquet(f"{folder}/panel")
+        if low in (-100, 700):  # the second call goes on from the first one's checkpoint
+            out = sequential.predict_files(spark, f"{folder}/panel", df.schema, f"{folder}/state", processor, folder)
+    return out.select(*KEYS, *[q(F.col(c)).alias(c) for c in ("lag1", "mean", "deviation")], "gap", "prediction")
