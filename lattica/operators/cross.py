@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, finite, positive_weight, ratio
+from . import ranks
 
 
 def by_time():
@@ -81,24 +82,28 @@ def tail_scores(df: DataFrame, column: str) -> DataFrame:
     return ranked.withColumn("robust_z", F.coalesce(z, F.lit(0.0))).withColumn("tail", F.greatest(F.abs("percentile") - 0.3, F.lit(0.0))).drop("_median", "_mad")
 
 
-def market_summary(df: DataFrame, column: str, dynamics: bool = False) -> DataFrame:
-    """Per time: mean, std, q25, q50, q75, spread (q90 - q10), positive (share above 0); with dynamics also lag, delta, abs_delta of the mean and gap in time."""
+def market_summary(df: DataFrame, column: str, dynamics: bool = False, most_gap: int | None = None) -> DataFrame:
+    """Per time: mean, std, q25, q50, q75, spread (q90 - q10), positive (share above 0); with dynamics also lag, delta, abs_delta of the mean and gap in time, cut at most_gap."""
     x = F.col(column)
     at = F.percentile(x, F.array(*[F.lit(v) for v in (0.1, 0.25, 0.5, 0.75, 0.9)]))
     out = df.groupBy("time_id").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), at.alias("_at"), F.avg((x > 0).cast("double")).alias("positive"))
     out = out.select("time_id", "mean", "std", F.col("_at")[1].alias("q25"), F.col("_at")[2].alias("q50"), F.col("_at")[3].alias("q75"), (F.col("_at")[4] - F.col("_at")[0]).alias("spread"), "positive")
     if dynamics:
-        order = Window.orderBy("time_id")  # one row per time: a table of the market, not of the panel
-        lag = F.coalesce(F.lag("mean").over(order), F.lit(0.0))
-        out = out.withColumns({"lag": lag, "delta": F.col("mean") - lag, "abs_delta": F.abs(F.col("mean") - lag), "gap": F.coalesce(F.col("time_id") - F.lag("time_id").over(order), F.lit(0))})
+        lag, gap = F.coalesce("previous_mean", F.lit(0.0)), F.coalesce(F.col("time_id") - F.col("previous_time_id"), F.lit(0))
+        made = {"lag": lag, "delta": F.col("mean") - lag, "abs_delta": F.abs(F.col("mean") - lag), "gap": gap if most_gap is None else F.least(gap, F.lit(most_gap))}
+        out = ranks.with_previous(out, "time_id", ["mean", "time_id"]).withColumns(made).drop("previous_mean", "previous_time_id")
     return out
 
 
-def asset_panel(df: DataFrame, column: str, assets: Sequence[int]) -> DataFrame:
-    """One row per time with a column and a presence flag per asset (absent: 0). Two rows of an asset at one time are an error."""
+def asset_panel(df: DataFrame, column: str, assets: Sequence[int], dynamics: bool = False) -> DataFrame:
+    """One row per time with a column and a presence flag per asset (absent: 0); with dynamics also each column's value at the time before (lag, 0 at first) and the difference (delta). Two rows of an asset at one time are an error."""
     cells = df.groupBy("time_id", "asset_id").agg(F.first(column).alias(column), F.count("*").alias("n")).withColumn(column, F.when(F.col("n") > 1, F.raise_error(F.lit("an asset occurs twice at one time")).cast("double")).otherwise(F.col(column)))
     wide = cells.groupBy("time_id").pivot("asset_id", list(assets)).agg(F.first(column))
-    return wide.select("time_id", *[F.coalesce(F.col(f"`{a}`"), F.lit(0.0)).alias(f"a{a}") for a in assets], *[F.col(f"`{a}`").isNotNull().cast("int").alias(f"has{a}") for a in assets])
+    out = wide.select("time_id", *[F.coalesce(F.col(f"`{a}`"), F.lit(0.0)).alias(f"a{a}") for a in assets], *[F.col(f"`{a}`").isNotNull().cast("int").alias(f"has{a}") for a in assets])
+    if dynamics:
+        out = ranks.with_previous(out, "time_id", [f"a{a}" for a in assets])
+        out = out.withColumns({f"lag{a}": F.coalesce(f"previous_a{a}", F.lit(0.0)) for a in assets}).withColumns({f"delta{a}": F.col(f"a{a}") - F.col(f"lag{a}") for a in assets}).drop(*[f"previous_a{a}" for a in assets])
+    return out
 
 
 def information_coefficient(df: DataFrame, a: str, b: str) -> DataFrame:

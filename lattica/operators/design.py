@@ -81,7 +81,7 @@ def with_market_state(df: DataFrame, prediction: str, out: str = "market_state")
 
 
 def atoms_from_lags(current: Column, lags: Column, low: Column, high: Column, centre: Column, scale: Column, prefix: str = "") -> dict[str, Column]:
-    """The blocks of the baseline, lags, changes and deviations from raw lags (newest first, only those there are), transformed as the current value was.
+    """The blocks of the baseline, lags, changes, deviations, z-scores, slopes and exponential means (over 20 lags at most) from raw lags (newest first, only those there are), transformed as the current value was.
 
     Lags are transformed first; a lag that isn't there is 0 then. Of std and slope the window is the length of the list at most.
     """
@@ -102,7 +102,20 @@ def atoms_from_lags(current: Column, lags: Column, low: Column, high: Column, ce
         mean = moment(n, lambda x: x)
         out[f"mean{n}"] = mean
         out[f"deviation{n}"] = current - mean
-        out[f"std{n}"] = F.sqrt(F.greatest(moment(n, lambda x: x * x) - mean * mean, F.lit(0.0)))
+        std = F.sqrt(F.greatest(moment(n, lambda x: x * x) - mean * mean, F.lit(0.0)))
+        out[f"std{n}"] = std
+        out[f"zscore{n}"] = (current - mean) / F.greatest(std, F.lit(1e-3))
+        # slope of the window's values, oldest first, against 0, 1, ...; newest first, it is that against 0, -1, ...
+        own = F.slice(past, 1, n)
+        size = F.size(own).cast("double")
+        places = F.aggregate(F.transform(own, lambda x, i: x * (-i.cast("double") - (1 - size) / 2)), F.lit(0.0), lambda a, v: a + v)
+        out[f"slope{n}"] = F.when(size >= 2, places * 12 / (size * (size * size - 1))).otherwise(0.0)
+    for span in (3, 10):
+        keep = 1 - 2 / (span + 1)
+        own = F.slice(past, 1, 20)
+        weights = F.transform(own, lambda x, i: F.pow(F.lit(keep), i))
+        top = F.aggregate(F.zip_with(own, weights, lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)
+        out[f"ema{span}"] = F.coalesce(F.try_divide(top, F.aggregate(weights, F.lit(0.0), lambda a, v: a + v)), F.lit(0.0))
     return {f"{prefix}{k}": v for k, v in out.items()}
 
 

@@ -107,6 +107,24 @@ def one_axis(rungs: Sequence[dict]) -> str:
     return changed[0]
 
 
+def ladder(rungs: DataFrame, axis: str, value: str = "gain", anchor: tuple[float, float] | None = None, tolerance: float = 1e-9, gate: float = 0.05, climb: float = 0.2) -> DataFrame:
+    """A ladder of runs that differ in one parameter: best (its rung), best_value, passes (best_value >= gate), climbing, turned.
+
+    rungs: one row per rung, few rows. climbing: the last rung's value exceeds the one before by `climb` of it, so the ladder ends too early; turned: the
+    last is below the best. anchor: a rung and the value it had before; an error if the rung is absent or differs by more than the tolerance.
+    """
+    rows = sorted((float(r[axis]), float(r[value])) for r in rungs.select(axis, value).collect())
+    if not rows or len({a for a, _ in rows}) < len(rows):
+        raise ValueError("a ladder needs rungs of distinct values")
+    if anchor is not None:
+        found = dict(rows).get(float(anchor[0]))
+        if found is None or abs(found - anchor[1]) > tolerance:
+            raise ValueError(f"the anchor rung {anchor[0]} gives {found}, not {anchor[1]}")
+    best = max(rows, key=lambda r: (r[1], -r[0]))
+    climbing = len(rows) > 1 and rows[-2][1] > 0 and rows[-1][1] / rows[-2][1] - 1 >= climb
+    return rungs.sparkSession.createDataFrame([(best[0], best[1], best[1] >= gate, climbing, rows[-1][1] < best[1])], "best double, best_value double, passes boolean, climbing boolean, turned boolean")
+
+
 def gain_to_strength(folds: DataFrame) -> DataFrame:
     """Correlation of the base's strength with the arm's gain over folds."""
     return folds.agg(F.corr("base", F.col("arm") - F.col("base")).alias("correlation"))

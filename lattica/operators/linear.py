@@ -224,6 +224,31 @@ def vertex(s0: float, s1: float, s2: float, t3: float) -> float | None:
     return float(-b / (2 * a)) if a < 0 else None
 
 
+def pick_alpha(df: DataFrame, x: Sequence[str], target: str, weight: str | None, alphas: Sequence[float], share: float = 0.8, relative: bool = False) -> tuple[float, dict[float, float], Linear]:
+    """A penalty by an inner split: fitted on the first `share` of the distinct times, scored (1 - error / energy) on the rest, then fitted anew on all rows.
+
+    Returns the best penalty (the larger of equals), the scores of all, and the model. Both parts come from one pass of Gram matrices. Relative penalties are multiples of the mean diagonal.
+    """
+    from . import ranks
+
+    times = ranks.numbered(df.select("time_id").distinct(), ["time_id"], "_place")
+    cut = int(times.count() * share)
+    first = times.filter(F.col("_place") < cut).agg(F.max("time_id")).first()[0]
+    if first is None or cut == times.count():
+        raise ValueError("too few times for an inner split")
+    parts = grams(df.withColumn("_part", (F.col("time_id") > first).cast("int")), x, [target], weight, by="_part")
+    path = alpha_path(parts["0"], alphas, relative)
+    scores = {a: residual_share(parts["1"], m)[1] for a, m in path.items()}
+    best = max(alphas, key=lambda a: (scores[a], a))
+    return best, scores, alpha_path(parts["0"] + parts["1"], [best], relative)[best]
+
+
+def smoothing_peak(a: float, a_lag: float, b: float, r: float, d: float, rho: float) -> float | None:
+    """Peak of p + rho p_lag at its best scale, from sums a = w y p, a_lag = w y p_lag, b = w p^2 (of both), r = w p p_lag, d = w y^2; None without energy."""
+    energy = b * (1 + rho * rho) + 2 * rho * r
+    return (a + rho * a_lag) ** 2 / (d * energy) if energy > 0 and d > 0 else None
+
+
 def smoothing(psi: float, r: float) -> float:
     """Best share of the previous value: (psi - r) / (1 - psi r)."""
     return (psi - r) / (1 - psi * r)

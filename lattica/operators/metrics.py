@@ -228,6 +228,22 @@ def label_profile(profile: DataFrame, base: str, k: int) -> DataFrame:
     return places.withColumns({f"{c}_top": F.col(f"{c}_rank") <= k for c in ("base", "consistency")})
 
 
+def same_selection(profile: DataFrame, chosen: DataFrame, k: int, column: str = "base_rank") -> DataFrame:
+    """profile as it is; an error unless its best k features by a rank are exactly those of another selection (a column feature)."""
+    mine = profile.filter(F.col(column) <= k).select("feature", F.lit(True).alias("_mine"))
+    odd = mine.join(chosen.select("feature", F.lit(True).alias("_theirs")), "feature", "full").filter("_mine is null or _theirs is null")
+    names = [r["feature"] for r in odd.select("feature").orderBy("feature").limit(20).collect()]
+    if names:
+        raise ValueError(f"the selections differ in {names}")
+    return profile
+
+
+def churn(profile: DataFrame, k: int) -> DataFrame:
+    """Features that only one of the two selections of label_profile() takes: feature, side ("in" or "out" of the one by consistency), rank by the base label, and how far that is from k."""
+    moved = profile.filter((F.col("base_rank") <= k) != (F.col("consistency_rank") <= k))
+    return moved.select("feature", F.when(F.col("consistency_rank") <= k, "in").otherwise("out").alias("side"), "base_rank", (F.col("base_rank") - k).alias("from_cut"))
+
+
 def label_correlations(df: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """Correlation of each feature with each label, from one Gram matrix: feature, label, correlation (0 without variance). Missing values count as 0."""
     from . import linear

@@ -132,3 +132,10 @@ def prefix_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], place
     made = {place: F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("_at")) - 1}
     made |= {name: F.col(f"_o{k}") + F.coalesce(F.sum(c).over(local), F.lit(0)) for k, (name, c) in enumerate(sums.items())}
     return placed.withColumns(made).select(*df.columns, *made)
+
+
+def with_previous(df: DataFrame, order: str, columns: Sequence[str], prefix: str = "previous_") -> DataFrame:
+    """df with columns of the row before it in the order of a column of distinct values, NULL for the first. Rows meet by their place, so no task sees them all."""
+    placed = numbered(df, [order], "_place")
+    before = placed.select((F.col("_place") + 1).alias("_place"), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+    return placed.join(before, "_place", "left").drop("_place")

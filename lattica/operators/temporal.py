@@ -186,11 +186,24 @@ def partner_lag(df: DataFrame, column: str, partners: dict[int, int], k: int = 1
     return placed.withColumn("partner", F.try_element_at(pairs, "asset_id")).join(other, ["partner", "position"], "left").withColumn("partner_lag", _or_zero(F.col("partner_lag"))).drop("position", "partner")
 
 
-def autocorrelation(df: DataFrame, column: str, lags: Sequence[int]) -> DataFrame:
-    """Correlation of an asset's values exactly k steps apart, pooled over assets: lag, pairs, correlation."""
-    pairs = df.select("asset_id", "time_id", F.col(column).alias("y")).withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("then", F.col("time_id") - F.col("lag"))
-    past = df.select("asset_id", F.col("time_id").alias("then"), F.col(column).alias("x"))
-    return pairs.join(past, ["asset_id", "then"]).groupBy("lag").agg(F.count("*").alias("pairs"), F.corr("x", "y").alias("correlation"))
+def step_pairs(df: DataFrame, columns: Sequence[str], steps: Sequence[int], within: str | None = None) -> DataFrame:
+    """An asset's rows exactly k steps of time apart, for each k (below 0: ahead): lag, asset_id, time_id, columns, and then_ columns of the other row. within: both rows have to agree in this column (a fold, say; null agrees with nothing)."""
+    keys = ["asset_id", *([within] if within else [])]
+    own = df.select(*keys, "time_id", *columns).withColumn("lag", F.explode(F.array(*map(F.lit, steps)))).withColumn("_then", F.col("time_id") - F.col("lag"))
+    past = df.select(*keys, F.col("time_id").alias("_then"), *[F.col(c).alias(f"then_{c}") for c in columns])
+    return own.join(past, [*keys, "_then"]).drop("_then")
+
+
+def autocorrelation(df: DataFrame, column: str, lags: Sequence[int], by: str | None = None, weight: str | None = None) -> DataFrame:
+    """Correlation of an asset's values exactly k steps apart: lag, pairs, correlation; pooled over assets, or one row for each value of `by` (asset_id, or a partition) that both rows share.
+
+    With a weight, the correlation is uncentred: sum w x y / sqrt(sum w x^2 sum w y^2), by the later row's weight.
+    """
+    pairs = step_pairs(df, [column, *([weight] if weight else [])], lags, None if by in (None, "asset_id") else by)
+    x, y = F.col(f"then_{column}"), F.col(column)
+    w = F.greatest(F.col(weight), F.lit(0.0)) if weight else None
+    correlation = F.corr(x, y) if w is None else F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x) * F.sum(w * y * y)))
+    return pairs.groupBy("lag", *([by] if by else [])).agg(F.count("*").alias("pairs"), correlation.alias("correlation"))
 
 
 def moving_average_window(profile: DataFrame, widths: Sequence[int]) -> DataFrame:

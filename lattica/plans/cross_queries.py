@@ -53,7 +53,7 @@ def sample_residues(spark, sf_dir):
 
 @query(f"{WITH} SELECT time_id, asset_id, f0 FROM panel WHERE time_id BETWEEN 300 AND 420")
 def scan_time_range(spark, sf_dir):
-    return _ship(spark, sf_dir).filter(F.col("time_id").between(300, 420)).select(*KEYS, "f0")
+    return panels.ship_panel(spark, sf_dir, 300, 420).select(*KEYS, "f0")
 
 
 @query(f"{WITH} SELECT min(time_id) AS low, max(time_id) AS high FROM panel")

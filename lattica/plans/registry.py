@@ -30,4 +30,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import arm_queries, boost_queries, cross_queries, design_queries, model_queries, scale_queries, score_queries  # noqa: E402, F401  (they register their queries)
+from . import arm_queries, boost_queries, cross_queries, design_queries, model_queries, rest_queries, scale_queries, score_queries  # noqa: E402, F401  (they register their queries)

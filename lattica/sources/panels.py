@@ -14,9 +14,14 @@ def percent(c: str):
     return F.round(F.col(c) * 100).cast("long")
 
 
-def ship_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of shipment x 15 supplier groups: weight, target, f0, f1, f2 as doubles."""
+def ship_panel(spark: SparkSession, sf_dir: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    """Days of shipment x 15 supplier groups: weight, target, f0, f1, f2 as doubles. A closed range of time_id is asked of l_shipdate itself, so that the scan skips row groups by it."""
     lines = table(spark, sf_dir, "lineitem")
+    day, kind = F.lit("1995-01-01").cast("date"), lines.schema["l_shipdate"].dataType
+    if low is not None:
+        lines = lines.filter(F.col("l_shipdate") >= F.date_add(day, low).cast(kind))
+    if high is not None:
+        lines = lines.filter(F.col("l_shipdate") < F.date_add(day, high + 1).cast(kind))
     return (
         lines.groupBy(F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("long").alias("time_id"), F.pmod("l_suppkey", F.lit(15)).cast("long").alias("asset_id"))
         .agg(

@@ -84,19 +84,44 @@ def combine(base: DataFrame, backfill: DataFrame, role: str, cutoff: int | None
     raise ValueError("role must be original, extended, or decision with a cutoff")
 
 
+def load_sample(spark: SparkSession, paths: Sequence[str], features: Sequence[str], modulo: int, sampling: str = "periodic", period: int = 10) -> DataFrame:
+    """Keys, target, weight and features of sampled times: periodic (time divisible by modulo) or phase (each phase equally often). Only these columns are read."""
+    from ..operators.split import sample_periodic, sample_phase_balanced
+
+    if sampling not in ("periodic", "phase"):
+        raise ValueError("sampling must be periodic or phase")
+    df = scan(spark, paths).select("time_id", "asset_id", F.col("target").cast("double").alias("target"), F.col("weight").cast("double").alias("weight"), *features)
+    return sample_periodic(df, modulo) if sampling == "periodic" else sample_phase_balanced(df, modulo, period)
+
+
 def cached_sample(df: DataFrame, path: str, identity: dict) -> DataFrame:
-    """df, written once under path with what it was made from; a cache of another identity is an error."""
+    """df, written once under path with what it was made from; a cache of another identity is an error.
+
+    Rows and identity are written in a folder beside it, which takes its name by one rename at the end: what is under path is whole, whenever
+    a writer was stopped. Of two writers at once, the first to rename counts.
+    """
     spark = df.sparkSession
     wanted = json.dumps(identity, sort_keys=True)
-    found = _read_text(spark, f"{path}/identity")
-    if found is None:
-        df.write.mode("errorifexists").parquet(f"{path}/rows")
-        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.text(f"{path}/identity")
-    elif found.strip() != wanted:
+    if _read_text(spark, f"{path}/identity") is None:
+        part = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+        df.write.parquet(f"{part}/rows")
+        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.text(f"{part}/identity")
+        _rename(spark, part, path)
+    if (_read_text(spark, f"{path}/identity") or "").strip() != wanted:
         raise ValueError("the cache was made from something else")
     return spark.read.parquet(f"{path}/rows")
 
 
+def _rename(spark: SparkSession, part: str, path: str) -> None:
+    """part becomes path, unless that is there by now; then part goes."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (part, path.rstrip("/")))
+    files = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(new) or not files.rename(old, new):
+        files.delete(old, True)
+        if not files.exists(new):
+            raise OSError(f"{path} can't be written")
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=StructType([StructField("row_id", LongType()), StructField("target", DoubleType())]))
 
@@ -107,3 +132,12 @@ def write_predictions(df: DataFrame, path: str, decimals: int = 10) -> None:
 
 def write_report(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
+
+
+def write_markdown(df: DataFrame, path: str, title: str, overwrite: bool = False) -> None:
+    """A small table of results as a Markdown report, one text file; an existing path is an error unless overwrite."""
+    rows = df.collect()
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(map(cell, df.columns)) + " |", "|" + " - |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
+    spark = df.sparkSession
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
