@@ -9,7 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
 from .trigrams import trigram_query
 
 
@@ -48,49 +47,57 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-def postings(keyed: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The inverted index for the trigrams of the rules: one row (trigram, _id, _sum) per trigram and distinct text that holds it.
+#: Bits of a bitmap that a long value holds.
+WORD_BITS = 60
 
-    One pass of a regular expression that looks ahead at every place cuts the trigrams of a text. Trigrams of rules that
-    ignore case are cut from the text in lower case, under "lower:". Other trigrams take no part in any query, so they
-    are not indexed.
-    """
-    def under(of: str) -> Callable[[Column], Column]:
-        return lambda t: F.concat(F.lit(of), t)
 
-    held = []
-    for of, column in (("lower:", F.lower("text")), ("exact:", F.col("text"))):
-        wanted = sorted({t for r in rules if r.ignore_case == (of == "lower:") for s in trigram_query(r.pattern, r.ignore_case).any for t in s})
-        if wanted:
-            # grouped by their first character, which most places fail at once
-            heads = "|".join(f"{_quoted(c)}(?:{'|'.join(_quoted(t[1:]) for t in wanted if t[0] == c)})" for c in sorted({t[0] for t in wanted}))
-            held.append(F.transform(F.array_distinct(F.regexp_extract_all(column, F.lit(f"(?=({heads}))"), F.lit(1))), under(of)))
-    return keyed.select("_id", "_sum", F.explode(F.concat(*held) if held else F.array().cast("array<string>")).alias("trigram"))
+def _numbers(rules: Sequence[Rule]) -> dict[str, int]:
+    """The trigrams that some query names, numbered: under "lower:" those of rules that ignore case, which are looked for in the text in lower case, under "exact:" the others."""
+    return {t: k for k, t in enumerate(sorted({("lower:" if r.ignore_case else "exact:") + t for r in rules for s in trigram_query(r.pattern, r.ignore_case).any for t in s}))}
 
 
-def _quoted(text: str) -> str:
-    return "".join(c if c.isalnum() else f"\\x{ord(c):02x}" if ord(c) < 256 else c for c in text)
+def _holds(trigram: str, text: Column) -> Column:
+    return F.contains(F.lower(text) if trigram.startswith("lower:") else text, F.lit(trigram[6:]))
 
 
-def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Distinct texts (_id, _sum) with an array `rules` of the indexed rules whose Boolean query the postings satisfy."""
-    queries = {r.kind: trigram_query(r.pattern, r.ignore_case) for r in rules}
-    number = {t: k for k, t in enumerate(sorted({("lower:" if r.ignore_case else "exact:") + t for r in rules for s in queries[r.kind].any for t in s}))}
-    # A text's postings meet as bits of long values; their union is a partial aggregation in each task.
-    words = []
-    for w in range(-(-len(number) // 60)):
-        bits = F.create_map(*[x for t, k in number.items() if k // 60 == w for x in (F.lit(t), F.lit(1 << k % 60).cast("long"))])
-        words.append(F.bit_or(F.coalesce(F.try_element_at(bits, "trigram"), F.lit(0).cast("long"))).alias(f"w{w}"))
-    merged = index.groupBy("_id", "_sum").agg(*words)
+def postings(keyed: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The inverted index for the trigrams of the rules as a table: one row (trigram, _id, _sum) per trigram and text that holds it. For indexes that are kept; trigrams that no query names aren't indexed."""
+    held = [F.when(_holds(t, F.col("text")), F.lit(t)) for t in _numbers(rules)]
+    return keyed.select("_id", "_sum", F.explode(F.array_compact(F.array(*held)) if held else F.array().cast("array<string>")).alias("trigram"))
+
+
+def bitmaps(text: Column, rules: Sequence[Rule] = RULES) -> list[Column]:
+    """The same index as bits of a text's own row: bit k % WORD_BITS of value k // WORD_BITS says whether it is in the postings of trigram k."""
+    words: dict[int, Column] = {}
+    for t, k in _numbers(rules).items():
+        bit = F.when(_holds(t, text), F.lit(1 << k % WORD_BITS).cast("long")).otherwise(F.lit(0).cast("long"))
+        words[k // WORD_BITS] = words[k // WORD_BITS].bitwiseOR(bit) if k // WORD_BITS in words else bit
+    return [words[w] for w in sorted(words)]
 
-    def all_of(rule: Rule, trigrams: frozenset[str]) -> Column:
+
+def meets(rule: Rule, rules: Sequence[Rule], words: Sequence[Column]) -> Column:
+    """Whether the bitmaps satisfy a rule's Boolean query: intersections of postings are conjunctions of bits, alternatives are disjunctions."""
+    number, query = _numbers(rules), trigram_query(rule.pattern, rule.ignore_case)
+
+    def all_of(trigrams: frozenset[str]) -> Column:
         masks: dict[int, int] = {}
         for t in trigrams:
             k = number[("lower:" if rule.ignore_case else "exact:") + t]
-            masks[k // 60] = masks.get(k // 60, 0) | 1 << k % 60
-        return reduce(Column.__and__, [F.col(f"w{w}").bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long") for w, m in sorted(masks.items())])
+            masks[k // WORD_BITS] = masks.get(k // WORD_BITS, 0) | 1 << k % WORD_BITS
+        return reduce(Column.__and__, [words[w].bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long") for w, m in sorted(masks.items())])
+
+    return F.lit(True) if query.matches_all else reduce(Column.__or__, [all_of(s) for s in sorted(query.any, key=sorted)])
+
 
-    met = [F.when(reduce(Column.__or__, [all_of(r, s) for s in sorted(queries[r.kind].any, key=sorted)]), F.lit(r.kind)) for r in rules if not queries[r.kind].matches_all]
+def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Texts (_id, _sum) with an array `rules` of the indexed rules whose Boolean query a table of postings satisfies. A text's postings meet as bits; their union is a partial aggregation in each task."""
+    number = _numbers(rules)
+    words = []
+    for w in range(-(-len(number) // WORD_BITS)):
+        bits = F.create_map(*[x for t, k in number.items() if k // WORD_BITS == w for x in (F.lit(t), F.lit(1 << k % WORD_BITS).cast("long"))])
+        words.append(F.bit_or(F.coalesce(F.try_element_at(bits, "trigram"), F.lit(0).cast("long"))).alias(f"w{w}"))
+    merged = index.groupBy("_id", "_sum").agg(*words)
+    met = [F.when(meets(r, rules, [F.col(f"w{w}") for w in range(len(words))]), F.lit(r.kind)) for r in rules if not trigram_query(r.pattern, r.ignore_case).matches_all]
     return merged.select("_id", "_sum", F.array_compact(F.array(*met)).alias("rules")).filter(F.size("rules") > 0)
 
 
@@ -115,24 +122,17 @@ def _spans(rule: Rule, number: int, text: Column) -> Column:
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Spans of every rule in every whole text: doc_id, text, lang, source, spans (array of start, kind as number of the rule, end).
 
-    Documents are found again by doc_id and a hash of the text, so rows that repeat keep their own results; null texts
-    have no spans; spans are in code points, ends exclusive, in order of start, then of the rules. Rules whose pattern
-    has no mandatory trigram read every text. Other columns of docs don't take part.
+    A rule's pattern is tried only on the texts that satisfy its trigram query by their bitmaps; rules whose pattern has
+    no mandatory trigram read every text. Each row has its own results, in one pass without an exchange. Null texts have no
+    spans; spans are in code points, ends exclusive, in order of start, then of the rules. Other columns of docs don't take part.
     """
     kept = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
-    keyed = docs.select(*kept, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_sum"))
-    index = materialize(postings(keyed.filter("text is not null"), rules), "secret-postings")
-    found = candidates(index, rules)
-    joined = keyed.join(found, ["_id", "_sum"], "left")
     text = F.coalesce(F.col("text"), F.lit(""))
+    maps = bitmaps(text, rules)
+    indexed = docs.select(*kept, *[m.alias(f"_w{w}") for w, m in enumerate(maps)])
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    per_rule = []
-    for k, rule in enumerate(rules):
-        wanted = text.rlike(rule.java)
-        if not trigram_query(rule.pattern, rule.ignore_case).matches_all:
-            wanted = F.coalesce(F.array_contains("rules", rule.kind), F.lit(False)) & wanted
-        per_rule.append(F.when(wanted, _spans(rule, k, text)).otherwise(none))
-    return joined.select(*kept, F.array_sort(F.flatten(F.array(*per_rule))).alias("spans"))
+    found = [F.when(meets(r, rules, [F.col(f"_w{w}") for w in range(len(maps))]) & text.rlike(r.java), _spans(r, k, text)).otherwise(none) for k, r in enumerate(rules)]
+    return indexed.select(*kept, F.array_sort(F.flatten(F.array(*found))).alias("spans"))
 
 
 def span_list(spans: Column | str, rules: Sequence[Rule] = RULES) -> Column:

@@ -510,6 +510,18 @@ def test_running_sums(spark):
     assert got == [[], [5], np.cumsum(range(1, 20)).tolist()]
 
 
+def test_bitmaps_and_postings_pick_the_same_candidates(docs):
+    """Intersections of a table of postings, and of the bits of each row; no rule matches outside of its candidates."""
+    keyed = docs.filter("text is not null").select("text", F.md5("text").alias("_id"), F.lit(0).alias("_sum"))
+    by_table = {r._id: set(r.rules) for r in secrets.candidates(secrets.postings(keyed)).collect()}
+    maps = [m.alias(f"w{k}") for k, m in enumerate(secrets.bitmaps(F.col("text")))]
+    met = [secrets.meets(r, secrets.RULES, [F.col(f"w{k}") for k in range(len(maps))]).alias(r.kind) for r in secrets.RULES]
+    for row in keyed.select("_id", "text", *maps).select("_id", "text", *met).collect():
+        by_bits = {r.kind for r in secrets.RULES if row[r.kind] and r.kind != "hex"}
+        assert by_bits == by_table.get(row._id, set()) and row["hex"]
+        assert {r.kind for r in secrets.RULES if re.search(r.java, row.text)} <= by_bits | {"hex"}
+
+
 def test_trigram_queries():
     def sets(p, i=False):
         return {frozenset(s) for s in trigram_query(p, i).any}
