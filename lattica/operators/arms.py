@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import zero_if_missing
-from . import linear, split
+from . import boosting, linear, split
 from .infer import _draw
 
 
@@ -29,6 +30,72 @@ class Arm:
         return self.features, self.alpha, self.weight, self.target
 
 
+@dataclass(frozen=True)
+class BoostedArm:
+    """A boosted forest by what it is fitted on: its features, how its trees grow (with its objective), weight, label, and seeds whose mean it is."""
+
+    name: str
+    features: tuple[str, ...]
+    settings: boosting.Settings = field(default_factory=boosting.Settings)
+    weight: str | None = "weight"
+    target: str = "target"
+    seeds: tuple[int, ...] = (0,)
+
+    @property
+    def shared(self) -> tuple:
+        """Arms that agree in this grow in the same passes."""
+        return self.settings, self.weight, self.target
+
+    @property
+    def recipe(self) -> tuple:
+        return *self.shared, self.features, self.seeds
+
+
+def fit_boosted(df: DataFrame, folds: Sequence[split.Fold], arms: Sequence[BoostedArm], categorical: Sequence[str] = (), edges: dict[str, list[float]] | None = None) -> dict[tuple[int, tuple], tuple[list[str], object]]:
+    """Features and forest by (fold, recipe). All folds, seeds and arms of one label, weight and objective grow in the same passes; equal recipes once."""
+    out: dict[tuple[int, tuple], tuple[list[str], object]] = {}
+    for shared in dict.fromkeys(a.shared for a in arms):
+        own = [a for a in arms if a.shared == shared]
+        settings, weight, target = shared
+        names = list(dict.fromkeys(f for a in own for f in a.features))
+        jobs = [boosting.Job((f.fold, recipe, seed), seed, (f.train_low, f.train_high), (f.valid_low, f.valid_high), tuple(sorted(names.index(x) for x in recipe[-2]))) for recipe in dict.fromkeys(a.recipe for a in own) for f in folds for seed in recipe[-1]]
+        used = None
+        for f in folds:
+            for low, high in ((f.train_low, f.train_high), *([(f.valid_low, f.valid_high)] if settings.patience is not None else [])):
+                inside = F.col("time_id").between(low, high)
+                used = inside if used is None else used | inside
+        kinds = [c for c in categorical if c in names]
+        forests = boosting.boost(df.filter(used), names, jobs, settings, target, weight, kinds, {c: e for c, e in (edges or {}).items() if c in names})
+        for recipe in dict.fromkeys(a.recipe for a in own):
+            for f in folds:
+                out[f.fold, recipe] = names, boosting.seed_forests({k: v for k, v in forests.items() if k[:2] == (f.fold, recipe)})
+    return out
+
+
+def predict_boosted(rows: DataFrame, fitted: dict[tuple[int, tuple], tuple[list[str], object]], arms: Sequence[BoostedArm]) -> DataFrame:
+    """rows (with their fold) and one column per arm, named by it. The forests are broadcast, and rows are read once for all arms."""
+    names = list(dict.fromkeys(f for a in arms for f in fitted[next(k for k in fitted if k[1] == a.recipe)][0]))
+    kept = rows.columns
+    shared = rows.sparkSession.sparkContext.broadcast({(fold, a.name): fitted[fold, a.recipe] for fold in {k for k, _ in fitted} for a in arms})
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {c: np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float), nan=0.0, posinf=0.0, neginf=0.0) for c in names}
+            fold = batch.column("fold").to_numpy()
+            made = []
+            for a in arms:
+                out = np.zeros(len(fold))
+                for f in np.unique(fold).tolist():
+                    features, forest = shared.value[f, a.name]
+                    own = fold == f
+                    out[own] = forest(np.stack([x[c][own] for c in features], axis=1))
+                made.append(pa.array(out))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *(a.name for a in arms)])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"`{a.name}` double" for a in arms)])
+    return rows.mapInArrow(predicted, schema)
+
+
 def fit_arms(train: DataFrame, arms: Sequence[Arm]) -> dict[tuple[int, tuple], linear.Linear]:
     """Ridges by (fold, recipe). train: rows with their fold; one pass per weight gives the matrices of all folds and arms."""
     fitted: dict[tuple[int, tuple], linear.Linear] = {}
@@ -66,22 +133,30 @@ def _fitted_on_folds(df: DataFrame, folds: Sequence[split.Fold], arms: Sequence[
 
 
 def out_of_fold(df: DataFrame, folds: Sequence[split.Fold], arm: Arm) -> DataFrame:
-    """All rows of df with fold and prediction; rows that no fold validates have fold -1 and no prediction. Folds must not validate a time twice."""
+    """All rows of df with fold and prediction; rows that no fold validates have fold -1 and no prediction. Folds that validate a time twice are an error."""
+    split.check_folds(folds)
     _, fitted = _fitted_on_folds(df, folds, [arm])
     ranges = F.broadcast(split.fold_table(df, folds).select("fold", "valid_low", "valid_high"))
     placed = df.join(ranges, F.col("time_id").between(F.col("valid_low"), F.col("valid_high")), "left").drop("valid_low", "valid_high")
     return predict_arms(placed.withColumn("fold", F.coalesce("fold", F.lit(-1))), fitted, [arm]).withColumnRenamed(arm.name, "prediction")
 
 
-def run_arms(df: DataFrame, folds: Sequence[split.Fold], arms: Sequence[Arm], target: str = "target", weight: str = "weight") -> DataFrame:
+def run_arms(df: DataFrame, folds: Sequence[split.Fold], arms: Sequence[Arm | BoostedArm], target: str = "target", weight: str = "weight", categorical: Sequence[str] = (), edges: dict[str, list[float]] | None = None) -> DataFrame:
     """What each arm does on each fold's validation: fold, arm, n, d, v, g (the sums that scores are made of).
 
-    Each distinct recipe is fitted once a fold; all arms are scored on the same rows, in one pass.
+    Arms are ridges or boosted forests, each with features, label, weight and objective of its own. Each distinct recipe is
+    fitted once a fold; all arms are scored on the same rows, target and weight, in one pass.
     """
-    valid, fitted = _fitted_on_folds(df, folds, arms)
+    if len({a.name for a in arms}) < len(arms):
+        raise ValueError("two arms have one name")
+    lines, forests = [a for a in arms if isinstance(a, Arm)], [a for a in arms if isinstance(a, BoostedArm)]
+    valid, fitted = _fitted_on_folds(df, folds, lines) if lines else (split.assign_folds(df, folds).filter("role = 'valid'").drop("role"), {})
+    grown = fit_boosted(df, folds, forests, categorical, edges) if forests else {}
     w, y = F.col(weight), F.col(target)
     sums = [F.struct(F.lit(a.name).alias("arm"), F.sum(w * y * F.col(f"`{a.name}`")).alias("v"), F.sum(w * F.col(f"`{a.name}`") ** 2).alias("g")) for a in arms]
-    per = predict_arms(valid, fitted, arms).groupBy("fold").agg(F.count("*").alias("n"), F.sum(w * y * y).alias("d"), F.array(*sums).alias("x"))
+    made = predict_arms(valid, fitted, lines) if lines else valid
+    made = predict_boosted(made, grown, forests) if forests else made
+    per = made.groupBy("fold").agg(F.count("*").alias("n"), F.sum(w * y * y).alias("d"), F.array(*sums).alias("x"))
     return per.select("fold", "n", "d", F.explode("x").alias("x")).select("fold", "x.arm", "n", "d", "x.v", "x.g")
 
 

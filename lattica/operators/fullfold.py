@@ -38,12 +38,6 @@ class FoldModel:
     forest: object = None
 
 
-def _checked(folds: Sequence[split.Fold]) -> None:
-    spans = sorted((f.valid_low, f.valid_high) for f in folds)
-    if len({f.fold for f in folds}) < len(folds) or any(a[1] >= b[0] for a, b in zip(spans, spans[1:])):
-        raise ValueError("two folds have one number, or validate one time")
-
-
 def fit_folds(df: DataFrame, folds: Sequence[split.Fold], features: Sequence[str], recipe: Recipe, target: str = "target", weight: str = "weight", edges: dict[str, list[float]] | None = None) -> dict[int, FoldModel]:
     """The models of all folds.
 
@@ -51,7 +45,7 @@ def fit_folds(df: DataFrame, folds: Sequence[split.Fold], features: Sequence[str
     by fold, so the number of passes over df doesn't depend on how many folds there are. Trees split raw values (a clip and a
     scale don't change their order) at edges fitted on rows that some fold trains on. A fold without training rows is an error.
     """
-    _checked(folds)
+    split.check_folds(folds)
     names = list(features)
     train = split.assign_folds(df, folds).filter("role = 'train'")
     at = [recipe.tails, 0.25, 0.5, 0.75, 1 - recipe.tails]
@@ -107,7 +101,7 @@ def transformed(rows: DataFrame, features: Sequence[str], stats: dict[int, list[
 
 def predict_folds(df: DataFrame, folds: Sequence[split.Fold], models: dict[int, FoldModel], features: Sequence[str], recipe: Recipe) -> DataFrame:
     """All rows of df with fold, linear, trees and prediction; rows that no fold validates have fold -1 and NULLs. One pass; the models are broadcast."""
-    _checked(folds)
+    split.check_folds(folds)
     names = list(features)
     ranges = F.broadcast(split.fold_table(df, folds).select("fold", "valid_low", "valid_high"))
     placed = df.join(ranges, F.col("time_id").between(F.col("valid_low"), F.col("valid_high")), "left").drop("valid_low", "valid_high").withColumn("fold", F.coalesce("fold", F.lit(-1)))

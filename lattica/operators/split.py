@@ -99,6 +99,22 @@ def rolling_folds(times: Sequence[int], n_folds: int, train: int, embargo: int =
     return folds
 
 
+def check_folds(folds: Sequence[Fold]) -> None:
+    """Raise if two folds have one number, or validate one time."""
+    spans = sorted((f.valid_low, f.valid_high) for f in folds)
+    if len({f.fold for f in folds}) < len(folds) or any(a[1] >= b[0] for a, b in zip(spans, spans[1:])):
+        raise ValueError("two folds have one number, or validate one time")
+
+
+def rolling_folds_of(df: DataFrame, n_folds: int, train: int, embargo: int = 0, offset: int = 0, reserved: int = 0) -> list[Fold]:
+    """rolling_folds() over the distinct times of a table. Times are numbered by ranges; the driver gets the four ends of each fold only."""
+    times = ranks.numbered(df.select("time_id").filter("time_id is not null").distinct(), ["time_id"])
+    places = rolling_folds(range(times.count()), n_folds, train, embargo, offset, reserved)
+    ends = sorted({p for f in places for p in (f.train_low, f.train_high, f.valid_low, f.valid_high)})
+    at = {r["place"]: r["time_id"] for r in times.filter(F.col("place").isin(ends)).collect()}
+    return [Fold(f.fold, at[f.train_low], at[f.train_high], at[f.valid_low], at[f.valid_high]) for f in places]
+
+
 def cut_training(fold: Fold, front: int | None = None, most: int | None = None) -> Fold:
     """A fold whose training begins no earlier than `front`, or spans at most `most` steps of time before its end."""
     low = max(x for x in (fold.train_low, front, None if most is None else fold.train_high - most + 1) if x is not None)

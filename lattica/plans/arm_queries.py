@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import q
-from ..operators import arms, design, joins, metrics, models, temporal
+from ..operators import arms, design, infer, joins, metrics, models, temporal
 from ..operators.split import Fold
 from ..sources import audit, footers, panels, tables
 from ..streaming import panel as streams
@@ -80,6 +80,27 @@ def infer_stratified_bootstrap(spark, sf_dir):
     return _q(arms.stratified_bootstrap(chunks, 200, 7), "low", "high", "positive")
 
 
+_INTERVAL = f"""c AS (SELECT (time_id // 400)::BIGINT AS fold, (time_id // 50)::BIGINT AS chunk, sum(weight * target * (prediction - f1)) AS gain, sum(weight * target * target) AS d FROM predicted GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY chunk) - 1 AS spot, count(*) OVER (PARTITION BY fold) AS n FROM c),
+draws AS (SELECT fold, replicate, ('0x' || substr(md5('7:' || replicate || ':' || fold || ':' || spot), 1, 8))::BIGINT % n AS spot FROM p, (SELECT unnest(range(200)) AS replicate)),
+s AS (SELECT replicate, sum(gain) / sum(d) AS gain FROM draws JOIN p USING (fold, spot) GROUP BY replicate), i AS (SELECT quantile_cont(gain, 0.025) AS low, quantile_cont(gain, 0.975) AS high FROM s)"""
+
+
+@query(f"""{WITH}, {_BLOCKS.replace(' WHERE time_id >= 0', '')}, {_INTERVAL}, rel AS (SELECT *, (va * va / (ga * d)) / (vb * vb / (gb * d)) - 1 AS relative FROM blocks),
+o AS (SELECT avg(relative) AS block_mean, count(*) FILTER (relative > 0) AS positive, (sum(relative) - max(relative)) / (count(*) - 1) AS without_best, sum(va) / sum(vb) - 1 AS delta_a, sum(ga) / sum(gb) - 1 AS delta_b FROM rel),
+t AS (SELECT block_mean > 0 AND positive >= 3 AND without_best > 0 AND block_mean >= 0.005 AND 2 * delta_a > delta_b AS others, low > 0 AS interval_positive, block_mean >= abs(high - low) / 2 AS above_floor, low, high FROM o, i)
+SELECT {r('low')} AS low, {r('high')} AS high, interval_positive, above_floor, CASE WHEN others AND interval_positive AND above_floor THEN 'PASS' ELSE 'FAIL' END AS verdict FROM t""")
+def infer_gates_by_bootstrap(spark, sf_dir):
+    """The seven gates, with the interval and the floor of a bootstrap within folds, over all times."""
+    w, y = F.col("weight"), F.col("target")
+    chunks = _predicted(spark, sf_dir).groupBy(F.floor(F.col("time_id") / 400).alias("fold"), F.floor(F.col("time_id") / 50).alias("chunk")).agg(F.sum(w * y * (F.col("prediction") - F.col("f1"))).alias("gain"), F.sum(w * y * y).alias("d"))
+    interval = arms.stratified_bootstrap(chunks, 200, 7).first()
+    low, high = interval["low"], interval["high"]
+    pairs = _predicted(spark, sf_dir).groupBy(F.floor(F.col("time_id") / 400).alias("block")).agg(F.sum(w * y * y).alias("d"), *[x for name, p in (("base", "f1"), ("arm", "prediction")) for x in (F.sum(w * y * F.col(p)).alias(f"v_{name}"), F.sum(w * F.col(p) ** 2).alias(f"g_{name}"), F.count("*").alias(f"n_{name}"))])
+    gates = arms.seven_gates(pairs, 3, 0.005, low=low, floor=infer.detection_floor(low, high))
+    return gates.select(q(F.lit(low)).alias("low"), q(F.lit(high)).alias("high"), "interval_positive", "above_floor", "verdict")
+
+
 @query(f"{WITH} SELECT asset_id, {r('avg(f1)', 0)} AS score, (asset_id % 3)::DOUBLE AS regularisation, count(*) AS iterations FROM panel GROUP BY asset_id ORDER BY score DESC, regularisation DESC, iterations LIMIT 1")
 def metric_pick_best(spark, sf_dir):
     per = panels.ship_panel(spark, sf_dir).groupBy("asset_id").agg(q(F.avg("f1"), 0).alias("score"), F.count("*").alias("iterations"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.numeric import q
-from ..operators import boosting, fullfold, models, networks, split
+from ..operators import arms, boosting, fullfold, models, networks, split
 from ..sources import panels, tables
 from .registry import query
 from .sql import WITH, r
@@ -107,3 +107,22 @@ def model_network_trained(spark, sf_dir):
     networks.save(networks.train(df, ["x1", "x2"], ["target"], "weight", how, start=_START), spark, path)
     net = networks.load(spark, path).network()
     return models.apply_model(df.select(*KEYS, "x1", "x2"), net.predict, ["x1", "x2"]).select(*KEYS, q(F.col("prediction")).alias("prediction"))
+
+
+_ARMS = (("weighted", "weight", "target"), ("plain", "1.0::DOUBLE", "target"), ("other", "weight", "f2"))
+
+
+@query(f"""{WITH}, folds(fold, tl, th, vl, vh) AS (VALUES {_FOLDS_SQL}),
+a AS ({' UNION ALL '.join(f"SELECT '{n}' AS arm, time_id, asset_id, {w} AS w, {y} AS y, {_bin_sql('f1')} AS bin FROM panel" for n, w, y in _ARMS)}),
+t AS (SELECT fold, a.* FROM a JOIN folds ON time_id BETWEEN tl AND th), m AS (SELECT fold, arm, sum(w * y) / sum(w) AS start FROM t GROUP BY ALL),
+h AS (SELECT fold, arm, bin, start, sum(w * (start - y)) AS g, sum(w) AS h, count(*) AS n FROM t JOIN m USING (fold, arm) GROUP BY ALL),
+c AS (SELECT fold, arm, bin, start, sum(g) OVER p AS gl, sum(h) OVER p AS hl, sum(n) OVER p AS nl, sum(g) OVER q AS gt, sum(h) OVER q AS ht, sum(n) OVER q AS nt FROM h WINDOW p AS (PARTITION BY fold, arm ORDER BY bin), q AS (PARTITION BY fold, arm)),
+b AS (SELECT * FROM c WHERE nl >= 50 AND nt - nl >= 50 QUALIFY row_number() OVER (PARTITION BY fold, arm ORDER BY gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) DESC, bin) = 1),
+v AS (SELECT b.fold, b.arm, panel.weight, panel.target, start - 0.5 * CASE WHEN a.bin <= b.bin THEN gl / hl ELSE (gt - gl) / (ht - hl) END AS prediction FROM panel JOIN folds ON time_id BETWEEN vl AND vh JOIN b USING (fold) JOIN a ON a.arm = b.arm AND a.time_id = panel.time_id AND a.asset_id = panel.asset_id)
+SELECT fold, arm, count(*) AS n, {r('sum(weight * target * prediction) / sum(weight * target * target)')} AS a, {r('sum(weight * prediction * prediction) / sum(weight * target * target)')} AS b FROM v GROUP BY fold, arm""")
+def model_boosted_arms(spark, sf_dir):
+    """Three forests of one split on each of three folds: weighted, without weight, and with another label; scored on one target."""
+    how = boosting.Settings(rounds=1, leaves=2, rate=0.5, least_rows=50)
+    chosen = [arms.BoostedArm("weighted", ("f1",), how), arms.BoostedArm("plain", ("f1",), how, None), arms.BoostedArm("other", ("f1",), how, target="f2")]
+    runs = arms.run_arms(panels.ship_panel(spark, sf_dir), FOLDS, chosen, edges=EDGES)
+    return runs.select("fold", "arm", "n", q(F.col("v") / F.col("d")).alias("a"), q(F.col("g") / F.col("d")).alias("b"))

@@ -149,8 +149,7 @@ def model_hybrid(spark, sf_dir):
 @query()
 def model_out_of_fold(spark, sf_dir):
     df = panels.ship_panel(spark, sf_dir)
-    times = [x["time_id"] for x in df.select("time_id").distinct().orderBy("time_id").collect()]
-    return metrics.score(models.out_of_fold(df, split.rolling_folds(times, 3, 800, 30), ["f0", "f1", "f2"], 2, 100.0), ["fold"])
+    return metrics.score(models.out_of_fold(df, split.rolling_folds_of(df, 3, 800, 30), ["f0", "f1", "f2"], 2, 100.0), ["fold"])
 
 
 @query(f"""{WITH}, dev AS (SELECT time_id, asset_id, f0 - avg(f0) OVER (PARTITION BY time_id) AS dev FROM panel)

@@ -30,8 +30,7 @@ SELECT fold, CASE WHEN k >= first THEN 'valid' ELSE 'train' END AS role, count(*
 FROM panel JOIN t USING (time_id) JOIN f ON (k BETWEEN first AND last) OR (k BETWEEN first - 630 AND first - 31) GROUP BY 1, 2""")
 def fold_assignment(spark, sf_dir):
     df = panels.ship_panel(spark, sf_dir)
-    times = [row["time_id"] for row in df.select("time_id").distinct().orderBy("time_id").collect()]
-    folds = split.rolling_folds(times, 4, 600, 30)
+    folds = split.rolling_folds_of(df, 4, 600, 30)
     return split.assign_folds(df, folds).groupBy("fold", "role").agg(F.count("*").alias("rows"), F.min("time_id").alias("low"), F.max("time_id").alias("high"))
 
 
