@@ -28,6 +28,8 @@ SAMPLE = 20_000
 EVIDENCE = 12.0
 #: Texts are rejected if the combined probability of being good is below this.
 THRESHOLD = 0.25
+#: Bytes of text whose features are worked out at once; a block takes about 60 times as much memory.
+BLOCK = 1 << 20
 #: Bounds of the strength of a prior, in texts.
 STRENGTH = (1.0, 10_000.0)
 
@@ -106,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     texts = labelled_texts(docs, labels, "quality", sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_blocks(batches):
+        for batch, data, offsets in text_blocks(batches, most=BLOCK):
             x = describe_texts(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["y", "x"])
 
@@ -128,7 +130,7 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_blocks(batches):
+        for batch, data, offsets in text_blocks(batches, most=BLOCK):
             z = shared.value.evidence(describe_texts(data, offsets))
             kept = [c for c in names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(z)], [*kept, "evidence"])
