@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import columns_with_prefix, feature_index, feature_names, q
 from ..operators import cross, design, infer, linear, metrics, models, split, temporal
-from ..sources import audit, panels, tables
+from ..sources import audit, footers, panels, tables
 from .registry import query
 from .sql import ASSET, MOMENTS, PREDICTED, WITH, over, r
 
@@ -350,3 +350,11 @@ def metric_selection_churn(spark, sf_dir):
     names = ["weight", "f0", "f1", "f2"]
     profile = metrics.label_profile(metrics.label_correlations(df, names, ["target", "mean5", "mean20"]), "target", 3)
     return metrics.churn(metrics.same_selection(profile, metrics.screen(df, names, 3, weight="one"), 3), 3)
+
+
+@query("""SELECT 1::BIGINT AS files, count(*) AS rows, (SELECT count(*) FROM (DESCRIBE lineitem)) AS columns, min(l_orderkey) AS low, max(l_orderkey) AS high, (count(*) - count(l_orderkey))::BIGINT AS nulls FROM lineitem""")
+def scan_row_groups(spark, sf_dir):
+    """The footer of lineitem, by row group, added up: rows, number of columns, and the range of l_orderkey."""
+    groups = footers.row_groups(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey"])
+    x = F.col("ranges")[0]
+    return groups.agg(F.count_distinct("path").alias("files"), F.sum("group_rows").alias("rows"), F.max(F.size("columns")).cast("long").alias("columns"), F.min(x["least"].cast("long")).alias("low"), F.max(x["largest"].cast("long")).alias("high"), F.sum(x["nulls"]).alias("nulls"))

@@ -30,3 +30,26 @@ def test_columns_without_statistics_are_scanned(spark, tmp_path):
     assert rows[2][:4] == ("x", 10, 0, 0.0)
     spark.range(0).write.parquet(str(tmp_path / "empty"))
     assert profile(spark, str(tmp_path / "empty"), "id") == [("id", 0, 0, None, None)]
+
+
+def test_row_groups(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({"t": list(range(10)), "x": [None if k < 4 else k * 0.5 for k in range(10)], "s": [f"s{k}" for k in range(10)]})
+    (tmp_path / "deep").mkdir()
+    pq.write_table(table, tmp_path / "a.parquet", row_group_size=4)
+    pq.write_table(table.slice(0, 0), tmp_path / "deep" / "b.parquet")
+    want = {("a", 0, 4, ("t", 0, "0", "3"), ("x", 4, None, None)), ("a", 1, 4, ("t", 0, "4", "7"), ("x", 0, "2.0", "3.5")), ("a", 2, 2, ("t", 0, "8", "9"), ("x", 0, "4.0", "4.5"))}
+    for opened, with_hash in ((footers.OPENED, False), (footers.OPENED, True), ((), False)):
+        monkeypatch.setattr(footers, "OPENED", opened)
+        rows = footers.row_groups(spark, str(tmp_path), ["t", "x", "absent"], with_hash).collect()
+        got = {(r.path.rsplit("/", 1)[1][0], r.group, r.group_rows, *[tuple(x) for x in r.ranges[:2]]) for r in rows if r.group_rows}
+        assert got == want and all(tuple(r.ranges[2]) == ("absent", None, None, None) for r in rows if r.group is not None)
+        empty = [r for r in rows if not r.group_rows]
+        assert len(empty) == 1 and (empty[0].rows, empty[0].columns) == (0, ["t", "x", "s"])
+        for r in rows:
+            raw = open(r.path.removeprefix("file:"), "rb").read()
+            assert r.bytes == len(raw) and r.sha256 == (hashlib.sha256(raw).hexdigest() if with_hash else None) and "t: int64" in r.schema
