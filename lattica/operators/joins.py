@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 
 def _fail(when: Column, message: str) -> Column:
     return F.when(when, F.raise_error(F.lit(message)).cast("int")).otherwise(0)
@@ -27,9 +29,11 @@ def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def join_with_drift(left: DataFrame, right: DataFrame, values: Sequence[str], tolerance: float = 1e-6, keys: Sequence[str] = ("time_id", "asset_id"), fold: str | None = None, most_dropped: float = 1e-3) -> DataFrame:
-    """Inner join on the keys. Values that both have must agree within the tolerance; rows of different folds are dropped, up to a share of most_dropped."""
+    """Inner join on the keys. Values that both have must agree within the tolerance; rows of different folds are dropped, up to a share of most_dropped. The join runs once, into a table under spark.checkpoint.dir that the checks and the result read."""
     renamed = right.select(*keys, *[F.col(c).alias(f"_r_{c}") for c in right.columns if c not in keys])
-    joined = left.join(renamed, list(keys))
+    path = scratch(left.sparkSession, "drift")
+    left.join(renamed, list(keys)).write.parquet(path)
+    joined = left.sparkSession.read.parquet(path)
     apart = sum((F.when(F.abs(F.col(v) - F.col(f"_r_{v}")) <= tolerance, 0).otherwise(1) for v in values), F.lit(0))
     checks = joined.agg(F.count("*").alias("n"), F.coalesce(F.sum(apart), F.lit(0)).alias("apart"), (F.sum((F.col(fold) != F.col(f"_r_{fold}")).cast("int")) if fold else F.lit(0)).alias("moved")).first()
     if checks["apart"]:

@@ -37,9 +37,11 @@ def score(df: DataFrame, by: Sequence[str] = (), target: str = "target", predict
 
 
 def score_rollup(df: DataFrame, labels: Sequence[str], **columns: str) -> DataFrame:
-    """score() for several label sets at once: rows (label, value) for each value of each label, from one pass."""
+    """score() for several label sets at once: rows (label, value) for each value of each label, from one pass. Sums are taken per combination of labels first, and only these rows are multiplied."""
     sets = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("string").alias("value")) for c in labels]))
-    return score(df.withColumn("_s", sets).withColumns({"label": F.col("_s.label"), "value": F.col("_s.value")}), ["label", "value"], **columns)
+    per = df.groupBy(*labels).agg(F.count("*").alias("_n"), *[m.alias(f"_{c}") for c, m in zip("dvg", moments(**columns))])
+    whole = per.select(sets.alias("_s"), "_n", "_d", "_v", "_g").groupBy(F.col("_s.label").alias("label"), F.col("_s.value").alias("value"))
+    return whole.agg(F.sum("_n").alias("n"), *[F.sum(f"_{c}").alias(c) for c in "dvg"]).select("label", "value", "n", "d", *score_columns())
 
 
 def breakdown(df: DataFrame, by: Sequence[str]) -> DataFrame:

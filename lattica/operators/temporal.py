@@ -46,9 +46,14 @@ def std_before(x: str, rows: int) -> Column:
     return _or_zero(F.stddev_pop(x).over(by_asset().rowsBetween(-rows, -1)))
 
 
+def slope_before(x: str, place: str, rows: int) -> Column:
+    """Least-squares slope of the last `rows` observations before this one against their places, which rise by 1; fewer than two give 0."""
+    return _or_zero(F.regr_slope(F.col(x), F.col(place).cast("double")).over(by_asset().rowsBetween(-rows, -1)))
+
+
 def with_slope(df: DataFrame, x: str, rows: int, out: str) -> DataFrame:
-    """Least-squares slope of the last `rows` observations before this one against 0, 1, ...; fewer than two give 0."""
-    return df.withColumn("_n", F.row_number().over(by_asset())).withColumn(out, _or_zero(F.regr_slope(F.col(x), F.col("_n").cast("double")).over(by_asset().rowsBetween(-rows, -1)))).drop("_n")
+    """df with slope_before() by the places of the asset's rows."""
+    return df.withColumn("_n", F.row_number().over(by_asset())).withColumn(out, slope_before(x, "_n", rows)).drop("_n")
 
 
 def ema_before(x: str, span: int, rows: int = 20) -> Column:
@@ -233,20 +238,17 @@ def temporal_features(df: DataFrame, columns: Sequence[str], arm: str = "baselin
     """The blocks of an arm for each column, named block_column; observation_gap once, and the state of the market (of groups of features; all columns if None) once per time. An unknown arm is an error."""
     if arm not in ARMS:
         raise ValueError(f"unknown arm {arm}")
-    for block in (*BASELINE, *ARMS[arm]):
+    blocks = (*BASELINE, *ARMS[arm])
+    made: dict[str, Column] = {}
+    for block in blocks:
         name = block.rstrip("0123456789")
         k = int(block[len(name) :] or 0)
         if block == "observation_gap":
-            df = df.withColumn("observation_gap", gap())
-            continue
-        if block == "regime":
-            df = df.join(regime_state(df, groups or {"regime": list(columns)}), "time_id")
-            continue
-        for c in columns:
-            out = f"{block}_{c}"
-            if name == "slope":
-                df = with_slope(df, c, k, out)
-                continue
-            made = {"lag": lambda: lag(c, k), "difference": lambda: difference(c), "mean": lambda: mean_before(c, k), "deviation": lambda: deviation_before(c, k), "ema": lambda: ema_before(c, k), "std": lambda: std_before(c, k), "zscore": lambda: zscore(deviation_before(c, k), std_before(c, k)), "delta": lambda: delta(c, k), "acceleration": lambda: acceleration(c)}[name]()
-            df = df.withColumn(out, made)
-    return df
+            made[block] = gap()
+        elif block != "regime":
+            for c in columns:
+                made[f"{block}_{c}"] = {"lag": lambda: lag(c, k), "difference": lambda: difference(c), "mean": lambda: mean_before(c, k), "deviation": lambda: deviation_before(c, k), "ema": lambda: ema_before(c, k), "std": lambda: std_before(c, k), "slope": lambda: slope_before(c, "_place", k), "zscore": lambda: zscore(deviation_before(c, k), std_before(c, k)), "delta": lambda: delta(c, k), "acceleration": lambda: acceleration(c)}[name]()
+    # all blocks are one projection over one sort; slopes need the places of the asset's rows
+    placed = df.withColumn("_place", F.row_number().over(by_asset())) if any(b.startswith("slope") for b in blocks) else df
+    out = placed.withColumns(made).drop("_place")
+    return out.join(regime_state(df, groups or {"regime": list(columns)}), "time_id") if "regime" in blocks else out
