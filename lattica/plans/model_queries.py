@@ -36,11 +36,19 @@ def linear_alpha_path(spark, sf_dir):
     return _rows(spark, rows, "alpha double, r2 double, r2_zero double")
 
 
-@query()
+_SUMS2 = {"w": "weight", "x": "weight * f0", "z": "weight * f1", "y": "weight * target", "xx": "weight * f0 * f0", "xz": "weight * f0 * f1", "zz": "weight * f1 * f1", "xy": "weight * f0 * target", "zy": "weight * f1 * target"}
+
+
+@query(f"""{WITH}, per AS (SELECT asset_id, {', '.join(f'sum({e}) AS {n}' for n, e in _SUMS2.items())} FROM panel GROUP BY asset_id), p AS (SELECT {', '.join(f'sum({n}) AS {n}' for n in _SUMS2)} FROM per),
+s AS (SELECT asset_id, {', '.join(f'per.{n} + 0.5 * per.w / p.w * p.{n} AS {n}' for n in _SUMS2)} FROM per, p),
+c AS (SELECT *, xx - x * x / w + 10 AS a, xz - x * z / w AS b, zz - z * z / w + 10 AS c, xy - x * y / w AS p, zy - z * y / w AS q FROM s),
+k AS (SELECT *, (p * c - q * b) / (a * c - b * b) AS b0, (q * a - p * b) / (a * c - b * b) AS b1 FROM c)
+SELECT asset_id, {r('(y - b0 * x - b1 * z) / w')} AS intercept, {r('b0')} AS f0, {r('b1')} AS f1 FROM k""")
 def linear_per_asset(spark, sf_dir):
     per = linear.grams(panels.ship_panel(spark, sf_dir), ["f0", "f1"], ["target"], "weight", by="asset_id")
     fitted = linear.shrunk_ridge(per, 10.0, 0.5)
-    return _rows(spark, [(int(k), float(m.intercept[0]), *map(float, m.weights[:, 0])) for k, m in fitted.items()], "asset_id long, intercept double, f0 double, f1 double")
+    out = _rows(spark, [(int(k), float(m.intercept[0]), *map(float, m.weights[:, 0])) for k, m in fitted.items()], "asset_id long, intercept double, f0 double, f1 double")
+    return out.withColumns({c: q(F.col(c)) for c in ("intercept", "f0", "f1")})
 
 
 @query(f"{WITH}, {PREDICTED} SELECT asset_id, {r('(sum(weight * prediction * target) + 1000) / (sum(weight * prediction * prediction) + 1000)')} AS slope FROM predicted GROUP BY asset_id")
@@ -146,10 +154,29 @@ def model_hybrid(spark, sf_dir):
     return df.select(*KEYS, q(out).alias("prediction"), q(models.seed_mean([F.col("f1"), F.col("f2")])).alias("seeds"))
 
 
-@query()
+_PAIRS = [(1, 2), (0, 2), (0, 1)]  # what stays if feature 0, 1 or 2 is left out
+
+
+def _left(k: str) -> str:
+    """A sum of the first or second feature that stays, by which one is left out."""
+    return "CASE least_of " + " ".join(f"WHEN {d} THEN {k.format(i=i, j=j)}" for d, (i, j) in enumerate(_PAIRS)) + " END"
+
+
+@query(f"""{WITH}, t AS (SELECT time_id, row_number() OVER (ORDER BY time_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT time_id FROM panel)),
+g AS (SELECT k AS fold, 830 + k * ((n - 830) // 3) AS first, CASE WHEN k = 2 THEN n - 1 ELSE 830 + (k + 1) * ((n - 830) // 3) - 1 END AS last FROM (SELECT unnest(range(3)) AS k), (SELECT max(n) AS n FROM t)),
+p AS (SELECT panel.*, fold, CASE WHEN place BETWEEN first - 830 AND first - 31 THEN 'train' WHEN place BETWEEN first AND last THEN 'valid' END AS role FROM panel JOIN t USING (time_id), g),
+s AS (SELECT fold, sum(weight) AS w, sum(weight * target) AS y, sum(weight * target * target) AS yy, {', '.join(f'sum(weight * f{i}) AS s{i}, sum(weight * f{i} * target) AS y{i}' for i in range(3))}, {', '.join(f'sum(weight * f{i} * f{j}) AS s{i}{j}' for i in range(3) for j in range(i, 3))} FROM p WHERE role = 'train' GROUP BY fold),
+c AS (SELECT *, {', '.join(f'abs(w * y{i} - s{i} * y) / sqrt((w * s{i}{i} - s{i} * s{i}) * (w * yy - y * y)) AS c{i}' for i in range(3))} FROM s),
+d AS (SELECT *, CASE WHEN c0 <= c1 AND c0 <= c2 THEN 0 WHEN c1 <= c2 THEN 1 ELSE 2 END AS least_of FROM c),
+e AS (SELECT fold, least_of, w, y, {_left('s{i}')} AS x, {_left('s{j}')} AS z, {_left('s{i}{i}')} AS xx, {_left('s{i}{j}')} AS xz, {_left('s{j}{j}')} AS zz, {_left('y{i}')} AS xy, {_left('y{j}')} AS zy FROM d),
+k AS (SELECT *, xx - x * x / w + 100 AS a, xz - x * z / w AS b, zz - z * z / w + 100 AS c, xy - x * y / w AS p, zy - z * y / w AS q FROM e),
+m AS (SELECT fold, least_of, (p * c - q * b) / (a * c - b * b) AS b0, (q * a - p * b) / (a * c - b * b) AS b1, w, x, y, z FROM k),
+v AS (SELECT p.fold, weight, target, (y - b0 * x - b1 * z) / w + b0 * CASE WHEN least_of = 0 THEN f1 ELSE f0 END + b1 * CASE WHEN least_of = 2 THEN f1 ELSE f2 END AS prediction FROM p JOIN m USING (fold) WHERE role = 'valid'),
+o AS (SELECT fold, count(*) AS n, {MOMENTS} FROM v GROUP BY fold)
+SELECT fold::INT AS fold, n, d, {r('v / d')} AS a, {r('g / d')} AS b, {r('v * v / (g * d)')} AS peak, {r('v / g')} AS best_scale, {r('(2 * v - g) / d')} AS score FROM o""")
 def model_out_of_fold(spark, sf_dir):
     df = panels.ship_panel(spark, sf_dir)
-    return metrics.score(models.out_of_fold(df, split.rolling_folds_of(df, 3, 800, 30), ["f0", "f1", "f2"], 2, 100.0), ["fold"])
+    return metrics.score(models.out_of_fold(df, split.rolling_folds_of(df, 3, 800, 30), ["f0", "f1", "f2"], 2, 100.0), ["fold"]).withColumns({c: q(F.col(c)) for c in ("a", "b", "peak", "best_scale", "score")})
 
 
 @query(f"""{WITH}, dev AS (SELECT time_id, asset_id, f0 - avg(f0) OVER (PARTITION BY time_id) AS dev FROM panel)

@@ -264,7 +264,11 @@ def audit_parameter_grid(spark, sf_dir):
     return audit.parameter_grid(spark, {"a": [1, 2, 3], "b": ["p", "q"]})
 
 
-@query()
+@query(f"""{WITH}, v AS (SELECT *, target - avg(target) OVER (PARTITION BY time_id) AS target_dev FROM panel),
+p AS (SELECT unnest(['f0', 'f1', 'target', 'target_dev']) AS name, unnest([0, 1, 2, 3]) AS place, unnest([min(f0), min(f1), min(target), min(target_dev)]) AS least, unnest([max(f0), max(f1), max(target), max(target_dev)]) AS largest FROM v),
+s AS (SELECT *, CASE WHEN least >= 0 THEN 'positive' WHEN largest <= 0 THEN 'negative' ELSE 'both' END AS sign FROM p),
+n AS (SELECT *, coalesce((sign <> lag(sign) OVER (ORDER BY place))::INT, 1) AS new FROM s)
+SELECT name, place::INT AS "index", sign, (sum(new) OVER (ORDER BY place))::BIGINT AS family, false AS ladder FROM n""")
 def audit_column_families(spark, sf_dir):
     profile = cross.demean(panels.ship_panel(spark, sf_dir), ["target", "f0"]).agg(*[F.struct(F.lit(k).alias("index"), F.lit(c).alias("name"), F.count_if(F.col(c).isNull()).alias("null_count"), F.min(c).alias("least"), F.max(c).alias("largest")).alias(c) for k, c in enumerate(("f0", "f1", "target", "target_dev"))])
     tall = profile.select(F.explode(F.array("f0", "f1", "target", "target_dev")).alias("x")).select("x.*")
