@@ -33,8 +33,8 @@ SIMILAR = (4, 5)
 RECALL = 0.9
 #: Bits of a segment beyond the logarithm of the number of texts, and at least.
 SPARE_BITS, LEAST_BITS = 3, 12
-#: Fingerprints that differ in more than this share of their bits are not compared by their sets, nor those that differ in more of the first 64.
-FAR, FAR_HEAD = 0.24, 24
+#: Fingerprints too far apart are not compared by their sets: of HEAD bits, and of all, so many may differ that a pair of just that similarity is lost with this probability at most (see far()).
+LOST, HEAD = 1e-4, 128
 #: How many of the nearest texts that stand for a bucket a text is compared with in the first round.
 NEAREST = 3
 
@@ -106,23 +106,24 @@ def index(nodes: DataFrame) -> DataFrame:
 def lookups(indexed: DataFrame, width: int, radius: int) -> DataFrame:
     """(key, node, head): for each node the keys in the balls around its segments under which the index holds another node."""
     masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius)])
-    probes = indexed.select("node", F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+    probes = indexed.select("node", "head", F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
     held = indexed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    found = probes.join(held, "key").filter((F.col("least") != F.col("node")) | (F.col("most") != F.col("node"))).select("key", "node")
-    heads = indexed.groupBy("node").agg(F.first("head").alias("head"))
-    return found.join(heads, "node").select("key", "node", "head")
+    return probes.join(held, "key").filter((F.col("least") != F.col("node")) | (F.col("most") != F.col("node"))).select("key", "node", "head")
 
 
-def linked(indexed: DataFrame, found: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame, bool], DataFrame] | None = None, name: str = "simhash") -> DataFrame:
-    """Components (node, component) over all pairs that the index finds, whose heads are near and that verify() keeps.
+def linked(indexed: DataFrame, found: DataFrame, apart: Callable[[Column, Column], Column], most: int, verify: Callable[[DataFrame, bool], DataFrame] | None = None, name: str = "simhash") -> DataFrame:
+    """Components (node, component) over all pairs that the index finds, whose heads are at most `most` apart and that verify() keeps.
 
     A group of very many near nodes never meets in pairs. First each node meets the one node that stands for each of its
     buckets; that joins most of a group at a cost in proportion to its size. Then the pairs that are still in different
     components meet, so no link between components is missed; those within one need no more links.
     """
+    def near(a: Column, b: Column) -> Column:
+        return apart(a, b) <= most
+
     one = indexed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node", "head")).alias("one"))
     met = found.join(one, "key").filter((F.col("node") != F.col("one.node")) & near(F.col("head"), F.col("one.head")))
-    met = met.select("node", F.col("one.node").alias("other"), F.bit_count(F.col("head").bitwiseXOR(F.col("one.head"))).alias("apart")).distinct()
+    met = met.select("node", F.col("one.node").alias("other"), apart(F.col("head"), F.col("one.head")).alias("apart")).distinct()
     keep = verify or (lambda pairs, first: pairs)
     links = materialize(keep(met, True).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), f"{name}-links")
     parts = materialize(components(links, f"{name}-parts"), f"{name}-parts")
@@ -135,15 +136,19 @@ def linked(indexed: DataFrame, found: DataFrame, near: Callable[[Column, Column]
     still = with_part(found).join(mixed, "key").filter((F.col("least") != F.col("part")) | (F.col("most") != F.col("part"))).drop("least", "most")
     other = shelved.select("key", F.col("node").alias("other"), F.col("head").alias("other_head"), F.col("part").alias("other_part"))
     met = still.join(other, "key").filter((F.col("node") < F.col("other")) & (F.col("part") != F.col("other_part")) & near(F.col("head"), F.col("other_head")))
-    met = met.select("node", "other", F.bit_count(F.col("head").bitwiseXOR(F.col("other_head"))).alias("apart")).distinct()
+    met = met.select("node", "other", apart(F.col("head"), F.col("other_head")).alias("apart")).distinct()
     more = keep(met, False).select(F.col("node").alias("a"), F.col("other").alias("b"))
     out = components(links.unionByName(more), f"{name}-parts")
     discard(links)
     return out
 
 
-def _within(most: int) -> Callable[[Column, Column], Column]:
-    return lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= most
+def _differing(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def _differing_heads(a: Column, b: Column) -> Column:
+    return _differing(a["low"], b["low"]) + _differing(a["high"], b["high"])
 
 
 def segments_for(nodes: int, most: int) -> int:
@@ -167,7 +172,7 @@ def near_prints(prints: DataFrame, most: int = 4, segments: int | None = None) -
     parts = [F.shiftrightunsigned(F.shiftleft("node", 64 - cuts[k + 1]), 64 - cuts[k + 1] + cuts[k]) for k in range(segments)]
     indexed = materialize(index(nodes.select("node", F.col("node").alias("head"), F.array(*parts).alias("segments"))), "simhash-index")
     found = materialize(lookups(indexed, max(b - a for a, b in zip(cuts, cuts[1:])), most // segments), "simhash-found")
-    out = materialize(linked(indexed, found, _within(most)), "simhash-components")
+    out = materialize(linked(indexed, found, _differing, most), "simhash-components")
     discard(indexed)
     discard(found)
     return out
@@ -205,14 +210,30 @@ def segments_of(texts: int) -> tuple[int, int]:
     probability arccos(c) / pi. A segment finds the pair if at most one of its bits differs; enough segments find RECALL.
     """
     width = max(LEAST_BITS, math.ceil(math.log2(max(texts, 1))) + SPARE_BITS)
-    s = SIMILAR[0] / SIMILAR[1]
-    p = math.acos(2 * s / (1 + s)) / math.pi
+    p = _differs()
     one = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
-    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - one))
+    # what the two limits of far() lose is found beside it
+    return width, max(-(-HEAD // width), math.ceil(math.log(max(1 - RECALL - 2 * LOST, 1e-12)) / math.log(1 - one)))
+
+
+def _differs() -> float:
+    """Probability that one bit differs between two sets of the least similarity."""
+    s = SIMILAR[0] / SIMILAR[1]
+    return math.acos(2 * s / (1 + s)) / math.pi
+
+
+def far(bits: int) -> int:
+    """The most bits of so many that may differ between fingerprints still compared: more do in a pair of the least similarity with a probability of LOST at most."""
+    p, tail = _differs(), 0.0
+    for k in range(bits, -1, -1):
+        tail += math.exp(math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log(1 - p))
+        if tail > LOST:
+            return k
+    return bits
 
 
 def set_prints(docs: DataFrame, words: int, width: int, segments: int) -> DataFrame:
-    """Fingerprints of the shingle sets of whole texts: doc_id, row_key, node (a hash of the set), n (its size), head (64 bits), segments (array<long>)."""
+    """Fingerprints of the shingle sets of whole texts: doc_id, row_key, node (a hash of the set), n (its size), head (HEAD bits as two values), segments (array<long>)."""
     blocks = -(-width * segments // 64)
     weights = (1 << np.arange(width)).astype(np.int64)
 
@@ -223,14 +244,14 @@ def set_prints(docs: DataFrame, words: int, width: int, segments: int) -> DataFr
                 bits = np.concatenate([majority(hashes if k == 0 else mix64(hashes + np.uint64(k))) for k in range(blocks)])
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 sizes.append(len(hashes))
-                heads.append(_signed(bits[:64]))
+                heads.append((_signed(bits[:64]), _signed(bits[64:128])))
                 parts.append(bits[: width * segments].reshape(segments, width) @ weights)
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * segments)
             arrays = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(heads, pa.int64()), arrays], ["doc_id", "row_key", "node", "n", "head", "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.StructArray.from_arrays([pa.array([h[k] for h in heads], pa.int64()) for k in (0, 1)], ["low", "high"]), arrays], ["doc_id", "row_key", "node", "n", "head", "segments"])
 
     own = docs.select("doc_id", row_key().alias("row_key"), "text")
-    return own.mapInArrow(rows, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, row_key long, node long, n long, head long, segments array<long>")
+    return own.mapInArrow(rows, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, row_key long, node long, n long, head struct<low:long,high:long>, segments array<long>")
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -268,9 +289,9 @@ def near_texts(docs: DataFrame, words: int = 5) -> DataFrame:
         distance = sum((F.bit_count(F.get("node_segments", k).bitwiseXOR(F.get("other_segments", k))) for k in range(segments)), F.lit(0))
         a, b = SIMILAR
         sizes = (F.col("node_n") * b >= F.col("other_n") * a) & (F.col("other_n") * b >= F.col("node_n") * a)
-        return sides(pairs, whole).filter(sizes & (distance <= int(FAR * width * segments))).select("node", "other", "apart")
+        return sides(pairs, whole).filter(sizes & (distance <= far(width * segments))).select("node", "other", "apart")
 
-    groups = materialize(linked(indexed, found, _within(FAR_HEAD), near_whole), "simhash-groups")
+    groups = materialize(linked(indexed, found, _differing_heads, far(HEAD), near_whole), "simhash-groups")
     # only texts whose fingerprint is near another one are read again, and compared by their sets
     keyed = docs.select(row_key().alias("row_key"), "text")
     copies = prints.groupBy("row_key").agg(F.count("*").alias("copies"))
@@ -288,7 +309,7 @@ def near_texts(docs: DataFrame, words: int = 5) -> DataFrame:
         return sides(pairs.select("node", "other"), sets).filter(common * (a + b) >= sizes * a)
 
     some_index, some_found = (materialize(t.join(groups.select("node"), "node", "left_semi"), "simhash-index") for t in (indexed, found))
-    parts = materialize(linked(some_index, some_found, _within(FAR_HEAD), alike), "simhash-alike")
+    parts = materialize(linked(some_index, some_found, _differing_heads, far(HEAD), alike), "simhash-alike")
     of = materialize(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "copies"), "simhash-components")
     for table in (indexed, found, some_index, some_found, sets, groups, parts, nodes):
         discard(table)
