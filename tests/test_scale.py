@@ -115,3 +115,15 @@ def test_numbered_rows_and_times(spark):
 def test_robust_figures_of_columns_without_values(spark):
     df = spark.createDataFrame([(math.nan, 1.0), (None, 3.0)], "a double, b double")
     assert [tuple(r) for r in metrics.fit_robust(df, ["a", "b"]).collect()] == [("a", None, None, None, 1e-4), ("b", 1.002, pytest.approx(2.998), 2.0, 1.0)]
+
+
+def test_long_means_do_not_drift(spark):
+    """Differences of running sums over a long series of large values stay within 1e-9 of the windows' own means."""
+    rng = random.Random(9)
+    x = [1e6 + rng.gauss(0, 1) for _ in range(20_000)]
+    df = spark.createDataFrame([(k, 0, v) for k, v in enumerate(x)], "time_id long, asset_id long, x double")
+    got = {r.time_id: r.m for r in temporal.with_long_mean(df, "x", 300, "m").collect()}
+    for k in (1, 5, 299, 300, 301, 9_999, 19_999):
+        own = x[max(0, k - 300) : k]
+        assert got[k] == pytest.approx(math.fsum(own) / len(own), rel=1e-9)
+    assert got[0] == 0.0
