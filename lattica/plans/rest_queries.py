@@ -322,7 +322,8 @@ def audit_out_of_fold(spark, sf_dir):
 
 
 @query(f"""{WITH}, c AS (SELECT count(*) FILTER (f1 > 40) AS a1, count(*) FILTER (f1 > 20) AS a2, count(*) FILTER (f2 > 30) AS b1, count(*) FILTER (f0 > 1e9) AS d1 FROM panel),
-f AS (SELECT 'a' AS family, a1 || ',' || a2 AS rungs FROM c UNION ALL SELECT 'b', a1 || ',' || a2 FROM c UNION ALL SELECT 'c', b1::VARCHAR FROM c UNION ALL SELECT 'd', '' FROM c WHERE d1 = 0)
+g AS (SELECT CASE WHEN a2 > a1 AND a1 > 0 THEN a1 || ',' || a2 WHEN a2 > 0 THEN a2::VARCHAR ELSE '' END AS two, CASE WHEN b1 > 0 THEN b1::VARCHAR ELSE '' END AS one, CASE WHEN d1 > 0 THEN d1::VARCHAR ELSE '' END AS none FROM c),
+f AS (SELECT 'a' AS family, two AS rungs FROM g UNION ALL SELECT 'b', two FROM g UNION ALL SELECT 'c', one FROM g UNION ALL SELECT 'd', none FROM g)
 SELECT rungs, list(family ORDER BY family) AS families FROM f GROUP BY rungs""")
 def audit_null_ladders(spark, sf_dir):
     """Families of columns by the null counts that they share: the columns are f0 to f2, blanked above some values."""
