@@ -103,12 +103,23 @@ def index(nodes: DataFrame) -> DataFrame:
     return each.select(F.shiftleft(F.col("k").cast("long"), 48).bitwiseOR(F.col("value")).alias("key"), "node", "head")
 
 
-def lookups(indexed: DataFrame, width: int, radius: int) -> DataFrame:
-    """(key, node, head): for each node the keys in the balls around its segments under which the index holds another node."""
+def lookups(indexed: DataFrame, width: int, radius: int, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(key, node, head): for each node the keys in the balls around its segments under which the index holds another node.
+
+    With near (of two heads), keys that hold two nodes at most, of which no other one is near, are left out at once; they lead to no link.
+    """
     masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius)])
-    probes = indexed.select("node", "head", F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+    if near is not None:
+        probes = indexed.select("node", "head", F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+        ends = indexed.groupBy("key").agg(F.min(F.struct("node", "head")).alias("least"), F.max(F.struct("node", "head")).alias("most"), F.count("*").alias("n"))
+        met = [(F.col(f"{end}.node") != F.col("node")) & near(F.col("head"), F.col(f"{end}.head")) for end in ("least", "most")]
+        return probes.join(ends, "key").filter((F.col("n") > 2) | met[0] | met[1]).select("key", "node", "head")
+    # most probes find nothing, so heads join only those that do
+    probes = indexed.select("node", F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
     held = indexed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    return probes.join(held, "key").filter((F.col("least") != F.col("node")) | (F.col("most") != F.col("node"))).select("key", "node", "head")
+    found = probes.join(held, "key").filter((F.col("least") != F.col("node")) | (F.col("most") != F.col("node"))).select("key", "node")
+    heads = indexed.groupBy("node").agg(F.first("head").alias("head"))
+    return found.join(heads, "node").select("key", "node", "head")
 
 
 def linked(indexed: DataFrame, found: DataFrame, apart: Callable[[Column, Column], Column], most: int, verify: Callable[[DataFrame, bool], DataFrame] | None = None, name: str = "simhash") -> DataFrame:
@@ -171,7 +182,7 @@ def near_prints(prints: DataFrame, most: int = 4, segments: int | None = None) -
     cuts = [64 * k // segments for k in range(segments + 1)]
     parts = [F.shiftrightunsigned(F.shiftleft("node", 64 - cuts[k + 1]), 64 - cuts[k + 1] + cuts[k]) for k in range(segments)]
     indexed = materialize(index(nodes.select("node", F.col("node").alias("head"), F.array(*parts).alias("segments"))), "simhash-index")
-    found = materialize(lookups(indexed, max(b - a for a, b in zip(cuts, cuts[1:])), most // segments), "simhash-found")
+    found = materialize(lookups(indexed, max(b - a for a, b in zip(cuts, cuts[1:])), most // segments, lambda a, b: _differing(a, b) <= most), "simhash-found")
     out = materialize(linked(indexed, found, _differing, most), "simhash-components")
     discard(indexed)
     discard(found)
@@ -286,6 +297,9 @@ def near_texts(docs: DataFrame, words: int = 5) -> DataFrame:
         return pairs
 
     def near_whole(pairs: DataFrame, first: bool) -> DataFrame:
+        if first:  # the nearest few join most of a group; all others that stay apart are compared afterwards
+            best = pairs.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "other"))), 1, NEAREST).alias("best"))
+            pairs = best.select("node", F.explode("best").alias("x")).select("node", "x.other", "x.apart")
         distance = sum((F.bit_count(F.get("node_segments", k).bitwiseXOR(F.get("other_segments", k))) for k in range(segments)), F.lit(0))
         a, b = SIMILAR
         sizes = (F.col("node_n") * b >= F.col("other_n") * a) & (F.col("other_n") * b >= F.col("node_n") * a)
@@ -301,9 +315,6 @@ def near_texts(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def alike(pairs: DataFrame, first: bool) -> DataFrame:
         pairs = near_whole(pairs, first)
-        if first:
-            best = pairs.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "other"))), 1, NEAREST).alias("best"))
-            pairs = best.select("node", F.explode("best").alias("x")).select("node", "x.other")
         a, b = SIMILAR
         common, sizes = F.size(F.array_intersect("node_shingles", "other_shingles")), F.size("node_shingles") + F.size("other_shingles")
         return sides(pairs.select("node", "other"), sets).filter(common * (a + b) >= sizes * a)
