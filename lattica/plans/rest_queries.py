@@ -359,3 +359,38 @@ def scan_row_groups(spark, sf_dir):
     groups = footers.row_groups(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey"])
     x = F.col("ranges")[0]
     return groups.agg(F.count_distinct("path").alias("files"), F.sum("group_rows").alias("rows"), F.max(F.size("columns")).cast("long").alias("columns"), F.min(x["least"].cast("long")).alias("low"), F.max(x["largest"].cast("long")).alias("high"), F.sum(x["nulls"]).alias("nulls"))
+
+
+_TWO = "sum(weight) AS w, sum(weight * f0) AS sx, sum(weight * f1) AS sz, sum(weight * target) AS sy, sum(weight * f0 * f0) AS xx, sum(weight * f0 * f1) AS xz, sum(weight * f1 * f1) AS zz, sum(weight * f0 * target) AS xy, sum(weight * f1 * target) AS zy"
+
+
+@query(f"""{WITH}, s AS (SELECT {_TWO} FROM panel), c AS (SELECT xx - sx * sx / w AS a, xz - sx * sz / w AS o, zz - sz * sz / w AS c, xy - sx * sy / w AS p, zy - sz * sy / w AS q FROM s),
+n AS (SELECT o / sqrt(a * c) AS o, p / sqrt(a) AS b0, q / sqrt(c) AS b1, sqrt(a) AS s0, sqrt(c) AS s1 FROM c),
+f AS (SELECT *, abs(b0) >= abs(b1) AS zero_first, greatest(abs(b0), abs(b1)) AS most, CASE WHEN abs(b0) >= abs(b1) THEN b0 ELSE b1 END AS b, CASE WHEN abs(b0) >= abs(b1) THEN b1 ELSE b0 END AS other FROM n),
+g AS (SELECT *, most * power(0.001, i / 99.0) AS penalty, i FROM f, (SELECT unnest(range(100)) AS i)), h AS (SELECT *, sign(b) * greatest(abs(b) - penalty, 0) AS v FROM g),
+k AS (SELECT *, abs(other - o * v) <= penalty AS alone FROM h), e AS (SELECT * FROM k WHERE i < (SELECT coalesce(min(i), 100) FROM k WHERE NOT alone) ORDER BY i DESC LIMIT 1)
+SELECT {r('CASE WHEN zero_first THEN v / s0 ELSE 0 END')} AS f0, {r('CASE WHEN zero_first THEN 0 ELSE v / s1 END')} AS f1 FROM e""")
+def linear_lasso_of_one(spark, sf_dir):
+    """The lasso of two features along its path until the second would enter."""
+    w = linear.lasso(linear.gram(panels.ship_panel(spark, sf_dir), ["f0", "f1"], ["target"], "weight"), 1)
+    return _q(spark.createDataFrame([(float(w[0]), float(w[1]))], "f0 double, f1 double"), "f0", "f1")
+
+
+@query(f"""{WITH}, s AS (SELECT {_TWO} FROM panel), c AS (SELECT (xx - sx * sx / w) / w AS a, (xz - sx * sz / w) / w AS o, (zz - sz * sz / w) / w AS c FROM s),
+l AS (SELECT *, unnest([1, -1]) AS side FROM c), v AS (SELECT *, (a + c) / 2 + side * sqrt(((a - c) / 2) ** 2 + o * o) AS variance FROM l),
+d AS (SELECT side, variance, o / sqrt(o * o + (variance - a) ** 2) AS x, (variance - a) / sqrt(o * o + (variance - a) ** 2) AS z FROM v)
+SELECT CASE WHEN side = 1 THEN 0 ELSE 1 END AS axis, {r('variance', 4)} AS variance, {r('x * CASE WHEN abs(x) >= abs(z) THEN sign(x) ELSE sign(z) END')} AS f0, {r('z * CASE WHEN abs(x) >= abs(z) THEN sign(x) ELSE sign(z) END')} AS f1 FROM d""")
+def linear_axes_of_two(spark, sf_dir):
+    values, vectors = linear.principal_axes(linear.gram(panels.ship_panel(spark, sf_dir), ["f0", "f1"], ["target"], "weight"), 2)
+    out = spark.createDataFrame([(k, float(v), float(vectors[0, k]), float(vectors[1, k])) for k, v in enumerate(values)], "axis int, variance double, f0 double, f1 double")
+    return _q(out, "f0", "f1").withColumn("variance", q(F.col("variance"), 4))
+
+
+@query(f"""{WITH}, c AS (SELECT {_ONE} FROM panel), p AS (SELECT unnest([0.01, 0.1, 1.0]) AS alpha),
+m AS (SELECT *, (xy - x * y / w) / ((xx - x * x / w) * (1 + alpha)) AS b FROM c, p), i AS (SELECT *, y / w - b * x / w AS i FROM m),
+e AS (SELECT *, yy - 2 * (i * y + b * xy) + i * i * w + 2 * i * b * x + b * b * xx AS error FROM i) SELECT alpha::DOUBLE AS alpha, {r('1 - error / (yy - y * y / w)')} AS r2, {r('1 - error / yy')} AS r2_zero FROM e""")
+def linear_alpha_scores(spark, sf_dir):
+    """Scores along a path of penalties, from one Gram matrix."""
+    g = linear.gram(panels.ship_panel(spark, sf_dir), ["f1"], ["target"], "weight")
+    rows = [(a, *linear.residual_share(g, m)) for a, m in linear.alpha_path(g, [0.01, 0.1, 1.0], relative=True).items()]
+    return _q(spark.createDataFrame(rows, "alpha double, r2 double, r2_zero double"), "r2", "r2_zero")
