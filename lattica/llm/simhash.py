@@ -35,6 +35,8 @@ RECALL = 0.9
 SPARE_BITS, LEAST_BITS = 3, 12
 #: Fingerprints too far apart are not compared by their sets: of HEAD bits, and of all, so many may differ that a pair of just that similarity is lost with this probability at most (see far()).
 LOST, HEAD = 1e-4, 128
+#: Bytes of text whose shingle sets near_texts() makes at once.
+SET_BLOCK = 1 << 20
 #: How many of the nearest texts that stand for a bucket a text is compared with in the first round.
 NEAREST = 3
 
@@ -53,10 +55,10 @@ def shingle_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words
     return np.array([digest(raw[a:b], seed) for a, b in zip(starts[:last].tolist(), stops.tolist())], np.uint64)
 
 
-def _text_shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _text_shingles(batches: Iterator[pa.RecordBatch], words: int, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Batches with the shingle hashes of each text; texts without words have none."""
     none = np.zeros(0, np.uint64)
-    for batch, data, offsets in text_blocks(batches):
+    for batch, data, offsets in text_blocks(batches, most=most):
         starts, ends, first = word_spans(data, offsets)
         found = []
         for k in range(batch.num_rows):
@@ -249,7 +251,7 @@ def set_prints(docs: DataFrame, words: int, width: int, segments: int) -> DataFr
     weights = (1 << np.arange(width)).astype(np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _text_shingles(batches, words):
+        for batch, found in _text_shingles(batches, words, SET_BLOCK):
             nodes, sizes, heads, parts = [], [], [], []
             for hashes in map(np.unique, found):
                 bits = np.concatenate([majority(hashes if k == 0 else mix64(hashes + np.uint64(k))) for k in range(blocks)])
@@ -269,7 +271,7 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """(node, shingles): the shingle set of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _text_shingles(batches, words):
+        for batch, found in _text_shingles(batches, words, SET_BLOCK):
             sets = [np.unique(h).view(np.int64) for h in found]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
