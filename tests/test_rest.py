@@ -61,7 +61,6 @@ def test_reports(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         tables.write_markdown(df, f"file://{tmp_path}/report", "Scores")
     tables.write_markdown(df, f"file://{tmp_path}/report", "Scores", overwrite=True)
-    df.selectExpr("time_id", "asset_id", "target", "weight", "f") if "f" in df.columns else None
     rows = spark.createDataFrame([(t, 1, 1, 1.0, 5.0, "extra") for t in range(40)], "time_id long, asset_id long, target int, weight double, f double, other string")
     rows.write.parquet(f"file://{tmp_path}/in")
     got = tables.load_sample(spark, [f"file://{tmp_path}/in"], ["f"], 4)
