@@ -104,6 +104,7 @@ class _State:
     trees: list[Tree] = field(default_factory=list)
     scores: list[float] = field(default_factory=list)
     done: bool = False
+    could_split: bool = False
 
 
 def fit_edges(df: DataFrame, features: Sequence[str], bins: int = 255) -> dict[str, list[float]]:
@@ -429,13 +430,14 @@ def boost(df: DataFrame, features: Sequence[str], jobs: Sequence[Job], settings:
             break
         for k in live:
             if not states[k].done:
+                states[k].could_split |= bool(states[k].nodes[0].gain > -np.inf)
                 _finish(states[k], settings, all_edges, kinds, max(widths))
         if (turn + 1) % WRITE_EVERY == 0 and turn + 1 < settings.rounds:
             written = _with_margins(chunks, states, done_before, len(features))
             _dropped(chunks)
             chunks, done_before = written, turn + 1
     _dropped(chunks)
-    return {s.job.name: Forest(s.trees[: 1 + int(np.argmax(s.scores))] if settings.patience is not None and s.scores else s.trees) for s in states}
+    return {s.job.name: Forest(s.trees[: 1 + int(np.argmax(s.scores))] if settings.patience is not None and s.scores else s.trees, could_split=s.could_split) for s in states}
 
 
 def _tired(state: _State, sums: tuple[float, float] | None, settings: Settings) -> bool:
@@ -480,7 +482,7 @@ def _with_margins(chunks: DataFrame, states: list[_State], done_before: int, fea
 def seed_forests(forests: dict[tuple, Forest]) -> Forest:
     """The mean over models of different seeds, as one forest: all their trees, with leaves divided by their number."""
     n = len(forests)
-    return Forest([Tree(t.feature, t.threshold, t.left, t.right, t.leaves / n, t.categories) for f in forests.values() for t in f.trees[: f.rounds]])
+    return Forest([Tree(t.feature, t.threshold, t.left, t.right, t.leaves / n, t.categories) for f in forests.values() for t in f.trees[: f.rounds]], could_split=any(f.could_split for f in forests.values()))
 
 
 def forest_text(forest: Forest) -> str:

@@ -105,8 +105,11 @@ def apply_model(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], feat
 
 @dataclass
 class Forest:
+    """Trees, how many of them count (None: all), and whether any had a split that was allowed, be it of no use; without one a forest is a constant."""
+
     trees: list[Tree]
     rounds: int | None = None
+    could_split: bool = True
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Sum over the first `rounds` trees (all if None): nested models are prefixes."""
