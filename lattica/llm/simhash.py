@@ -39,6 +39,8 @@ LOST, HEAD = 1e-4, 128
 SET_BLOCK = 1 << 20
 #: How many of the nearest texts that stand for a bucket a text is compared with in the first round.
 NEAREST = 3
+#: Bits of a set's parities (see _shingle_sets()).
+PARITY = 512
 
 
 def shingle_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
@@ -124,26 +126,38 @@ def lookups(indexed: DataFrame, width: int, radius: int, near: Callable[[Column,
     return found.join(heads, "node").select("key", "node", "head")
 
 
-def linked(indexed: DataFrame, found: DataFrame, apart: Callable[[Column, Column], Column], most: int, verify: Callable[[DataFrame, bool], DataFrame] | None = None, name: str = "simhash") -> DataFrame:
+def linked(indexed: DataFrame, found: DataFrame, apart: Callable[[Column, Column], Column], most: int, verify: Callable[[DataFrame, bool], DataFrame] | None = None, name: str = "simhash", equal_first: bool = False) -> DataFrame:
     """Components (node, component) over all pairs that the index finds, whose heads are at most `most` apart and that verify() keeps.
 
     A group of very many near nodes never meets in pairs. First each node meets the one node that stands for each of its
     buckets; that joins most of a group at a cost in proportion to its size. Then the pairs that are still in different
-    components meet, so no link between components is missed; those within one need no more links.
+    components meet, so no link between components is missed; those within one need no more links. With equal_first, nodes
+    meet those that stand for the buckets of their own segments before, and lookups only what they are then still apart from.
     """
     def near(a: Column, b: Column) -> Column:
         return apart(a, b) <= most
 
     one = indexed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node", "head")).alias("one"))
-    met = found.join(one, "key").filter((F.col("node") != F.col("one.node")) & near(F.col("head"), F.col("one.head")))
-    met = met.select("node", F.col("one.node").alias("other"), apart(F.col("head"), F.col("one.head")).alias("apart")).distinct()
     keep = verify or (lambda pairs, first: pairs)
-    links = materialize(keep(met, True).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), f"{name}-links")
-    parts = materialize(components(links, f"{name}-parts"), f"{name}-parts")
+
+    def links_of(met: DataFrame) -> DataFrame:
+        met = met.filter((F.col("node") != F.col("one.node")) & near(F.col("head"), F.col("one.head")))
+        met = met.select("node", F.col("one.node").alias("other"), apart(F.col("head"), F.col("one.head")).alias("apart")).distinct()
+        return materialize(keep(met, True).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), f"{name}-links")
 
     def with_part(table: DataFrame) -> DataFrame:
         return table.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
 
+    if equal_first:
+        equal = links_of(indexed.join(one, "key"))
+        parts = materialize(components(equal, f"{name}-parts"), f"{name}-parts")
+        stand = with_part(one.select("key", "one", F.col("one.node").alias("node"))).select("key", "one", F.col("part").alias("one_part"))
+        more = links_of(with_part(found).join(stand, "key").filter(F.col("part") != F.col("one_part")))
+        discard(parts)
+        links = equal.unionByName(more)
+    else:
+        links = links_of(found.join(one, "key"))
+    parts = materialize(components(links, f"{name}-parts"), f"{name}-parts")
     shelved = with_part(indexed)
     mixed = shelved.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"))
     still = with_part(found).join(mixed, "key").filter((F.col("least") != F.col("part")) | (F.col("most") != F.col("part"))).drop("least", "most")
@@ -268,15 +282,28 @@ def set_prints(docs: DataFrame, words: int, width: int, segments: int) -> DataFr
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the shingle set of each text."""
+    """(node, shingles, parity): the shingle set of each text, and for each of PARITY classes of hashes whether the set has an odd number of them.
+
+    Parities of two sets differ at most as often as their shingles, so they tell that two sets are too different, and never wrongly.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _text_shingles(batches, words, SET_BLOCK):
             sets = [np.unique(h).view(np.int64) for h in found]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
+            odd = [np.packbits((np.bincount(s & (PARITY - 1), minlength=PARITY) & 1).astype(bool)).view(np.int64) for s in sets]
+            places = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (PARITY // 64))
+            arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))), pa.ListArray.from_arrays(places, pa.array(np.concatenate(odd)))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *arrays], ["node", "shingles", "parity"])
+
+    return texts.select("node", "text").mapInArrow(rows, "node long, shingles array<long>, parity array<long>")
+
 
-    return texts.select("node", "text").mapInArrow(rows, "node long, shingles array<long>")
+def _excess(a: Column, b: Column) -> Column:
+    """Over 0 if the parities of two sets (of head) show that they agree by less than SIMILAR: they differ by over (|a| + |b|) (q - p) / (p + q) shingles for p / q. Null if their heads are too far apart."""
+    p, q = SIMILAR
+    odd = sum((F.bit_count(F.get(a["parity"], k).bitwiseXOR(F.get(b["parity"], k))) for k in range(PARITY // 64)), F.lit(0))
+    return F.when(_differing_heads(a, b) <= far(HEAD), odd * (p + q) - (a["n"] + b["n"]) * (q - p))
 
 
 def near_texts(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -307,7 +334,7 @@ def near_texts(docs: DataFrame, words: int = 5) -> DataFrame:
         sizes = (F.col("node_n") * b >= F.col("other_n") * a) & (F.col("other_n") * b >= F.col("node_n") * a)
         return sides(pairs, whole).filter(sizes & (distance <= far(width * segments))).select("node", "other", "apart")
 
-    groups = materialize(linked(indexed, found, _differing_heads, far(HEAD), near_whole), "simhash-groups")
+    groups = materialize(linked(indexed, found, _differing_heads, far(HEAD), near_whole, equal_first=True), "simhash-groups")
     # only texts whose fingerprint is near another one are read again, and compared by their sets
     keyed = docs.select(row_key().alias("row_key"), "text")
     copies = prints.groupBy("row_key").agg(F.count("*").alias("copies"))
@@ -319,10 +346,12 @@ def near_texts(docs: DataFrame, words: int = 5) -> DataFrame:
         pairs = near_whole(pairs, first)
         a, b = SIMILAR
         common, sizes = F.size(F.array_intersect("node_shingles", "other_shingles")), F.size("node_shingles") + F.size("other_shingles")
-        return sides(pairs.select("node", "other"), sets).filter(common * (a + b) >= sizes * a)
+        return sides(pairs.select("node", "other"), sets.select("node", "shingles")).filter(common * (a + b) >= sizes * a)
 
-    some_index, some_found = (materialize(t.join(groups.select("node"), "node", "left_semi"), "simhash-index") for t in (indexed, found))
-    parts = materialize(linked(some_index, some_found, _differing_heads, far(HEAD), alike), "simhash-alike")
+    marked = sets.select("node", F.size("shingles").cast("long").alias("n"), "parity")
+    head = F.struct("head.low", "head.high", "n", "parity").alias("head")
+    some_index, some_found = (materialize(t.join(marked, "node").select("key", "node", head), "simhash-index") for t in (indexed, found))
+    parts = materialize(linked(some_index, some_found, _excess, 0, alike), "simhash-alike")
     of = materialize(nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "copies"), "simhash-components")
     for table in (indexed, found, some_index, some_found, sets, groups, parts, nodes):
         discard(table)
