@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, joined
 from .storage import discard, join_counted, materialize
 from .text import mix64, text_blocks, word_spans
 
@@ -126,48 +126,56 @@ def lookups(indexed: DataFrame, width: int, radius: int, near: Callable[[Column,
     return found.join(heads, "node").select("key", "node", "head")
 
 
-def linked(indexed: DataFrame, found: DataFrame, apart: Callable[[Column, Column], Column], most: int, verify: Callable[[DataFrame, bool], DataFrame] | None = None, name: str = "simhash", equal_first: bool = False) -> DataFrame:
+def linked(indexed: DataFrame, found: DataFrame, apart: Callable[[Column, Column], Column], most: int, verify: Callable[[DataFrame, bool], DataFrame] | None = None, name: str = "simhash") -> DataFrame:
     """Components (node, component) over all pairs that the index finds, whose heads are at most `most` apart and that verify() keeps.
 
     A group of very many near nodes never meets in pairs. First each node meets the one node that stands for each of its
     buckets; that joins most of a group at a cost in proportion to its size. Then the pairs that are still in different
-    components meet, so no link between components is missed; those within one need no more links. With equal_first, nodes
-    meet those that stand for the buckets of their own segments before, and lookups only what they are then still apart from.
+    components meet, so no link between components is missed; those within one need no more links.
     """
-    def near(a: Column, b: Column) -> Column:
-        return apart(a, b) <= most
-
-    one = indexed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node", "head")).alias("one"))
     keep = verify or (lambda pairs, first: pairs)
-
-    def links_of(met: DataFrame) -> DataFrame:
-        met = met.filter((F.col("node") != F.col("one.node")) & near(F.col("head"), F.col("one.head")))
-        met = met.select("node", F.col("one.node").alias("other"), apart(F.col("head"), F.col("one.head")).alias("apart")).distinct()
-        return materialize(keep(met, True).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), f"{name}-links")
+    met = _with_stand(indexed, found, apart, most)
+    links = keep(met, True).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    parts = materialize(components(links, f"{name}-parts"), f"{name}-parts")
 
     def with_part(table: DataFrame) -> DataFrame:
         return table.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
 
-    if equal_first:
-        equal = links_of(indexed.join(one, "key"))
-        parts = materialize(components(equal, f"{name}-parts"), f"{name}-parts")
-        stand = with_part(one.select("key", "one", F.col("one.node").alias("node"))).select("key", "one", F.col("part").alias("one_part"))
-        more = links_of(with_part(found).join(stand, "key").filter(F.col("part") != F.col("one_part")))
-        discard(parts)
-        links = equal.unionByName(more)
-    else:
-        links = links_of(found.join(one, "key"))
-    parts = materialize(components(links, f"{name}-parts"), f"{name}-parts")
     shelved = with_part(indexed)
-    mixed = shelved.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"))
-    still = with_part(found).join(mixed, "key").filter((F.col("least") != F.col("part")) | (F.col("most") != F.col("part"))).drop("least", "most")
+    # a pair counts from its smaller node, so only lookups of buckets that hold a larger one go on
+    mixed = shelved.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max("node").alias("last"))
+    still = with_part(found).join(mixed, "key").filter((F.col("node") < F.col("last")) & ((F.col("least") != F.col("part")) | (F.col("most") != F.col("part")))).drop("least", "most", "last")
     other = shelved.select("key", F.col("node").alias("other"), F.col("head").alias("other_head"), F.col("part").alias("other_part"))
-    met = still.join(other, "key").filter((F.col("node") < F.col("other")) & (F.col("part") != F.col("other_part")) & near(F.col("head"), F.col("other_head")))
+    met = still.join(other, "key").filter((F.col("node") < F.col("other")) & (F.col("part") != F.col("other_part")) & (apart(F.col("head"), F.col("other_head")) <= most))
     met = met.select("node", "other", apart(F.col("head"), F.col("other_head")).alias("apart")).distinct()
-    more = keep(met, False).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    out = components(links.unionByName(more), f"{name}-parts")
-    discard(links)
-    return out
+    return joined(parts, keep(met, False).select(F.col("node").alias("a"), F.col("other").alias("b")), f"{name}-parts")
+
+
+def _with_stand(indexed: DataFrame, found: DataFrame, apart: Callable[[Column, Column], Column], most: int) -> DataFrame:
+    """(node, other, apart): nodes with the one node that stands for each of the buckets that their lookups found, if that is near."""
+    one = indexed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node", "head")).alias("one"))
+    met = found.join(one, "key").filter((F.col("node") != F.col("one.node")) & (apart(F.col("head"), F.col("one.head")) <= most))
+    return met.select("node", F.col("one.node").alias("other"), apart(F.col("head"), F.col("one.head")).alias("apart")).distinct()
+
+
+def with_partner(indexed: DataFrame, found: DataFrame, apart: Callable[[Column, Column], Column], most: int, verify: Callable[[DataFrame, bool], DataFrame], name: str = "simhash") -> DataFrame:
+    """(node): the nodes in some pair that the index finds, whose heads are at most `most` apart and that verify() keeps.
+
+    No components are needed for that. Nodes first meet those that stand for their buckets; only a node that has no pair
+    by then meets all others, so a large group of near nodes never meets in pairs. A pair is found from both of its
+    nodes, so none of a pair is missed.
+    """
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("node", "other")).alias("node")).distinct()
+
+    # one side of a pair is enough here; whom that leaves out meets all others next
+    some = materialize(ends(verify(_with_stand(indexed, found, apart, most).filter("node < other"), True)), f"{name}-some")
+    other = indexed.select("key", F.col("node").alias("other"), F.col("head").alias("other_head"))
+    far_off = apart(F.col("head"), F.col("other_head"))
+    met = found.join(some, "node", "left_anti").join(other, "key").filter((F.col("node") != F.col("other")) & (far_off <= most))
+    more = ends(verify(met.select("node", "other", far_off.alias("apart")).distinct(), False))
+    return some.unionByName(more).distinct()
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -334,7 +342,7 @@ def near_texts(docs: DataFrame, words: int = 5) -> DataFrame:
         sizes = (F.col("node_n") * b >= F.col("other_n") * a) & (F.col("other_n") * b >= F.col("node_n") * a)
         return sides(pairs, whole).filter(sizes & (distance <= far(width * segments))).select("node", "other", "apart")
 
-    groups = materialize(linked(indexed, found, _differing_heads, far(HEAD), near_whole, equal_first=True), "simhash-groups")
+    groups = materialize(with_partner(indexed, found, _differing_heads, far(HEAD), near_whole), "simhash-groups")
     # only texts whose fingerprint is near another one are read again, and compared by their sets
     keyed = docs.select(row_key().alias("row_key"), "text")
     copies = prints.groupBy("row_key").agg(F.count("*").alias("copies"))

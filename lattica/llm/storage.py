@@ -51,10 +51,12 @@ def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], rows: int
     """Inner join with a table of one row per key, of which `copies` says how many of the `rows` rows of left have it.
 
     The rows of right with a hot key are broadcast, at most 1 / HOT_SHARE of them, so no task gets all rows of such a key;
-    the others meet by an exchange. The column of copies is dropped. Keys that are null meet nothing.
+    the others meet by an exchange. So do all where no key can be hot. The column of copies is dropped. Keys that are null meet nothing.
     """
     on = list(on)
     often = hot_limit(rows)
+    if rows <= often:
+        return left.join(right.drop(copies), on)
     hot = F.broadcast(right.filter(F.col(copies) > often).drop(copies))
     rest = right.filter(F.col(copies) <= often).drop(copies)
     return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(rest, on))
